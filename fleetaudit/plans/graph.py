@@ -63,9 +63,10 @@ def root_closure(roots: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS) -
     while hop < max_hops:
         hop += 1
         step = (
-            frontier.join(e, (frontier.ecosystem == e.ecosystem) & (frontier.node == e.parent))
-            .select(frontier.ecosystem, "root", e.child.alias("node"), (F.col("depth") + 1).alias("depth"),
-                    F.concat(F.col("path"), F.array(e.child)).alias("path"))
+            frontier.withColumnRenamed("node", "parent")
+            .join(e, ["ecosystem", "parent"])
+            .select("ecosystem", "root", F.col("child").alias("node"), (F.col("depth") + 1).alias("depth"),
+                    F.concat(F.col("path"), F.array(F.col("child"))).alias("path"))
             .join(visited.select("ecosystem", "root", "node"), ["ecosystem", "root", "node"], "left_anti")
             .groupBy("ecosystem", "root", "node")
             .agg(F.min(F.struct("depth", "path")).alias("best"))
@@ -215,8 +216,8 @@ def cycles(edges: DataFrame, max_len: int = 8) -> DataFrame:
         F.array("parent", "child").alias("path"),
     )
     for _ in range(max_len - 1):
-        ext = paths.join(e, (paths.ecosystem == e.ecosystem) & (paths["last"] == e.parent)).select(
-            paths.ecosystem, "start", "path", e.child.alias("nxt")
+        ext = paths.withColumnRenamed("last", "parent").join(e, ["ecosystem", "parent"]).select(
+            "ecosystem", "start", "path", F.col("child").alias("nxt")
         )
         found = found.unionByName(
             ext.filter(F.col("nxt") == F.col("start")).select(
