@@ -131,7 +131,7 @@ def installed_npm_deps(text_files: DataFrame) -> DataFrame:
     """
     folder = F.regexp_extract(F.col("path"), r"^node_modules/([^/]+)/package\.json$", 1)
     doc = F.from_json(F.col("content"), "struct<version:string>")
-    rows = text_files.filter(folder != "").filter(doc.isNotNull())
+    rows = text_files.filter(folder != "").filter(F.json_object_keys(F.col("content")).isNotNull())
     return rows.select(
         "project_id",
         F.lit("package.json").alias("path"),

@@ -1,0 +1,239 @@
+"""Scanner cases: look-alikes, version ranges, licences, confusion, pipelines, secrets, staleness."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from fleetaudit.functions.versions import clean_version, in_range
+from fleetaudit.operators import confusion, licensing, outdated, textscan, typosquat, vulnerability
+from tests.conftest import rows
+
+POPULAR = ["requests", "numpy", "flask", "python-dateutil", "django", "pandas"]
+
+
+def _typo(spark, names, popular=POPULAR, eco="python"):
+    n = spark.createDataFrame([(eco, x) for x in names], "ecosystem string, name string")
+    p = spark.createDataFrame([(eco, x) for x in popular], "ecosystem string, name string")
+    return typosquat.typosquat_candidates(n, p)
+
+
+def test_typo_techniques(spark):
+    cases = {
+        "requess": ("requests", "levenshtein_distance_1"),
+        "python_dateutil": ("python-dateutil", "separator_confusion"),
+        "reqeusts": ("requests", "character_swap"),
+        "flaask": ("flask", "repeated_character"),
+        "f1ask": ("flask", "homoglyph"),
+        "requests2": ("requests", "version_suffix"),
+        "requests-lib": ("requests", "combosquatting"),
+    }
+    out = _typo(spark, list(cases) + ["requests"]).collect()
+    got = {(r.name, r.similar_to, r.technique) for r in out}
+    for name, (pop, tech) in cases.items():
+        assert (name, pop, tech) in got, name
+    assert not any(r.name == "requests" for r in out)
+    # numpyy: the repeated-character check runs before the others
+    assert {(r.similar_to, r.technique) for r in _typo(spark, ["numpyy"]).collect()} == {
+        ("numpy", "repeated_character")}
+
+
+def _brute(names, popular):
+    """Plain loop over every (name, popular) pair with the first-match rule (test oracle)."""
+    pop = sorted(set(popular))
+
+    def sep(s):
+        return s.replace("-", "").replace("_", "").replace(".", "").lower()
+
+    def homo(s):
+        s = s.lower()
+        for a, b in [("rn", "m"), ("vv", "w"), ("cl", "d"), ("nn", "m")]:
+            s = s.replace(a, b)
+        return s.translate(str.maketrans("01345789", "oleastbg"))
+
+    sep_map, homo_map = {}, {}
+    for p in pop:
+        sep_map.setdefault(sep(p), p)
+        homo_map.setdefault(homo(p), p)
+
+    def lev(a, b):
+        prev = list(range(len(b) + 1))
+        for i, ca in enumerate(a, 1):
+            cur = [i]
+            for j, cb in enumerate(b, 1):
+                cur.append(min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (ca != cb)))
+            prev = cur
+        return prev[-1]
+
+    def swap(a, b):
+        if len(a) != len(b):
+            return False
+        d = [i for i in range(len(a)) if a[i] != b[i]]
+        return len(d) == 2 and d[1] == d[0] + 1 and a[d[0]] == b[d[1]] and a[d[1]] == b[d[0]]
+
+    def rep(a, b):
+        if abs(len(a) - len(b)) != 1:
+            return False
+        lo, sh = (a, b) if len(a) > len(b) else (b, a)
+        return any(lo[i] == lo[i + 1] and lo[:i] + lo[i + 1:] == sh for i in range(len(lo) - 1))
+
+    out = set()
+    for n in set(names):
+        if n in pop:
+            continue
+        for p in pop:
+            s_hit = sep_map.get(sep(n))
+            h_hit = homo_map.get(homo(n))
+            if s_hit and s_hit != n:
+                out.add((n, s_hit, "separator_confusion"))
+            elif swap(n, p):
+                out.add((n, p, "character_swap"))
+            elif rep(n, p):
+                out.add((n, p, "repeated_character"))
+            elif h_hit and h_hit != n:
+                out.add((n, h_hit, "homoglyph"))
+            elif len(n) == len(p) + 1 and n[-1].isdigit() and n[:-1] == p:
+                out.add((n, p, "version_suffix"))
+            elif (len(p) >= 4 and len(p) < len(n) <= len(p) + 6 and (n.startswith(p) or n.endswith(p))
+                  and n.replace(p, "", 1) not in ("", "-", "_", ".")):
+                out.add((n, p, "combosquatting"))
+            elif lev(n, p) == 1:
+                out.add((n, p, "levenshtein_distance_1"))
+            elif lev(n, p) == 2:
+                out.add((n, p, "levenshtein_distance_2"))
+    return out
+
+
+def test_typo_keyed_joins_equal_brute_force(spark):
+    rnd = random.Random(7)
+    base = POPULAR + ["vue", "ms", "he", "cors", "acorn", "mime", "vite", "pm2", "jest"]
+    names = set()
+    for _ in range(250):
+        w = list(rnd.choice(base))
+        op = rnd.randrange(6)
+        i = rnd.randrange(len(w))
+        if op == 0:
+            w.insert(i, rnd.choice("abcdemnorst-_.0123"))
+        elif op == 1 and len(w) > 1:
+            del w[i]
+        elif op == 2:
+            w[i] = rnd.choice("aeiou01l3")
+        elif op == 3 and i + 1 < len(w):
+            w[i], w[i + 1] = w[i + 1], w[i]
+        elif op == 4:
+            w += list(rnd.choice(["-js", "2", "-cli", "lib", "_x"]))
+        names.add("".join(w))
+    names |= {"rnn", "vvue", "c1ors", "cl0rs"}
+    got = {(r.name, r.similar_to, r.technique) for r in _typo(spark, sorted(names), base).collect()}
+    assert got == _brute(names, base)
+
+
+RANGE_CASES = [
+    ("3.2.0", "<3.2.13,>=3.2", True), ("3.2.14", "<3.2.13,>=3.2", False), ("3.1.0", "<3.2.13,>=3.2", False),
+    ("1.0.0", "*", True), ("1.0.0", None, True), ("1.0.0", "", True),
+    ("3.2.0", "<3.2.13,>=3.2,<3.1.14,>=3.1,<4.0.7,>=4.0", False), ("3.2", ">= 3.1, < 3.3", True),
+    ("1.2.3", "= 1.2.3", False), ("^4.17.1", "<5", False), ("latest", "<5", False), ("1.2.5", "==1.2.*", True),
+    ("1.2.5", "~=1.2", True), ("2.0", "~=1.2", False), ("1.2.post1", ">1.2", False), ("1.2.dev1", "<1.2", False),
+    ("1.2+abc", "==1.2", True), ("3.0rc1", "<3", False), ("2.0rc1", ">=2.0rc1", True), ("2.0rc1", "<3", False),
+    ("2.1", "<2.1.0", False), ("2.1.0", "<=2.1", True), ("1.2", "!=1.2.0", False), ("1!1.0", ">2.0", True),
+]
+
+
+def test_range_truth_table(spark):
+    df = spark.createDataFrame(RANGE_CASES, "v string, r string, exp boolean")
+    bad = df.filter(in_range(F.col("v"), F.col("r")) != F.col("exp")).collect()
+    assert bad == []
+    pre = spark.createDataFrame([("2.0rc1", "<3")], "v string, r string")
+    assert pre.select(in_range(F.col("v"), F.col("r"), allow_pre=True)).first()[0] is True
+
+
+def test_clean_version(spark):
+    df = spark.createDataFrame([("==2.32.3",), ("^1.14.0",), ("~> 6.1.4",), ("latest",), (None,)], "v string")
+    assert [r[0] for r in df.select(clean_version(F.col("v"))).collect()] == [
+        "2.32.3", "1.14.0", "6.1.4", "0.0.0", "0.0.0"]
+
+
+def test_vulnerability_fallback(spark):
+    deps = spark.createDataFrame([(1, "python", "requests", "2.19.0"), (1, "python", "requests", "2.21.0")],
+                                 "project_id long, ecosystem string, name string, version string")
+    adv = spark.createDataFrame([], "ecosystem string, package string, cve string, severity string, "
+                                    "affected_versions string, summary string, description string")
+    out = vulnerability.vulnerability_alerts(deps, vulnerability.with_fallback_advisories(adv)).collect()
+    assert [(r.package, r.version, r.cve, r.severity) for r in out] == [
+        ("requests", "2.19.0", "CVE-2018-18074", "MEDIUM")]
+    assert out[0].message == "Known vulnerability CVE-2018-18074 found"
+
+
+def test_staleness(spark):
+    deps = spark.createDataFrame([(1, "python", "django", "3.2.0"), (1, "python", "flask", "latest")],
+                                 "project_id long, ecosystem string, name string, version string")
+    rel = spark.createDataFrame([], "ecosystem string, package string, version string")
+    out = outdated.outdated_alerts(deps, rel).collect()
+    assert [(r.package, r.installed_version, r.latest_version, r.severity) for r in out] == [
+        ("django", "3.2.0", "5.0.6", "LOW")]
+    rel2 = spark.createDataFrame([("python", "x", "1.10"), ("python", "x", "1.9"), ("python", "x", "1.10rc1")],
+                                 "ecosystem string, package string, version string")
+    assert outdated.latest_release(rel2).first().latest == "1.10"
+
+
+def test_license_risk_and_conflict(spark):
+    df = spark.createDataFrame([("GPLv3",), ("MIT",), ("Proprietary Commercial",), ("EXAMPLE",), ("LIMITED",),
+                                ("GNU General Public License",), (None,)], "l string")
+    r = licensing.license_risk(F.col("l"))
+    got = [(x.l, x.risk) for x in df.select("l", r["risk"].alias("risk")).collect()]
+    assert got == [("GPLv3", "HIGH"), ("MIT", "LOW"), ("Proprietary Commercial", "MEDIUM"), ("EXAMPLE", "HIGH"),
+                   ("LIMITED", "LOW"), ("GNU General Public License", "LOW"), (None, "MEDIUM")]
+    resolved = spark.createDataFrame(
+        [(1, "maven", "junit:junit"), (1, "python", "requests"), (2, "python", "a"), (2, "python", "b")],
+        "project_id long, ecosystem string, name string")
+    lic = spark.createDataFrame([("python", "a", "GPL-3.0"), ("python", "b", "Proprietary")],
+                                "ecosystem string, package string, license string")
+    out = licensing.license_alerts(resolved, lic)
+    assert rows(out, "project_id", "type", "package", "severity") == [
+        (1, "LICENSE_RISK", "junit:junit", "HIGH"), (2, "LICENSE_CONFLICT", "project", "CRITICAL"),
+        (2, "LICENSE_RISK", "a", "HIGH")]
+
+
+def test_confusion(spark):
+    deps = spark.createDataFrame(
+        [(1, "npm", "@corp/x"), (1, "npm", "left-pad"), (1, "maven", "g:a"), (1, "python", "internal-tool")],
+        "project_id long, ecosystem string, name string")
+    reg = spark.createDataFrame([("npm", "left-pad")], "ecosystem string, package string")
+    files = spark.createDataFrame(
+        [(1, "pip.conf", "[global]\nindex-url = https://pypi.org/simple\nextra-index-url = https://x/simple\n"),
+         (1, ".npmrc", "registry=https://npm.corp/\n")],
+        "project_id long, path string, content string")
+    out = confusion.confusion_alerts(deps, reg, files)
+    got = rows(out, "type", "package", "file", "severity")
+    assert got == [("DEPENDENCY_CONFUSION", "@corp/x", None, "CRITICAL"),
+                   ("DEPENDENCY_CONFUSION", "internal-tool", None, "CRITICAL"),
+                   ("DEP_CONFUSION_CONFIG", None, ".npmrc", "MEDIUM"),
+                   ("DEP_CONFUSION_CONFIG", None, "pip.conf", "HIGH")]
+    assert any("extra-index-url: https://x/simple." in r.message for r in out.collect())
+
+
+def test_pipeline_patterns(spark):
+    yml = ("jobs:\n  build:\n    env:\n      MY_TOKEN: \"secret_value_12345\"\n    steps:\n"
+           "      - uses: actions/checkout@master\n"
+           "      - uses: actions/setup-node@" + "a" * 40 + "\n"
+           "      - run: curl -s https://x.sh | bash\n")
+    files = spark.createDataFrame([(1, ".github/workflows/ci.yml", yml), (1, "docs/ci.yml", yml)],
+                                  "project_id long, path string, content string")
+    out = textscan.pipeline_alerts(files)
+    got = rows(out, "file", "line", "pattern_name")
+    assert got == [(".github/workflows/ci.yml", 4, "HARDCODED_ENV_TOKEN"),
+                   (".github/workflows/ci.yml", 6, "UNPINNED_ACTION"),
+                   (".github/workflows/ci.yml", 8, "CURL_BASH")]
+    desc = {r.pattern_name: r.description for r in out.collect()}
+    assert desc["UNPINNED_ACTION"] == "Match: 'uses: actions/checkout@master'"
+
+
+def test_secrets(spark):
+    src = ("password = 'hunter2hunter2'\nAPI_KEY = \"sk_live_" + "a" * 24 + "\"\nnothing here\n"
+           "-----BEGIN RSA PRIVATE KEY-----\n")
+    files = spark.createDataFrame([(1, "config.py", src), (1, "tests/config.py", src)],
+                                  "project_id long, path string, content string")
+    got = rows(textscan.secret_alerts(files), "file", "line", "type")
+    assert ("config.py", 1, "PASSWORD_ASSIGNMENT") in got
+    assert ("config.py", 2, "STRIPE_LIVE_KEY") in got
+    assert ("config.py", 4, "PRIVATE_KEY") in got
+    assert all(f == "config.py" for f, _, _ in got)
