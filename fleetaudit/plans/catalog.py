@@ -15,6 +15,7 @@ from fleetaudit.operators import confusion, licensing, outdated, report, textsca
 from fleetaudit.plans import graph
 from fleetaudit.sources import manifests as M
 from fleetaudit.sources.testdata import TestData
+from fleetaudit.streaming import alerts as stream
 
 DEP_OUT = ["project_id", "ecosystem", "pos", "name", "version", "dep_type", "scope", "is_dev", "is_optional"]
 
@@ -228,6 +229,35 @@ def recommendations(spark, sf_dir):
     return s.select("project_id", F.array_join("recommendations", " | ").alias("recommendations"))
 
 
+# ------------------------------------------------------------------ streaming
+def _events(sf_dir: str) -> str:
+    return f"{sf_dir.rstrip('/')}/events.parquet"
+
+
+def stream_alert_counts(spark, sf_dir):
+    out = stream.windowed_alert_counts(spark, _events(sf_dir))
+    return out.select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "category", "n_alerts"
+    )
+
+
+def stream_dedup(spark, sf_dir):
+    return stream.dedup_alerts(spark, _events(sf_dir))
+
+
+def stream_score(spark, sf_dir):
+    return stream.running_scores(spark, _events(sf_dir)).select(
+        "project_id", "n_critical", "n_high", "n_medium", "n_low", "security_score", "band"
+    )
+
+
+def stream_outdated(spark, sf_dir):
+    td = _td(spark, sf_dir)
+    return stream.stream_outdated(spark, td.manifests, td.releases).select(
+        "project_id", "ecosystem", "package", "installed_version", "latest_version", "message"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vulnerable_deps": vulnerable_deps,
     "parse_requirements": _parse("python", M.requirements_deps),
@@ -265,4 +295,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "enriched_alerts": enriched_alerts,
     "project_summary": project_summary,
     "recommendations": recommendations,
+    "stream_alert_counts": stream_alert_counts,
+    "stream_dedup": stream_dedup,
+    "stream_score": stream_score,
+    "stream_outdated": stream_outdated,
 }

@@ -625,4 +625,24 @@ SELECT project_id, array_to_string(list_filter([
   CASE WHEN versions_outdated > 0 THEN 'Upgrade ' || versions_outdated || ' outdated packages to their latest versions'
     END], lambda x: x IS NOT NULL), ' | ') AS recommendations
 FROM summary"""
+    ev = """
+ev AS (
+  SELECT user_id AS project_id, ts, event_id,
+    CASE event_type WHEN 'error' THEN 'vulnerabilities' WHEN 'signup' THEN 'dep_confusion'
+      WHEN 'click' THEN 'typosquatting' WHEN 'view' THEN 'pipeline' WHEN 'purchase' THEN 'versions' END AS category,
+    CASE event_type WHEN 'error' THEN 'HIGH' WHEN 'signup' THEN 'CRITICAL' WHEN 'click' THEN 'MEDIUM'
+      WHEN 'view' THEN 'MEDIUM' WHEN 'purchase' THEN 'LOW' END AS severity,
+    'pkg-' || CAST(event_id % 97 AS VARCHAR) AS package
+  FROM events)"""
+    q["stream_alert_counts"] = with_(ev) + """
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, category, count(*) AS n_alerts
+FROM ev GROUP BY ALL"""
+    q["stream_dedup"] = with_(ev) + "\nSELECT DISTINCT project_id, category, package, severity FROM ev"
+    q["stream_score"] = with_(ev) + f"""
+SELECT *, CAST({score} AS INTEGER) AS security_score,
+  CASE WHEN {score} >= 80 THEN 'SECURE' WHEN {score} >= 50 THEN 'WARNING' ELSE 'VULNERABLE' END AS band
+FROM (SELECT project_id, CAST(count_if(severity = 'CRITICAL') AS BIGINT) AS n_critical,
+        CAST(count_if(severity = 'HIGH') AS BIGINT) AS n_high, CAST(count_if(severity = 'MEDIUM') AS BIGINT) AS n_medium,
+        CAST(count_if(severity = 'LOW') AS BIGINT) AS n_low FROM ev GROUP BY project_id)"""
+    q["stream_outdated"] = q["outdated_deps"]
     return q
