@@ -383,16 +383,16 @@ enriched AS (
 summary AS (
   SELECT project_id,
     CAST(sum(is_dep) AS BIGINT) AS total_dependencies,
-    CAST(count_if(category = 'vulnerabilities') AS BIGINT) AS vulnerabilities_found,
-    CAST(count_if(category = 'typosquatting') AS BIGINT) AS typosquatting_alerts,
-    CAST(count_if(category = 'licenses') AS BIGINT) AS licenses_found,
-    CAST(count_if(category = 'dep_confusion') AS BIGINT) AS dep_confusion_issues,
-    CAST(count_if(category = 'versions') AS BIGINT) AS versions_outdated,
-    CAST(count_if(category IS NOT NULL) AS BIGINT) AS total_issues,
-    CAST(count_if(sev = 'CRITICAL') AS BIGINT) AS n_critical,
-    CAST(count_if(sev = 'HIGH') AS BIGINT) AS n_high,
-    CAST(count_if(sev = 'MEDIUM') AS BIGINT) AS n_medium,
-    CAST(count_if(sev = 'LOW') AS BIGINT) AS n_low
+    CAST(sum(CASE WHEN category = 'vulnerabilities' THEN 1 ELSE 0 END) AS BIGINT) AS vulnerabilities_found,
+    CAST(sum(CASE WHEN category = 'typosquatting' THEN 1 ELSE 0 END) AS BIGINT) AS typosquatting_alerts,
+    CAST(sum(CASE WHEN category = 'licenses' THEN 1 ELSE 0 END) AS BIGINT) AS licenses_found,
+    CAST(sum(CASE WHEN category = 'dep_confusion' THEN 1 ELSE 0 END) AS BIGINT) AS dep_confusion_issues,
+    CAST(sum(CASE WHEN category = 'versions' THEN 1 ELSE 0 END) AS BIGINT) AS versions_outdated,
+    CAST(sum(CASE WHEN category IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS total_issues,
+    CAST(sum(CASE WHEN sev = 'CRITICAL' THEN 1 ELSE 0 END) AS BIGINT) AS n_critical,
+    CAST(sum(CASE WHEN sev = 'HIGH' THEN 1 ELSE 0 END) AS BIGINT) AS n_high,
+    CAST(sum(CASE WHEN sev = 'MEDIUM' THEN 1 ELSE 0 END) AS BIGINT) AS n_medium,
+    CAST(sum(CASE WHEN sev = 'LOW' THEN 1 ELSE 0 END) AS BIGINT) AS n_low
   FROM (
     SELECT project_id, NULL AS category, NULL AS sev, 1 AS is_dep FROM deps
     UNION ALL
