@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetaudit.operators import confusion, licensing, outdated, report, textscan, typosquat, vulnerability
-from fleetaudit.plans import graph
+from fleetaudit.plans import graph, scan
 from fleetaudit.sources import manifests as M
 from fleetaudit.sources.testdata import TestData
 from fleetaudit.streaming import alerts as stream
@@ -190,21 +190,18 @@ def history_secrets(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ report
+def scan_inputs(td: TestData) -> scan.ScanInputs:
+    return scan.ScanInputs(
+        dependencies=td.declared, edges=td.edges, popular=td.popular, advisories=td.advisories,
+        licenses=td.licenses, releases=td.releases, registry_names=td.registry_names,
+    )
+
+
 def all_alerts(td: TestData) -> tuple[DataFrame, DataFrame]:
-    """The full scan of every project (the original tool's main run, for all projects at once)."""
-    declared = td.declared
-    resolved = graph.resolve(declared, td.edges)
-    resolved = resolved.persist()
-    adv = vulnerability.with_fallback_advisories(td.advisories)
-    parts = [
-        report.to_alerts(typosquat.typosquat_alerts(resolved, td.popular), "typosquatting"),
-        report.to_alerts(vulnerability.vulnerability_alerts(resolved, adv), "vulnerabilities"),
-        report.to_alerts(licensing.license_alerts(resolved, td.licenses), "licenses"),
-        report.to_alerts(confusion.confusion_alerts(declared, td.registry_names, None), "dep_confusion"),
-        report.to_alerts(outdated.outdated_alerts(declared, td.releases), "versions"),
-    ]
-    alerts = report.enrich(report.union_alerts(parts), resolved)
-    return declared, alerts
+    """The full dependency scan of every project (the original tool's main run, for all projects at once)."""
+    t = scan_inputs(td)
+    alerts, _ = scan.scan_projects(t, ["typosquatting", "vulnerabilities", "licenses", "dep_confusion", "versions"])
+    return t.dependencies, alerts
 
 
 def enriched_alerts(spark, sf_dir):
@@ -229,6 +226,32 @@ def recommendations(spark, sf_dir):
     return s.select("project_id", F.array_join("recommendations", " | ").alias("recommendations"))
 
 
+# ------------------------------------------------------------------ more graph views
+def cycle_members(spark, sf_dir):
+    """G6 on the edges with back edges added: every simple cycle, smallest node first."""
+    c = graph.cycles(_td(spark, sf_dir).cycle_edges)
+    return c.select("ecosystem", F.array_join("cycle", " -> ").alias("cycle"), "length")
+
+
+def dependency_chains(spark, sf_dir):
+    td = _td(spark, sf_dir)
+    c = graph.dependency_chains(_resolved(td), td.edges)
+    return c.select("project_id", "ecosystem", "name", F.array_join("chain", " -> ").alias("chain"))
+
+
+def graph_nodes(spark, sf_dir):
+    td = _td(spark, sf_dir)
+    g = scan.graph_nodes(_resolved(td), td.edges)
+    return g.select("project_id", "ecosystem", "name", "version", "type", "depth", "is_direct",
+                    F.array_join("depends_on", ",").alias("depends_on"),
+                    F.array_join("depended_on_by", ",").alias("depended_on_by"))
+
+
+def tree_view(spark, sf_dir):
+    td = _td(spark, sf_dir)
+    return scan.tree_view(_resolved(td), td.edges, 2)
+
+
 # ------------------------------------------------------------------ streaming
 def _events(sf_dir: str) -> str:
     return f"{sf_dir.rstrip('/')}/events.parquet"
@@ -295,6 +318,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "enriched_alerts": enriched_alerts,
     "project_summary": project_summary,
     "recommendations": recommendations,
+    "cycle_members": cycle_members,
+    "dependency_chains": dependency_chains,
+    "graph_nodes": graph_nodes,
+    "tree_view": tree_view,
     "stream_alert_counts": stream_alert_counts,
     "stream_dedup": stream_dedup,
     "stream_score": stream_score,

