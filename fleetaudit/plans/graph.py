@@ -52,8 +52,7 @@ def root_closure(roots: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS) -
 
     ``path`` is the smallest shortest path by (length, lexicographic order).
     """
-    e = _edges(edges)
-    e = broadcast_if_small(e)
+    e = broadcast_if_small(_edges(edges).persist())  # used by every hop
     frontier = roots.select(
         "ecosystem", F.lower("root").alias("root")
     ).distinct().select("ecosystem", "root", F.col("root").alias("node"), F.lit(0).alias("depth"),
@@ -82,7 +81,9 @@ def root_closure(roots: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS) -
         if hop % CHECKPOINT_EVERY == 0:
             visited = checkpoint(visited)
         frontier = step
-    return visited
+    # the finished closure is written to the shared checkpoint folder: consumers read it
+    # back instead of replaying the hop loop, and a lost executor does not lose it
+    return checkpoint(visited)
 
 
 def resolve(dependencies: DataFrame, edges: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ def resolve(dependencies: DataFrame, edges: DataFrame) -> DataFrame:
     Direct packages have depth 0 and path ``[name]``; transitive ones carry
     version/dep_type ``transitive`` and the shortest path from any direct package.
     """
-    nodes = declared_nodes(dependencies)
+    nodes = declared_nodes(dependencies).persist()  # roots and per-project rows both read it
     closure = root_closure(nodes.select("ecosystem", F.col("name").alias("root")), edges)
     closure = broadcast_if_small(closure)
     reach = (
