@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Largest row count we are willing to ship to every executor as a broadcast side.
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_ROWS = 1_000_000
 
 
 def local_session(cpus: int | str = "*", app: str = "fleetaudit", shuffle_partitions: int = 8) -> SparkSession:

@@ -29,7 +29,7 @@ def load_edges(spark: SparkSession, path: str) -> DataFrame:
     ecos = _whole_text(spark, path).select(F.explode(doc).alias("ecosystem", "pkgs"))
     pkgs = ecos.select("ecosystem", F.explode("pkgs").alias("parent", "children"))
     return pkgs.select(
-        "ecosystem", F.lower("parent").alias("parent"), F.lower(F.explode("children")).alias("child")
+        "ecosystem", F.lower("parent").alias("parent"), F.explode(F.transform("children", F.lower)).alias("child")
     ).distinct()
 
 
