@@ -69,9 +69,35 @@ def _kept_lines(content: Column) -> Column:
     )
 
 
+# PEP 508-style line for the strict mode: name, optional extras, optional specifier set
+STRICT_REQUIREMENT = r"(?d)^([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)\s*(?:\[[^\]]*\])?\s*((?:===|==|!=|~=|<=|>=|<|>)[^;#]*)?"
+
+
+def requirements_deps_strict(manifests: DataFrame) -> DataFrame:
+    """S1 strict mode (D7 opt-in): names with dots, extras, spaces and ``!=`` are read as pip reads them.
+
+    ``pkg[extra] >= 1.0, < 2 ; python_version > "3"  # note`` -> (``pkg``, ``>= 1.0, < 2``);
+    an exact ``==x`` pin gives version ``x``; option lines (``-r``, ``--index-url``) are skipped;
+    no specifier gives ``latest``.
+    """
+    lines = F.filter(
+        _kept_lines(F.col("content")), lambda l: ~l.startswith("-") & l.rlike(STRICT_REQUIREMENT)
+    )
+
+    def version(l: Column) -> Column:
+        spec = py_strip(F.regexp_extract(l, STRICT_REQUIREMENT, 2))
+        pinned = F.regexp_extract(spec, r"^==\s*([^,\s*]+)$", 1)
+        return F.when(spec == "", F.lit("latest")).when(pinned != "", pinned).otherwise(spec)
+
+    deps = F.transform(lines, lambda l: _dep(F.lower(F.regexp_extract(l, STRICT_REQUIREMENT, 1)), version(l)))
+    return _explode_deps(manifests, deps)
+
+
 # ------------------------------------------------------------------ S1
-def requirements_deps(manifests: DataFrame) -> DataFrame:
+def requirements_deps(manifests: DataFrame, strict: bool = False) -> DataFrame:
     """Pip requirement lines -> (name lower-cased, version or ``latest``)."""
+    if strict:
+        return requirements_deps_strict(manifests)
     lines = F.filter(_kept_lines(F.col("content")), lambda l: l.rlike(REQUIREMENT_LINE))
     deps = F.transform(
         lines,

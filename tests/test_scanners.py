@@ -237,3 +237,28 @@ def test_secrets(spark):
     assert ("config.py", 2, "STRIPE_LIVE_KEY") in got
     assert ("config.py", 4, "PRIVATE_KEY") in got
     assert all(f == "config.py" for f, _, _ in got)
+
+
+def test_license_tokens_opt_in(spark):
+    df = spark.createDataFrame([("EXAMPLE",), ("LIMITED",), ("GPL-3.0",), ("MIT",), ("MPL 2.0",)], "l string")
+    got = [r[0] for r in df.select(licensing.license_risk(F.col("l"), tokens=True)["risk"]).collect()]
+    assert got == ["MEDIUM", "MEDIUM", "HIGH", "LOW", "HIGH"]
+
+
+def test_strict_requirements(spark):
+    from fleetaudit.sources import manifests as M
+
+    txt = ("Foo.Bar[x] >= 1.0, < 2 ; python_version > '3'  # c\nbaz==1.2.3\n-r other.txt\nqux != 2\n"
+           "plain\n")
+    m = spark.createDataFrame([(1, "r.txt", None, txt)], "project_id long, path string, ecosystem string, "
+                                                         "content string")
+    out = M.requirements_deps(m, strict=True).orderBy("pos").collect()
+    assert [(r.name, r.version) for r in out] == [("foo.bar", ">= 1.0, < 2"), ("baz", "1.2.3"), ("qux", "!= 2"),
+                                                  ("plain", "latest")]
+
+
+def test_user_pipeline_pattern(spark):
+    files = spark.createDataFrame([(1, "Jenkinsfile", "sh 'sudo rm -rf /'\n")],
+                                  "project_id long, path string, content string")
+    extra = [textscan.Pattern("SUDO", r"sudo\s+", "sudo in CI", "LOW")]
+    assert rows(textscan.pipeline_alerts(files, extra), "pattern_name", "line") == [("SUDO", 1)]
