@@ -58,6 +58,7 @@ def root_closure(roots: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS) -
     ).distinct().select("ecosystem", "root", F.col("root").alias("node"), F.lit(0).alias("depth"),
                         F.array(F.col("root")).alias("path"))
     visited = frontier
+    cached: list[DataFrame] = []
     hop = 0
     while hop < max_hops:
         hop += 1
@@ -75,6 +76,7 @@ def root_closure(roots: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS) -
             step = checkpoint(step)
         else:
             step = step.persist()
+            cached.append(step)
         if step.isEmpty():
             break
         visited = visited.unionByName(step)
@@ -83,7 +85,10 @@ def root_closure(roots: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS) -
         frontier = step
     # the finished closure is written to the shared checkpoint folder: consumers read it
     # back instead of replaying the hop loop, and a lost executor does not lose it
-    return checkpoint(visited)
+    done = checkpoint(visited)
+    for df in cached:  # the checkpointed closure no longer needs the per-hop caches
+        df.unpersist()
+    return done
 
 
 def resolve(dependencies: DataFrame, edges: DataFrame) -> DataFrame:

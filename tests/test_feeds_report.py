@@ -98,3 +98,24 @@ def test_scan_plan_with_plugin(spark):
     s = summary.first()
     assert (s.typosquatting_alerts, s.versions_outdated, s.artifact_issues, s.total_issues) == (1, 1, 1, 3)
     del scan.SCANNERS["always_one"]
+
+
+def test_sinks(spark):
+    from fleetaudit.plans import graph
+    from fleetaudit.session import ensure_checkpoint_dir
+
+    base = ensure_checkpoint_dir(spark).rstrip("/") + "/sink-test"
+    summary = spark.createDataFrame([(1, 92)], "project_id long, security_score int")
+    alerts = report.to_alerts(spark.createDataFrame([(1, "x", "HIGH")], "project_id long, package string, "
+                                                                     "severity string"), "vulnerabilities")
+    report.write_report(summary, alerts, base + "/report")
+    assert spark.read.json(base + "/report/summary").first().security_score == 92
+    assert spark.read.parquet(base + "/report/alerts").first().category == "vulnerabilities"
+    edges = spark.createDataFrame([("python", "a", "b")], "ecosystem string, parent string, child string")
+    deps = spark.createDataFrame(
+        [(1, "r.txt", "python", 1, "a", "1", None, None, None, None, "declared")],
+        "project_id long, path string, ecosystem string, pos int, name string, version string, dep_type string, "
+        "scope string, is_dev boolean, is_optional boolean, source string")
+    scan.write_graph(graph.resolve(deps, edges), edges, base + "/graph")
+    got = {r.name: r.depends_on for r in spark.read.json(base + "/graph").collect()}
+    assert got == {"a": ["b"], "b": []}
