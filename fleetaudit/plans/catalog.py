@@ -45,6 +45,14 @@ def manifest_dispatch(spark, sf_dir):
     return deps.groupBy("project_id", "path", "ecosystem").agg(F.count("*").alias("n_deps"))
 
 
+def installed_npm(spark, sf_dir):
+    """S3 + U2: installed packages found in node_modules, appended to npm projects."""
+    td = _td(spark, sf_dir)
+    npm = td.manifests.filter(F.col("ecosystem") == "npm").drop("ecosystem")
+    deps, _ = M.parse_manifests(npm, td.installed_files)
+    return deps.filter(F.col("source") == "installed").select("project_id", "name", "version", "dep_type")
+
+
 # ------------------------------------------------------------------ graph
 def closure_depth(spark, sf_dir):
     r = _resolved(_td(spark, sf_dir))
@@ -197,22 +205,21 @@ def scan_inputs(td: TestData) -> scan.ScanInputs:
     )
 
 
-def all_alerts(td: TestData) -> tuple[DataFrame, DataFrame]:
-    """The full dependency scan of every project (the original tool's main run, for all projects at once)."""
+def full_scan(td: TestData) -> tuple[DataFrame, DataFrame]:
+    """The full dependency scan of every project (the original tool's main run, for all projects at once):
+    returns (enriched alerts, project summary)."""
     t = scan_inputs(td)
-    alerts, _ = scan.scan_projects(t, ["typosquatting", "vulnerabilities", "licenses", "dep_confusion", "versions"])
-    return t.dependencies, alerts
+    return scan.scan_projects(t, ["typosquatting", "vulnerabilities", "licenses", "dep_confusion", "versions"])
 
 
 def enriched_alerts(spark, sf_dir):
-    _, alerts = all_alerts(_td(spark, sf_dir))
+    alerts, _ = full_scan(_td(spark, sf_dir))
     return alerts.select("project_id", "category", "type", "package", "severity", "is_transitive",
                          "dependency_path", "message")
 
 
 def project_summary(spark, sf_dir):
-    declared, alerts = all_alerts(_td(spark, sf_dir))
-    s = report.project_summary(declared, alerts)
+    _, s = full_scan(_td(spark, sf_dir))
     return s.select(
         "project_id", "total_dependencies", "vulnerabilities_found", "typosquatting_alerts", "licenses_found",
         "dep_confusion_issues", "versions_outdated", "total_issues", "n_critical", "n_high", "n_medium", "n_low",
@@ -221,8 +228,7 @@ def project_summary(spark, sf_dir):
 
 
 def recommendations(spark, sf_dir):
-    declared, alerts = all_alerts(_td(spark, sf_dir))
-    s = report.project_summary(declared, alerts)
+    _, s = full_scan(_td(spark, sf_dir))
     return s.select("project_id", F.array_join("recommendations", " | ").alias("recommendations"))
 
 
@@ -288,6 +294,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_gemfile": _parse("ruby", M.gemfile_deps),
     "parse_pom": _parse("maven", M.pom_deps),
     "manifest_dispatch": manifest_dispatch,
+    "installed_npm": installed_npm,
     "closure_depth": closure_depth,
     "shortest_path": shortest_path,
     "graph_stats": graph_stats,

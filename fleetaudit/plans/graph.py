@@ -48,16 +48,23 @@ def declared_nodes(dependencies: DataFrame) -> DataFrame:
 
 
 def root_closure(roots: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
-    """G1/G2/G5 per distinct root: ecosystem, root, node, depth, path (root first).
+    """G1/G2/G5 per distinct root: ecosystem, root, node, depth (>= 1), path (root first).
 
+    Only proper descendants are returned (a root is its own depth-0 node).
     ``path`` is the smallest shortest path by (length, lexicographic order).
+    Only roots that have children enter the hop loop.
     """
     e = broadcast_if_small(_edges(edges).persist())  # used by every hop
-    frontier = roots.select(
-        "ecosystem", F.lower("root").alias("root")
-    ).distinct().select("ecosystem", "root", F.col("root").alias("node"), F.lit(0).alias("depth"),
-                        F.array(F.col("root")).alias("path"))
-    visited = frontier
+    parents = e.select("ecosystem", F.col("parent").alias("root")).distinct()
+    start = (
+        roots.select("ecosystem", F.lower("root").alias("root")).distinct()
+        .join(parents, ["ecosystem", "root"], "left_semi")
+        .select("ecosystem", "root", F.col("root").alias("node"), F.lit(0).alias("depth"),
+                F.array(F.col("root")).alias("path"))
+    )
+    start = checkpoint(start)
+    frontier = start
+    visited = start
     cached: list[DataFrame] = []
     hop = 0
     while hop < max_hops:
@@ -85,7 +92,7 @@ def root_closure(roots: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS) -
         frontier = step
     # the finished closure is written to the shared checkpoint folder: consumers read it
     # back instead of replaying the hop loop, and a lost executor does not lose it
-    done = checkpoint(visited)
+    done = checkpoint(visited.filter(F.col("depth") > 0))
     for df in cached:  # the checkpointed closure no longer needs the per-hop caches
         df.unpersist()
     return done
@@ -97,29 +104,39 @@ def resolve(dependencies: DataFrame, edges: DataFrame) -> DataFrame:
     Columns: project_id, ecosystem, name, version, dep_type, is_direct, depth, path.
     Direct packages have depth 0 and path ``[name]``; transitive ones carry
     version/dep_type ``transitive`` and the shortest path from any direct package.
+    One aggregation on (project, ecosystem, package) over direct rows ∪ reached rows.
     """
     nodes = declared_nodes(dependencies).persist()  # roots and per-project rows both read it
     closure = root_closure(nodes.select("ecosystem", F.col("name").alias("root")), edges)
     closure = broadcast_if_small(closure)
-    reach = (
+    reached = (
         nodes.select("project_id", "ecosystem", F.col("name").alias("root"))
         .join(closure, ["ecosystem", "root"])
-        .groupBy("project_id", "ecosystem", "node")
-        .agg(F.min(F.struct("depth", "path")).alias("best"))
+        .select("project_id", "ecosystem", "node", F.struct("depth", "path").alias("best"),
+                F.lit(None).cast("string").alias("version"), F.lit(None).cast("string").alias("dep_type"),
+                F.lit(False).alias("is_direct"))
+    )
+    direct = nodes.select(
+        "project_id", "ecosystem", F.col("name").alias("node"),
+        F.struct(F.lit(0).alias("depth"), F.array(F.col("name")).alias("path")).alias("best"),
+        "version", "dep_type", F.lit(True).alias("is_direct"),
+    )
+    g = direct.unionByName(reached).groupBy("project_id", "ecosystem", "node").agg(
+        F.min("best").alias("best"),
+        F.max("is_direct").alias("is_direct"),
+        F.max("version").alias("version"),  # only the direct row carries one
+        F.max("dep_type").alias("dep_type"),
     )
-    direct = nodes.select("project_id", "ecosystem", F.col("name").alias("node"), "version", "dep_type",
-                          F.lit(True).alias("is_direct"))
-    out = reach.join(direct, ["project_id", "ecosystem", "node"], "left")
-    is_direct = F.coalesce(F.col("is_direct"), F.lit(False))
-    return out.select(
+    is_direct = F.col("is_direct")
+    return g.select(
         "project_id",
         "ecosystem",
         F.col("node").alias("name"),
         F.when(is_direct, F.col("version")).otherwise(F.lit("transitive")).alias("version"),
         F.when(is_direct, F.col("dep_type")).otherwise(F.lit("transitive")).alias("dep_type"),
         is_direct.alias("is_direct"),
-        F.when(is_direct, F.lit(0)).otherwise(F.col("best.depth")).alias("depth"),
-        F.when(is_direct, F.array(F.col("node"))).otherwise(F.col("best.path")).alias("path"),
+        F.col("best.depth").alias("depth"),
+        F.col("best.path").alias("path"),
     )
 
 

@@ -74,7 +74,8 @@ deps AS (
     CASE WHEN ecosystem = 'maven' THEN CASE pk % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'provided' ELSE 'compile' END
          END AS scope,
     CASE WHEN ecosystem = 'npm' THEN section_idx = 1 WHEN ecosystem = 'maven' THEN pk % 5 IN (0, 1) END AS is_dev,
-    CASE WHEN ecosystem = 'npm' THEN section_idx = 3 END AS is_optional
+    CASE WHEN ecosystem = 'npm' THEN section_idx = 3 END AS is_optional,
+    pk
   FROM deps_s)"""
 
 EDGES = """
@@ -546,6 +547,13 @@ def oracle_sql() -> dict[str, str]:
 SELECT project_id, CASE ecosystem WHEN 'python' THEN 'requirements.txt' WHEN 'npm' THEN 'package.json'
   WHEN 'ruby' THEN 'Gemfile' ELSE 'pom.xml' END AS path, ecosystem, count(*) AS n_deps
 FROM deps GROUP BY ALL"""
+    q["installed_npm"] = with_(PACKAGES, DEPS, EDGES) + """,
+inst AS (
+  SELECT d.project_id, e.child AS name, min(d.pk) AS pk
+  FROM deps d JOIN edges e ON e.ecosystem = d.ecosystem AND e.parent = d.name
+  WHERE d.ecosystem = 'npm' GROUP BY ALL)
+SELECT project_id, lower(name) AS name, '1.' || CAST(pk % 10 AS VARCHAR) || '.0' AS version, 'transitive' AS dep_type
+FROM inst WHERE pk % 11 <> 0"""
     q["closure_depth"] = with_(*GRAPH, recursive=True) + (
         "\nSELECT project_id, ecosystem, name, version, is_direct, depth FROM resolved")
     q["shortest_path"] = with_(*GRAPH, recursive=True) + (

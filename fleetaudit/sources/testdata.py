@@ -376,6 +376,22 @@ class TestData:
         )
         return self.packages.select(p.alias("project_id"), path.alias("path"), content.alias("content"))
 
+    @cached_property
+    def installed_files(self) -> DataFrame:
+        """project_id, path, content — ``node_modules/<child>/package.json`` for every known child of
+        an npm project's declared packages (version from the lowest parent part key; a few broken)."""
+        d = self.dependencies.filter(F.col("ecosystem") == "npm").select(
+            "project_id", "ecosystem", F.col("name").alias("parent"), "pk")
+        kids = d.join(self.edges, ["ecosystem", "parent"]).groupBy("project_id", "child").agg(
+            F.min("pk").alias("pk"))
+        content = F.when(F.col("pk") % 11 == 0, F.lit("{broken")).otherwise(F.concat(
+            F.lit('{"name": "'), F.col("child"), F.lit('", "version": "1.'), _s(F.col("pk") % 10), F.lit('.0"}')))
+        return kids.select(
+            "project_id",
+            F.concat(F.lit("node_modules/"), F.col("child"), F.lit("/package.json")).alias("path"),
+            content.alias("content"),
+        )
+
     @cached_property
     def config_files(self) -> DataFrame:
         """project_id, path, content — .npmrc / pip.conf / pip.ini rendered from supplier rows."""

@@ -262,3 +262,43 @@ def test_user_pipeline_pattern(spark):
                                   "project_id long, path string, content string")
     extra = [textscan.Pattern("SUDO", r"sudo\s+", "sudo in CI", "LOW")]
     assert rows(textscan.pipeline_alerts(files, extra), "pattern_name", "line") == [("SUDO", 1)]
+
+
+def test_version_key_order_matches_pep440_reference(spark):
+    """Property: sorting by version_key equals sorting with the `packaging` library on random versions."""
+    try:
+        from packaging.version import Version
+    except ImportError:  # pragma: no cover
+        import pytest
+        pytest.skip("packaging not installed")
+    rnd = random.Random(11)
+    vs = set()
+    for _ in range(300):
+        rel = ".".join(str(rnd.choice([0, 0, 1, 2, 10])) for _ in range(rnd.randint(1, 4)))
+        v = ("1!" if rnd.random() < 0.05 else "") + rel
+        r = rnd.random()
+        if r < 0.2:
+            v += rnd.choice(["a", "b", "rc", "alpha", "c"]) + str(rnd.randint(0, 3))
+        if rnd.random() < 0.2:
+            v += ".post" + str(rnd.randint(0, 2))
+        if rnd.random() < 0.2:
+            v += ".dev" + str(rnd.randint(0, 2))
+        if rnd.random() < 0.1:
+            v += "+" + rnd.choice(["abc", "5", "5.a", "ubuntu.1"])
+        vs.add(v)
+    vs = sorted(vs)
+    from fleetaudit.functions.versions import version_key
+
+    df = spark.createDataFrame([(v,) for v in vs], "v string").select("v", version_key(F.col("v")).alias("k"))
+    got = [(r.v, r.k) for r in df.collect()]
+    assert all(k is not None for _, k in got)
+    by_key = {}
+    for v, k in got:
+        by_key.setdefault(str(k), []).append(v)
+    ordered = [r.v for r in df.orderBy("k").collect()]
+    keys = {v: Version(v) for v in vs}
+    # consecutive rows never go backwards, and equal keys mean equal versions
+    for a, b in zip(ordered, ordered[1:]):
+        assert keys[a] <= keys[b], (a, b)
+    for group in by_key.values():
+        assert len({keys[v] for v in group}) == 1, group
