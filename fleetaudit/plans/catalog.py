@@ -247,10 +247,12 @@ def dependency_chains(spark, sf_dir):
 
 def graph_nodes(spark, sf_dir):
     td = _td(spark, sf_dir)
-    g = scan.graph_nodes(_resolved(td), td.edges)
-    return g.select("project_id", "ecosystem", "name", "version", "type", "depth", "is_direct",
-                    F.array_join("depends_on", ",").alias("depends_on"),
-                    F.array_join("depended_on_by", ",").alias("depended_on_by"))
+    return scan.graph_nodes(_resolved(td), td.edges)
+
+
+def cycle_nodes(spark, sf_dir):
+    """G6 exact: packages on any dependency cycle (edges with back edges added)."""
+    return graph.cycle_nodes(_td(spark, sf_dir).cycle_edges)
 
 
 def tree_view(spark, sf_dir):
@@ -326,6 +328,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "project_summary": project_summary,
     "recommendations": recommendations,
     "cycle_members": cycle_members,
+    "cycle_nodes": cycle_nodes,
     "dependency_chains": dependency_chains,
     "graph_nodes": graph_nodes,
     "tree_view": tree_view,

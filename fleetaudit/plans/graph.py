@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from fleetaudit.session import broadcast_if_small, checkpoint
 
 CHECKPOINT_EVERY = 3
-MAX_HOPS = 1000
 
 
 def _edges(edges: DataFrame) -> DataFrame:
@@ -47,12 +46,14 @@ def declared_nodes(dependencies: DataFrame) -> DataFrame:
     )
 
 
-def root_closure(roots: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def root_closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """G1/G2/G5 per distinct root: ecosystem, root, node, depth (>= 1), path (root first).
 
     Only proper descendants are returned (a root is its own depth-0 node).
     ``path`` is the smallest shortest path by (length, lexicographic order).
-    Only roots that have children enter the hop loop.
+    Only roots that have children enter the hop loop; the loop ends when a
+    hop finds no new (root, node) pair, which always happens (pairs are finite
+    and never revisited), so there is no hop limit.
     """
     e = broadcast_if_small(_edges(edges).persist())  # used by every hop
     parents = e.select("ecosystem", F.col("parent").alias("root")).distinct()
@@ -67,7 +68,7 @@ def root_closure(roots: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS) -
     visited = start
     cached: list[DataFrame] = []
     hop = 0
-    while hop < max_hops:
+    while True:
         hop += 1
         step = (
             frontier.withColumnRenamed("node", "parent")
@@ -210,27 +211,18 @@ def blast_radius(resolved: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def cycles(edges: DataFrame, max_len: int = 8) -> DataFrame:
-    """Simple cycles up to ``max_len`` nodes, each rotated to start at its smallest node.
+    """G6 listing: simple cycles up to ``max_len`` nodes, each rotated to start at its smallest node.
+
+    The number of simple cycles can grow exponentially, so the listing is
+    bounded by cycle length; which packages are on a cycle at all is computed
+    exactly, without a bound, by ``cycle_nodes``.
 
     Nodes that cannot lie on a cycle are trimmed first (no in- or no out-edge,
     repeated until stable); then paths grow only through nodes greater than
     their start, so each cycle is found exactly once.
     Columns: ecosystem, cycle (ARRAY, first node repeated at the end), length.
     """
-    e = _edges(edges)
-    while True:
-        outs = e.select("ecosystem", F.col("parent").alias("n")).distinct()
-        ins = e.select("ecosystem", F.col("child").alias("n")).distinct()
-        keep = outs.join(ins, ["ecosystem", "n"])
-        trimmed = (
-            e.join(keep.withColumnRenamed("n", "parent"), ["ecosystem", "parent"], "left_semi")
-            .join(keep.withColumnRenamed("n", "child"), ["ecosystem", "child"], "left_semi")
-        )
-        trimmed = checkpoint(trimmed)
-        if trimmed.count() == e.count():
-            break
-        e = trimmed
-    e = broadcast_if_small(e)
+    e = broadcast_if_small(_trim_acyclic(_edges(edges)))
     found = e.filter(F.col("parent") == F.col("child")).select(
         "ecosystem", F.array("parent", "child").alias("cycle")
     )
@@ -257,12 +249,51 @@ def cycles(edges: DataFrame, max_len: int = 8) -> DataFrame:
     return found.select("ecosystem", "cycle", (F.size("cycle") - 1).alias("length"))
 
 
-def dependency_chains(resolved: DataFrame, edges: DataFrame, max_len: int = 32) -> DataFrame:
+def cycle_nodes(edges: DataFrame) -> DataFrame:
+    """G6 exact membership: ecosystem, name of every package lying on some dependency cycle.
+
+    No length limit: after trimming, ``v`` is on a cycle iff it has a self
+    edge or some edge ``u -> v`` whose head ``v`` reaches ``u``; reachability
+    is the same hop-loop closure as G1, run from the trimmed nodes only.
+    """
+    e = _trim_acyclic(_edges(edges))
+    roots = e.select("ecosystem", F.col("parent").alias("root")).distinct()
+    reach = root_closure(roots, e)  # (root, node): node reachable from root
+    back = e.join(
+        reach.select("ecosystem", F.col("root").alias("child"), F.col("node").alias("parent")),
+        ["ecosystem", "parent", "child"], "left_semi",
+    )
+    on_cycle = back.select("ecosystem", F.col("child").alias("name")).unionByName(
+        e.filter(F.col("parent") == F.col("child")).select("ecosystem", F.col("child").alias("name"))
+    )
+    return on_cycle.distinct()
+
+
+def _trim_acyclic(e: DataFrame) -> DataFrame:
+    """Drop edges touching nodes with no in-edge or no out-edge, until stable (cannot be on a cycle)."""
+    e = checkpoint(e)
+    n = e.count()
+    while True:
+        outs = e.select("ecosystem", F.col("parent").alias("n")).distinct()
+        ins = e.select("ecosystem", F.col("child").alias("n")).distinct()
+        keep = outs.join(ins, ["ecosystem", "n"])
+        trimmed = checkpoint(
+            e.join(keep.withColumnRenamed("n", "parent"), ["ecosystem", "parent"], "left_semi")
+            .join(keep.withColumnRenamed("n", "child"), ["ecosystem", "child"], "left_semi")
+        )
+        m = trimmed.count()
+        if m == n:
+            return trimmed
+        e, n = trimmed, m
+
+
+def dependency_chains(resolved: DataFrame, edges: DataFrame) -> DataFrame:
     """Every upward chain from each transitive package to the first direct package.
 
     Walks reverse edges inside each project's graph; a chain stops at a direct
     package, at a package without parents, or when every parent is already on
     the chain.  Columns: project_id, ecosystem, name, chain (ARRAY, direct end first).
+    A chain never repeats a package, so the walk ends by itself (no length limit).
     """
     pe = project_edges(resolved, edges)
     direct = resolved.filter("is_direct").select("project_id", "ecosystem", F.col("name").alias("p"))
@@ -271,7 +302,7 @@ def dependency_chains(resolved: DataFrame, edges: DataFrame, max_len: int = 32)
     )
     done = None
     open_ = start
-    for _ in range(max_len):
+    while True:
         step = open_.join(
             pe.select("project_id", "ecosystem", F.col("child").alias("cur"), F.col("parent").alias("p")),
             ["project_id", "ecosystem", "cur"], "left",

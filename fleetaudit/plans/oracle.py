@@ -672,6 +672,18 @@ SELECT c.ecosystem, array_to_string(list_append(c.path, c.start), ' -> ') AS cyc
 FROM cyc c JOIN cedges e ON e.ecosystem = c.ecosystem AND e.parent = c.last AND e.child = c.start
 UNION ALL
 SELECT ecosystem, parent || ' -> ' || child, 1 FROM cedges WHERE parent = child"""
+    q["cycle_nodes"] = with_(PACKAGES, EDGES, """
+cedges AS (
+  SELECT * FROM edges
+  UNION
+  SELECT ecosystem, child AS parent, parent AS child FROM edges
+  WHERE child LIKE 'internal-%' AND CAST(regexp_extract(parent, '([0-9]+)$', 1) AS BIGINT) % 5 = 0)""", """
+reach(ecosystem, src, dst) AS (
+  SELECT ecosystem, parent, child FROM cedges
+  UNION
+  SELECT r.ecosystem, r.src, e.child FROM reach r JOIN cedges e ON e.ecosystem = r.ecosystem AND e.parent = r.dst)""",
+        recursive=True) + """
+SELECT DISTINCT ecosystem, src AS name FROM reach WHERE src = dst"""
     q["dependency_chains"] = with_(*GRAPH, pe, """
 dir AS (SELECT project_id, ecosystem, name FROM resolved WHERE is_direct)""", """
 up(project_id, ecosystem, name, cur, chain) AS (
@@ -686,12 +698,10 @@ SELECT u.project_id, u.ecosystem, u.name, array_to_string(list_reverse(u.chain),
 FROM up u JOIN dir d ON d.project_id = u.project_id AND d.ecosystem = u.ecosystem AND d.name = u.cur
 WHERE len(u.chain) > 1"""
     q["graph_nodes"] = with_(*GRAPH, pe, recursive=True) + """,
-down AS (SELECT project_id, ecosystem, parent AS name, array_to_string(list_sort(list(DISTINCT child)), ',') AS d
-         FROM pe GROUP BY ALL),
-up AS (SELECT project_id, ecosystem, child AS name, array_to_string(list_sort(list(DISTINCT parent)), ',') AS u
-       FROM pe GROUP BY ALL)
+down AS (SELECT project_id, ecosystem, parent AS name, count(DISTINCT child) AS d FROM pe GROUP BY ALL),
+up AS (SELECT project_id, ecosystem, child AS name, count(DISTINCT parent) AS u FROM pe GROUP BY ALL)
 SELECT r.project_id, r.ecosystem, r.name, r.version, r.dep_type AS type, r.depth, r.is_direct,
-  coalesce(down.d, '') AS depends_on, coalesce(up.u, '') AS depended_on_by
+  coalesce(down.d, 0) AS n_depends_on, coalesce(up.u, 0) AS n_depended_on_by
 FROM resolved r
 LEFT JOIN down ON down.project_id = r.project_id AND down.ecosystem = r.ecosystem AND down.name = r.name
 LEFT JOIN up ON up.project_id = r.project_id AND up.ecosystem = r.ecosystem AND up.name = r.name"""

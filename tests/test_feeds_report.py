@@ -117,5 +117,6 @@ def test_sinks(spark):
         "project_id long, path string, ecosystem string, pos int, name string, version string, dep_type string, "
         "scope string, is_dev boolean, is_optional boolean, source string")
     scan.write_graph(graph.resolve(deps, edges), edges, base + "/graph")
-    got = {r.name: r.depends_on for r in spark.read.json(base + "/graph").collect()}
-    assert got == {"a": ["b"], "b": []}
+    got = {r.name: r.n_depends_on for r in spark.read.json(base + "/graph/nodes").collect()}
+    assert got == {"a": 1, "b": 0}
+    assert [(r.parent, r.child) for r in spark.read.parquet(base + "/graph/edges").collect()] == [("a", "b")]

@@ -67,6 +67,10 @@ def test_cycles(spark):
     got = rows(graph.cycles(e).select("cycle", "length"), "cycle", "length")
     assert got == [(["a", "b", "c", "a"], 3), (["x", "x"], 1)]
     assert graph.cycles(_edges(spark)).count() == 0
+    long = spark.createDataFrame([("npm", f"n{i:02d}", f"n{(i + 1) % 20:02d}") for i in range(20)]
+                                 + [("npm", "n05", "tail")], "ecosystem string, parent string, child string")
+    assert graph.cycle_nodes(long).count() == 20  # a 20-node loop: membership has no length limit
+    assert rows(graph.cycle_nodes(e), "name") == [("a",), ("b",), ("c",), ("x",)]
 
 
 def test_chains(spark):
@@ -84,8 +88,7 @@ def test_blast_radius_and_nodes(spark):
     b = graph.blast_radius(r, t).first()
     assert (b.n_projects, b.n_direct, b.n_transitive, b.n_entry_packages) == (2, 1, 1, 1)
     nodes = {x.name: x for x in scan.graph_nodes(r.filter("project_id = 1"), e).collect()}
-    assert nodes["markupsafe"].depended_on_by == ["flask", "jinja2", "werkzeug"]
-    assert nodes["flask"].depends_on == ["click", "itsdangerous", "jinja2", "markupsafe", "werkzeug"]
+    assert (nodes["markupsafe"].n_depended_on_by, nodes["flask"].n_depends_on) == (3, 5)
 
 
 def test_last_declaration_wins(spark):
