@@ -59,6 +59,11 @@ def closure_depth(spark, sf_dir):
     return r.select("project_id", "ecosystem", "name", "version", "is_direct", "depth")
 
 
+def depth_compat(spark, sf_dir):
+    td = _td(spark, sf_dir)
+    return graph.depth_compat(td.declared, _resolved(td), td.edges)
+
+
 def shortest_path(spark, sf_dir):
     return graph.shortest_paths(_resolved(_td(spark, sf_dir)))
 
@@ -299,6 +304,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "installed_npm": installed_npm,
     "closure_depth": closure_depth,
     "shortest_path": shortest_path,
+    "depth_compat": depth_compat,
     "graph_stats": graph_stats,
     "blast_radius": blast_radius,
     "children_counts": children_counts,

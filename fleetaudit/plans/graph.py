@@ -141,6 +141,33 @@ def resolve(dependencies: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def depth_compat(dependencies: DataFrame, resolved: DataFrame, edges: DataFrame) -> DataFrame:
+    """The original tool's depth, next to the documented one.
+
+    Its breadth-first pass starts from the direct packages in declaration
+    order, so a direct package that is a child of an *earlier* declared direct
+    package ends with depth 1; every other package keeps the fewest-hops depth.
+    Columns: project_id, ecosystem, name, depth, depth_compat.
+    """
+    nodes = declared_nodes(dependencies).select(
+        "project_id", "ecosystem", "name", F.col("first_pos").alias("pos"))
+    pe = project_edges(resolved.filter("is_direct"), edges)
+    later = (
+        pe.join(nodes.withColumnRenamed("name", "parent").withColumnRenamed("pos", "ppos"),
+                ["project_id", "ecosystem", "parent"])
+        .join(nodes.withColumnRenamed("name", "child").withColumnRenamed("pos", "cpos"),
+              ["project_id", "ecosystem", "child"])
+        .filter((F.col("ppos") < F.col("cpos")) & (F.col("parent") != F.col("child")))
+        .select("project_id", "ecosystem", F.col("child").alias("name"))
+        .distinct()
+        .withColumn("bumped", F.lit(True))
+    )
+    return resolved.join(later, ["project_id", "ecosystem", "name"], "left").select(
+        "project_id", "ecosystem", "name", "depth",
+        F.when(F.col("bumped"), F.lit(1)).otherwise(F.col("depth")).alias("depth_compat"),
+    )
+
+
 def shortest_paths(resolved: DataFrame) -> DataFrame:
     """project_id, ecosystem, name, path string ``a -> b -> c`` (length > 1 only)."""
     return resolved.filter(F.size("path") > 1).select(

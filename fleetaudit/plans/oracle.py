@@ -556,6 +556,16 @@ SELECT project_id, lower(name) AS name, '1.' || CAST(pk % 10 AS VARCHAR) || '.0'
 FROM inst WHERE pk % 11 <> 0"""
     q["closure_depth"] = with_(*GRAPH, recursive=True) + (
         "\nSELECT project_id, ecosystem, name, version, is_direct, depth FROM resolved")
+    q["depth_compat"] = with_(*GRAPH, recursive=True) + """
+SELECT r.project_id, r.ecosystem, r.name, r.depth,
+  CASE WHEN r.is_direct AND EXISTS (
+    SELECT 1 FROM deps p JOIN edges e ON e.ecosystem = p.ecosystem AND e.parent = p.name
+    WHERE p.project_id = r.project_id AND p.ecosystem = r.ecosystem AND e.child = r.name
+      AND p.name <> r.name
+      AND p.pos < (SELECT d.pos FROM deps d WHERE d.project_id = r.project_id AND d.ecosystem = r.ecosystem
+                   AND d.name = r.name))
+  THEN 1 ELSE r.depth END AS depth_compat
+FROM resolved r"""
     q["shortest_path"] = with_(*GRAPH, recursive=True) + (
         "\nSELECT project_id, ecosystem, name, array_to_string(path, ' -> ') AS dependency_path FROM resolved "
         "WHERE len(path) > 1")

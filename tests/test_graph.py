@@ -101,3 +101,12 @@ def test_last_declaration_wins(spark):
     )
     n = graph.declared_nodes(d).first()
     assert (n.version, n.dep_type, n.first_pos, n.n_declarations) == ("17.0.2", "transitive", 1, 3)
+
+
+def test_depth_compat(spark):
+    e = _edges(spark)
+    d = _deps(spark, ["flask", "jinja2", "requests"])
+    r = graph.resolve(d, e)
+    got = {x.name: (x.depth, x.depth_compat) for x in graph.depth_compat(d, r, e).collect()}
+    assert got["jinja2"] == (0, 1)  # direct, and a child of the earlier-declared flask
+    assert got["flask"] == (0, 0) and got["requests"] == (0, 0) and got["markupsafe"] == (1, 1)
