@@ -171,19 +171,70 @@ def refresh_snapshot(spark: SparkSession, snapshot_path: str, fresh: DataFrame,
     return spark.read.parquet(snapshot_path)
 
 
-def read_project_tree(spark: SparkSession, root: str) -> DataFrame:
+def _fs_and_base(root: str):
+    import os
+
+    import pyarrow.fs as pafs
+
+    if "://" in root and not root.startswith("file://"):
+        return pafs.FileSystem.from_uri(root)
+    return pafs.LocalFileSystem(), os.path.abspath(root.replace("file://", ""))
+
+
+def read_project_tree(spark: SparkSession, root: str, files_per_task: int = 512) -> DataFrame:
     """S15–S17 input: every file below ``root/<project>/...`` -> text_files(project_id, path, content).
 
-    ``project_id`` is the first folder under ``root``; ``path`` is relative to it.
-    One row per file (whole text), read in parallel by Spark.
+    Spark's file sources skip hidden paths (``.github/``, ``.gitlab-ci.yml``,
+    ``.npmrc``, ``.env``), which are exactly the CI and config files scanned
+    here, so the tree is walked with ``pyarrow.fs`` inside tasks:
+
+    1. the driver lists only the top-level project folders;
+    2. tasks list each project's files (metadata only, hidden ones included);
+    3. the (project, file) list is repartitioned evenly and tasks read the
+       contents — a project holding a third of all files is spread over many
+       tasks for the reading.
+
+    ``path`` is relative to the project folder; undecodable bytes are replaced.
     """
-    files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
-        .select(F.col("_metadata.file_path").alias("fp"), F.col("value").alias("content"))
-    )
-    rel = F.regexp_extract(F.col("fp"), r"^(?:file:)?/*" + root.strip("/").replace(".", r"\.") + r"/(.*)$", 1)
-    return files.select(
-        F.regexp_extract(rel, r"^([^/]+)/", 1).alias("project_id"),
-        F.regexp_extract(rel, r"^[^/]+/(.*)$", 1).alias("path"),
-        "content",
-    )
+    import pyarrow.fs as pafs
+
+    fs, base = _fs_and_base(root)
+    projects = [
+        i.base_name for i in fs.get_file_info(pafs.FileSelector(base))
+        if i.type == pafs.FileType.Directory
+    ]
+    if not projects:
+        return spark.createDataFrame([], "project_id string, path string, content string")
+
+    def list_files(batches):
+        import pandas as pd
+        import pyarrow.fs as pafs
+
+        fs2, base2 = _fs_and_base(root)
+        for pdf in batches:
+            out = []
+            for proj in pdf["project_id"]:
+                prefix = f"{base2}/{proj}"
+                for info in fs2.get_file_info(pafs.FileSelector(prefix, recursive=True)):
+                    if info.type == pafs.FileType.File:
+                        out.append((proj, info.path[len(prefix) + 1:]))
+            yield pd.DataFrame(out, columns=["project_id", "path"])
+
+    def read_files(batches):
+        import pandas as pd
+
+        fs2, base2 = _fs_and_base(root)
+        for pdf in batches:
+            contents = []
+            for proj, path in zip(pdf["project_id"], pdf["path"]):
+                with fs2.open_input_stream(f"{base2}/{proj}/{path}") as fh:
+                    contents.append(fh.read().decode("utf-8", errors="replace"))
+            yield pd.DataFrame({"project_id": pdf["project_id"], "path": pdf["path"], "content": contents})
+
+    proj_df = spark.createDataFrame([(p,) for p in projects], "project_id string")
+    n_list = max(1, min(len(projects), spark.sparkContext.defaultParallelism * 4))
+    listed = proj_df.repartition(n_list).mapInPandas(list_files, "project_id string, path string")
+    listed = listed.persist()
+    n_files = listed.count()
+    n_read = max(1, -(-n_files // files_per_task))
+    return listed.repartition(n_read).mapInPandas(read_files, "project_id string, path string, content string")
