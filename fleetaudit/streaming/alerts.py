@@ -10,8 +10,9 @@
   (update mode; state kept by Spark's aggregation state store).
 
 Aggregations run in update mode through ``foreachBatch``: every micro-batch
-appends the rows it changed, tagged with the batch id, and the current state
-is "latest row per key" — read back as a batch DataFrame.  Sinks and
+writes the rows it changed into its own ``batch_id=<n>`` folder (overwrite, so
+a retried batch does not duplicate rows), and the current state is "latest
+row per key" — read back as a batch DataFrame.  Sinks and
 checkpoints live under the session's shared checkpoint folder, so a restarted
 query resumes from its checkpoint instead of starting over.
 """
@@ -78,11 +79,16 @@ def alert_stream(events: DataFrame) -> DataFrame:
     )
 
 
+def _write_batch(batch: DataFrame, out: str, batch_id: int) -> None:
+    """Idempotent micro-batch sink: a re-run of the same batch overwrites its own folder."""
+    batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+
 def _upsert_log(df: DataFrame, out: str, ckpt: str, keys: list[str]) -> StreamingQuery:
-    """Write each micro-batch's changed rows (update mode) tagged with its batch id."""
+    """Write each micro-batch's changed rows (update mode) into the batch's own folder."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
+        _write_batch(batch, out, batch_id)
 
     return (
         df.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", ckpt)
@@ -92,9 +98,9 @@ def _upsert_log(df: DataFrame, out: str, ckpt: str, keys: list[str]) -> Streamin
 
 def latest_state(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     """Current state of an upsert log: the row of the highest batch per key."""
-    log = spark.read.parquet(out)
-    vals = [c for c in log.columns if c not in keys and c != "_batch"]
-    agg = log.groupBy(*keys).agg(F.max_by(F.struct(*vals), F.col("_batch")).alias("v"))
+    log = spark.read.parquet(out)  # batch_id comes back as a partition column
+    vals = [c for c in log.columns if c not in keys and c != "batch_id"]
+    agg = log.groupBy(*keys).agg(F.max_by(F.struct(*vals), F.col("batch_id")).alias("v"))
     return agg.select(*keys, *[F.col(f"v.{c}").alias(c) for c in vals])
 
 
@@ -166,7 +172,7 @@ def stream_outdated(spark: SparkSession, manifests: DataFrame, releases: DataFra
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         deps, _ = M.parse_manifests(batch.drop("ecosystem"))
         alerts = outdated.outdated_alerts(deps, releases)
-        alerts.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out + "/alerts")
+        _write_batch(alerts, out + "/alerts", batch_id)
 
     q = (
         src.writeStream.foreachBatch(per_batch).option("checkpointLocation", out + "/ckpt")
@@ -174,7 +180,7 @@ def stream_outdated(spark: SparkSession, manifests: DataFrame, releases: DataFra
     )
     _run(q)
     try:
-        return spark.read.parquet(out + "/alerts").drop("_batch")
+        return spark.read.parquet(out + "/alerts").drop("batch_id")
     except Exception:  # noqa: BLE001 - no batch produced any alert
         return spark.createDataFrame([], outdated_schema())
 
