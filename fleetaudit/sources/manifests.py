@@ -251,3 +251,20 @@ def parse_manifests(manifests: DataFrame, text_files: DataFrame | None = None) -
         deps = deps.unionByName(installed_npm_deps(text_files).join(npm_projects, "project_id", "left_semi"))
     quarantine = m.filter(F.col("ecosystem").isNull()).select("project_id", "path")
     return deps, quarantine
+
+
+# Manifest file names looked for at a project's root.
+MANIFEST_ROOT_NAMES = ["requirements.txt", "package.json", "Gemfile", "pom.xml"]
+
+
+def manifest_files(text_files: DataFrame) -> DataFrame:
+    """Project-root manifests of a tree: the well-known names plus ``*.gemfile`` / ``*.pom``.
+
+    (The dispatch rule S6 classifies a given manifest path; this picks which
+    files of a whole project tree are manifests, so a ``docs/notes.txt`` is not
+    read as a requirements file.)
+    """
+    p = F.col("path")
+    root_level = ~p.contains("/")
+    named = p.isin(*MANIFEST_ROOT_NAMES) | F.lower(p).endswith(".gemfile") | F.lower(p).endswith(".pom")
+    return text_files.filter(root_level & named)

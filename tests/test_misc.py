@@ -63,3 +63,50 @@ def test_read_project_tree(spark):
     t = feeds.read_project_tree(spark, root)
     assert rows(t, "project_id", "path") == [("p1", ".github/workflows/ci.yml"), ("p1", "requirements.txt")]
     assert rows(textscan.pipeline_alerts(t), "file", "pattern_name") == [(".github/workflows/ci.yml", "CURL_BASH")]
+
+
+def test_directory_scan_end_to_end(spark):
+    from fleetaudit.plans import scan
+
+    root = tempfile.mkdtemp(prefix="tree-", dir="/tmp")
+    files = {
+        "web/package.json": '{"dependencies": {"expres": "^4.0.0", "@corp/ui": "1.0.0"}}',
+        "web/node_modules/left-pad/package.json": '{"version": "1.3.0"}',
+        "web/.npmrc": "registry=https://npm.corp/\n",
+        "web/.github/workflows/ci.yml": "steps:\n  - uses: actions/checkout@main\n",
+        "web/docs/notes.txt": "not a manifest==1.0\n",
+        "api/requirements.txt": "django==3.2.0\n",
+        "api/settings.py": "PASSWORD = 'hunter2hunter2'\n",
+    }
+    for rel, text in files.items():
+        os.makedirs(os.path.dirname(f"{root}/{rel}"), exist_ok=True)
+        with open(f"{root}/{rel}", "w") as f:
+            f.write(text)
+    tree = feeds.read_project_tree(spark, root)
+
+    def empty(schema):
+        return spark.createDataFrame([], schema)
+
+    t = scan.inputs_from_tree(
+        tree,
+        edges=empty("ecosystem string, parent string, child string"),
+        popular=spark.createDataFrame([("npm", "express")], "ecosystem string, name string"),
+        advisories=empty("ecosystem string, package string, cve string, severity string, affected_versions string, "
+                         "summary string, description string"),
+        licenses=empty("ecosystem string, package string, license string"),
+        releases=empty("ecosystem string, package string, version string"),
+        registry_names=spark.createDataFrame([("npm", "expres"), ("npm", "left-pad"), ("python", "django")],
+                                             "ecosystem string, package string"),
+    )
+    assert rows(t.dependencies, "project_id", "name", "source") == [
+        ("api", "django", "declared"), ("web", "@corp/ui", "declared"), ("web", "expres", "declared"),
+        ("web", "left-pad", "installed")]
+    alerts, summary = scan.scan_projects(t, scan.DEFAULT_SCANS + ["secrets"])
+    got = rows(alerts, "project_id", "category", "type")
+    assert ("web", "typosquatting", "TYPOSQUATTING") in got
+    assert ("web", "dep_confusion", "DEPENDENCY_CONFUSION") in got      # @corp/ui unregistered
+    assert ("web", "dep_confusion", "DEP_CONFUSION_CONFIG") in got      # .npmrc default registry
+    assert ("web", "pipeline", "PIPELINE_RISK") in got                  # unpinned action
+    assert ("api", "versions", "OUTDATED_PACKAGE") in got               # built-in latest for django
+    assert ("api", "secrets", "PASSWORD_ASSIGNMENT") in got
+    assert {r.project_id: r.total_dependencies for r in summary.collect()} == {"api": 1, "web": 3}
