@@ -175,8 +175,11 @@ def installed_npm_deps(text_files: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ S5
 def pom_deps(manifests: DataFrame) -> DataFrame:
-    """Every ``<dependency>`` at any depth; ``${p}`` from the first ``<properties>``."""
-    c = F.col("content")
+    """Every ``<dependency>`` at any depth; ``${p}`` from the first ``<properties>``.
+
+    XML comments are removed first, as an XML parser never sees commented-out elements.
+    """
+    c = F.regexp_replace(F.col("content"), r"(?s)<!--.*?-->", "")
     props_block = F.regexp_extract(c, r"(?s)<properties\s*>(.*?)</properties\s*>", 1)
     prop_re = r"(?s)<([A-Za-z_][\w.\-]*)\s*>([^<]*)</\1\s*>"
     props = F.arrays_zip(

@@ -264,7 +264,7 @@ def test_user_pipeline_pattern(spark):
     assert rows(textscan.pipeline_alerts(files, extra), "pattern_name", "line") == [("SUDO", 1)]
 
 
-def test_version_key_order_matches_pep440_reference(spark):
+def test_version_key_order_matches_packaging_library(spark):
     """Property: sorting by version_key equals sorting with the `packaging` library on random versions."""
     try:
         from packaging.version import Version
