@@ -63,10 +63,10 @@ def root_closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
         .select("ecosystem", "root", F.col("root").alias("node"), F.lit(0).alias("depth"),
                 F.array(F.col("root")).alias("path"))
     )
-    start = checkpoint(start)
+    start = start.persist()
+    cached: list[DataFrame] = [start]
     frontier = start
     visited = start
-    cached: list[DataFrame] = []
     hop = 0
     while True:
         hop += 1
