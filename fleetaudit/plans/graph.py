@@ -322,12 +322,12 @@ def dependency_chains(resolved: DataFrame, edges: DataFrame) -> DataFrame:
     the chain.  Columns: project_id, ecosystem, name, chain (ARRAY, direct end first).
     A chain never repeats a package, so the walk ends by itself (no length limit).
     """
-    pe = project_edges(resolved, edges)
-    direct = resolved.filter("is_direct").select("project_id", "ecosystem", F.col("name").alias("p"))
+    pe = project_edges(resolved, edges).persist()  # read by every step
+    direct = resolved.filter("is_direct").select("project_id", "ecosystem", F.col("name").alias("p")).persist()
     start = resolved.filter(~F.col("is_direct")).select(
         "project_id", "ecosystem", "name", F.col("name").alias("cur"), F.array("name").alias("chain")
     )
-    done = None
+    pieces: list[DataFrame] = []
     open_ = start
     while True:
         step = open_.join(
@@ -347,12 +347,18 @@ def dependency_chains(resolved: DataFrame, edges: DataFrame) -> DataFrame:
                            F.concat("chain", F.array("p")).alias("chain"))
         ended = nxt.join(direct.withColumnRenamed("p", "cur"), ["project_id", "ecosystem", "cur"], "left_semi")
         ended = ended.select("project_id", "ecosystem", "name", "chain")
-        finished = no_parent.unionByName(stuck).unionByName(ended)
-        done = finished if done is None else done.unionByName(finished)
-        done = checkpoint(done)
+        # each finished piece depends only on this step's (checkpointed) frontier: kept lazily and
+        # written once at the end, instead of re-writing the growing result every step
+        pieces.append(no_parent.unionByName(stuck).unionByName(ended))
         open_ = checkpoint(
             nxt.join(direct.withColumnRenamed("p", "cur"), ["project_id", "ecosystem", "cur"], "left_anti")
         )
         if open_.isEmpty():
             break
+    done = pieces[0]
+    for piece in pieces[1:]:
+        done = done.unionByName(piece)
+    done = checkpoint(done)
+    pe.unpersist()
+    direct.unpersist()
     return done.select("project_id", "ecosystem", "name", F.reverse("chain").alias("chain"))
