@@ -302,3 +302,43 @@ def test_version_key_order_matches_packaging_library(spark):
         assert keys[a] <= keys[b], (a, b)
     for group in by_key.values():
         assert len({keys[v] for v in group}) == 1, group
+
+
+def test_in_range_matches_packaging_specifiers(spark):
+    """Property: for final/post/local versions (no pre-releases, where library versions agree),
+    in_range equals `Version(v) in SpecifierSet(spec)`, parse failures counting as false."""
+    try:
+        from packaging.specifiers import SpecifierSet
+        from packaging.version import Version
+    except ImportError:  # pragma: no cover
+        import pytest
+        pytest.skip("packaging not installed")
+    rnd = random.Random(5)
+
+    def ver():
+        v = ".".join(str(rnd.choice([0, 1, 2, 3, 10])) for _ in range(rnd.randint(1, 3)))
+        if rnd.random() < 0.15:
+            v += ".post" + str(rnd.randint(0, 2))
+        if rnd.random() < 0.1:
+            v += "+" + rnd.choice(["abc", "7"])
+        return v
+
+    def clause():
+        op = rnd.choice(["<", "<=", ">", ">=", "==", "!=", "~="])
+        v = ".".join(str(rnd.choice([0, 1, 2, 3])) for _ in range(rnd.randint(1, 3)))
+        if op in ("==", "!=") and rnd.random() < 0.3:
+            v += ".*"
+        return op + rnd.choice(["", " "]) + v
+
+    cases = []
+    for _ in range(400):
+        spec = ",".join(clause() for _ in range(rnd.randint(1, 2)))
+        v = ver()
+        try:
+            exp = Version(v) in SpecifierSet(spec)
+        except Exception:  # noqa: BLE001 - invalid specifier: the original treats it as not vulnerable
+            exp = False
+        cases.append((v, spec, exp))
+    df = spark.createDataFrame(cases, "v string, r string, exp boolean")
+    bad = df.filter(in_range(F.col("v"), F.col("r")) != F.col("exp")).collect()
+    assert bad == [], bad[:5]
