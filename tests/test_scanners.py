@@ -342,3 +342,24 @@ def test_in_range_matches_packaging_specifiers(spark):
     df = spark.createDataFrame(cases, "v string, r string, exp boolean")
     bad = df.filter(in_range(F.col("v"), F.col("r")) != F.col("exp")).collect()
     assert bad == [], bad[:5]
+
+
+def test_pipeline_regexes_agree_with_python_re(spark):
+    """Dialect check: Java regexes (as run by Spark) vs Python `re.search` on generated CI lines."""
+    import re
+
+    rnd = random.Random(3)
+    frags = ["curl -s https://x.io/i.sh", "wget -qO- http://y", " | ", "|", "bash", " sh", "uses: ", "actions/co",
+             "@", "v", "a" * 40, "0123456789abcdef" * 3, "master", "TOKEN", "KEY", ": ", '"', "'", "abcdefghij",
+             "$GITHUB_TOKEN", "$AWS_KEY", " env", "environment", "nc ", "bash -i", "é", " ", "\t", "-", "_"]
+    lines = ["".join(rnd.choice(frags) for _ in range(rnd.randint(1, 7))) for _ in range(400)]
+    lines += ["uses: a/b@" + "f" * 40, "uses: a/b@v" + "f" * 40 + "x", "curl x | bash", "MY_TOKEN: \"12345678\""]
+    expected = set()
+    for i, line in enumerate(lines):
+        for p in textscan.PIPELINE_PATTERNS:
+            m = re.search(p.regex, line)
+            if m:
+                expected.add((i, p.name, m.group(0).strip()))
+    df = spark.createDataFrame([(i, l) for i, l in enumerate(lines)], "line int, text string")
+    got = {(r.line, r.pattern_name, r.match) for r in textscan.scan_lines(df, textscan.PIPELINE_PATTERNS).collect()}
+    assert got == expected
