@@ -103,3 +103,27 @@ def test_dispatch_and_installed(spark):
     deps, quarantine = M.parse_manifests(m, files)
     assert rows(deps, "name", "version", "source") == [("a", "1.0.0", "declared"), ("left-pad", "1.3.0", "installed")]
     assert rows(quarantine, "project_id", "path") == [(2, "setup.cfg")]
+
+
+def test_requirements_agree_with_python_lines(spark):
+    """Dialect check: Spark line splitting/strip/regex vs Python text-mode lines + str.strip + re.match."""
+    import io
+    import random
+    import re
+
+    rnd = random.Random(9)
+    frags = ["requests", "Django", "a-b_c", "==", ">=", "~=", "<", "2.0", "1.2.3", ",<4", " ", "\t", " ",
+             " ", "#", "x", "[extra]", ";python_version>'3'", ".", "-r", "!=", "é"]
+    lines = ["".join(rnd.choice(frags) for _ in range(rnd.randint(0, 5))) for _ in range(300)]
+    content = rnd.choice(["\n", "\r\n"]).join(lines) + "\n"
+    expected = []
+    for raw in io.StringIO(content, newline=None):  # universal newlines, like text-mode reading
+        line = raw.strip()
+        if not line or line.startswith("#"):
+            continue
+        m = re.match(r"^([a-zA-Z0-9\-_]+)(?:[=<>~]+(.*))?", line)
+        if m:
+            expected.append((m.group(1).lower(), m.group(2) if m.group(2) else "latest"))
+    got = [(r.name, r.version) for r in M.requirements_deps(_m(spark, "requirements.txt", content))
+           .orderBy("pos").collect()]
+    assert got == expected
