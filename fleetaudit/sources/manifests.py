@@ -133,9 +133,19 @@ def package_json_deps(manifests: DataFrame) -> DataFrame:
     """The four npm sections in fixed order; one row per (section, name)."""
     schema = "struct<" + ",".join(f"`{s}`:map<string,string>" for s in NPM_SECTIONS) + ">"
     doc = F.from_json(F.col("content"), schema)
+    def unique_entries(m: Column) -> Column:
+        """JSON object semantics: a repeated key keeps its first position and its last value."""
+        entries = F.map_entries(F.coalesce(m, F.create_map().cast("map<string,string>")))
+        tagged = F.transform(entries, lambda x, i: F.struct(
+            x["key"].alias("key"),
+            F.element_at(F.filter(entries, lambda y: y["key"] == x["key"]), -1)["value"].alias("value"),
+            (~F.exists(F.slice(entries, 1, i), lambda y: y["key"] == x["key"])).alias("first"),
+        ))
+        return F.filter(tagged, lambda x: x["first"])
+
     def section_rows(s: str) -> Column:
         return F.transform(
-            F.map_entries(F.coalesce(doc[s], F.create_map().cast("map<string,string>"))),
+            unique_entries(doc[s]),
             lambda e: _dep(
                 F.lower(e["key"]), e["value"], dep_type=s,
                 is_dev=F.lit(s == "devDependencies"), is_optional=F.lit(s == "optionalDependencies"),

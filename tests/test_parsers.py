@@ -46,6 +46,10 @@ def test_package_json_four_sections_and_bad_json(spark):
     assert [(r.name, r.dep_type) for r in out] == [
         ("react", "dependencies"), ("react", "peerDependencies"), ("fsevents", "optionalDependencies")]
     assert M.package_json_deps(_m(spark, "package.json", "{not json")).count() == 0
+    # a repeated key keeps its first position and its last value (as a JSON object does)
+    dup = '{"dependencies": {"a": "1", "b": "2", "A": "9", "a": "3"}}'
+    out = M.package_json_deps(_m(spark, "package.json", dup)).orderBy("pos").collect()
+    assert [(r.name, r.version) for r in out] == [("a", "3"), ("b", "2"), ("a", "9")]
 
 
 def test_gemfile(spark):
