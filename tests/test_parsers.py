@@ -131,3 +131,74 @@ def test_requirements_agree_with_python_lines(spark):
     got = [(r.name, r.version) for r in M.requirements_deps(_m(spark, "requirements.txt", content))
            .orderBy("pos").collect()]
     assert got == expected
+
+
+def test_gemfile_and_pom_agree_with_python(spark):
+    """Dialect checks: Gemfile lines vs Python re; pom.xml vs xml.etree on generated documents."""
+    import random
+    import re
+    import xml.etree.ElementTree as ET
+
+    rnd = random.Random(4)
+    frags = ["gem", " ", "'", '"', "rails", "Puma", ",", "~> 6.0", ">= 1", "7.1.3", "gemspec", "#", "\t", "x"]
+    lines = ["".join(rnd.choice(frags) for _ in range(rnd.randint(0, 8))) for _ in range(300)]
+    content = "\n".join(lines) + "\n"
+    expected = []
+    for raw in content.split("\n"):
+        line = raw.strip()
+        if not line or line.startswith("#") or not line.startswith("gem"):
+            continue
+        m = re.match(r"^gem\s+['\"]([^'\"]+)['\"](?:\s*,\s*['\"]([^'\"]+)['\"])?", line)
+        if m:
+            expected.append((m.group(1).lower(), m.group(2) if m.group(2) else "latest"))
+    got = [(r.name, r.version) for r in M.gemfile_deps(_m(spark, "Gemfile", content)).orderBy("pos").collect()]
+    assert got == expected
+
+    ns = "http://maven.apache.org/POM/4.0.0"
+    docs = []
+    for d in range(30):
+        props = {f"p{i}": f"{rnd.randint(0, 9)}.{rnd.randint(0, 9)}" for i in range(rnd.randint(0, 3))}
+        deps = []
+        for j in range(rnd.randint(0, 5)):
+            parts = []
+            if rnd.random() < 0.9:
+                parts.append(f"<groupId>org.g{j}</groupId>")
+            if rnd.random() < 0.9:
+                parts.append(f"<artifactId> Art{j} </artifactId>")
+            r = rnd.random()
+            if r < 0.3 and props:
+                parts.append("<version>${" + rnd.choice(list(props) + ["missing"]) + "}</version>")
+            elif r < 0.7:
+                parts.append(f"<version>{rnd.randint(1, 5)}.0</version>")
+            if rnd.random() < 0.4:
+                parts.append(f"<scope>{rnd.choice(['test', 'provided', 'runtime'])}</scope>")
+            deps.append("<dependency>" + "".join(parts) + "</dependency>")
+        body = "".join(deps)
+        if rnd.random() < 0.3:
+            body = f"<dependencyManagement><dependencies>{body}</dependencies></dependencyManagement>"
+        prop_xml = "".join(f"<{k}>{v}</{k}>" for k, v in props.items())
+        docs.append((d, f'<project xmlns="{ns}"><properties>{prop_xml}</properties><dependencies>{body}'
+                        f"</dependencies></project>"))
+    expected = []
+    for d, text in docs:
+        root = ET.fromstring(text)
+        q = "{" + ns + "}"
+        pe = root.find(f".//{q}properties")
+        props = {c.tag.replace(q, ""): (c.text or "").strip() for c in pe} if pe is not None else {}
+        for el in root.findall(f".//{q}dependency"):
+            g, a = el.find(f"{q}groupId"), el.find(f"{q}artifactId")
+            if g is None or a is None:
+                continue
+            v_el, s_el = el.find(f"{q}version"), el.find(f"{q}scope")
+            v = (v_el.text or "").strip() if v_el is not None else "latest"
+            if not v:
+                v = "latest"
+            m = re.match(r"^\$\{(.+)\}$", v)
+            if m:
+                v = props.get(m.group(1), v)
+            scope = (s_el.text or "compile").strip() if s_el is not None else "compile"
+            expected.append((d, f"{(g.text or '').strip()}:{(a.text or '').strip()}".lower(), v, scope))
+    df = spark.createDataFrame([(d, "pom.xml", None, t) for d, t in docs],
+                               "project_id long, path string, ecosystem string, content string")
+    got = [(r.project_id, r.name, r.version, r.scope) for r in M.pom_deps(df).orderBy("project_id", "pos").collect()]
+    assert got == expected
