@@ -363,3 +363,31 @@ def test_pipeline_regexes_agree_with_python_re(spark):
     df = spark.createDataFrame([(i, l) for i, l in enumerate(lines)], "line int, text string")
     got = {(r.line, r.pattern_name, r.match) for r in textscan.scan_lines(df, textscan.PIPELINE_PATTERNS).collect()}
     assert got == expected
+
+
+def test_config_scans_agree_with_python_re(spark):
+    """Dialect check: whole-file registry-config patterns in Spark vs Python re on generated files."""
+    import re
+
+    rnd = random.Random(8)
+    frags = ["@corp", "@a-b_c", ":registry", "registry", " ", "=", " = ", "https://r.example/", "\n", "\r\n",
+             "extra-index-url", "# ", "always-auth=true", "é", "\t"]
+    files = ["".join(rnd.choice(frags) for _ in range(rnd.randint(1, 12))) for _ in range(150)]
+    rows_in = [(i, ".npmrc", t) for i, t in enumerate(files)] + [(i, "pip.conf", t) for i, t in enumerate(files)]
+    df = spark.createDataFrame(rows_in, "project_id long, path string, content string")
+    expected = set()
+    for i, t in enumerate(files):
+        regs = re.findall(r"(@[a-zA-Z0-9\-_]+):registry\s*=\s*(.+)", t)
+        if regs:
+            for scope, url in regs:
+                expected.add((i, ".npmrc", f"Scoped registry configured for {scope}: {url.strip()}. "
+                                           "Ensure the scope is locked internally."))
+        else:
+            m = re.search(r"^registry\s*=\s*(.+)", t, re.MULTILINE)
+            if m:
+                expected.add((i, ".npmrc", f"Default npm registry overridden to: {m.group(1).strip()}."))
+        for url in re.findall(r"extra-index-url\s*=\s*(.+)", t):
+            expected.add((i, "pip.conf", f"Multiple index URLs configured using extra-index-url: {url.strip()}."))
+    got = {(r.project_id, r.file, r.message) for r in
+           confusion.npm_config_alerts(df).unionByName(confusion.pip_config_alerts(df)).collect()}
+    assert got == expected
