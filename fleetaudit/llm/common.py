@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,3 +43,11 @@ def replaced(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns whose names an operator is about to add (any letter case)."""
     taken = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
+def per_worker(key: str, build: Callable[[], Any]) -> Any:
+    """``build()``, made once in each Python worker process and kept for its later tasks."""
+    kept = sys.modules.setdefault("fleetaudit_worker", types.ModuleType("fleetaudit_worker")).__dict__
+    if key not in kept:
+        kept[key] = build()
+    return kept[key]
