@@ -238,11 +238,11 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     """
     found = written(near_duplicates(docs, id_col, text).select("id", "tk", "root"), "components")
     best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "tk")).alias("best"))
-    best = best.select(F.col("best.id").alias("_best_id"), F.col("best.tk").alias("_best_tk"))
-    here = docs.withColumn("_tk", text_key(text))
-    joined = here.join(best, (here["_tk"] == best["_best_tk"]) & here[id_col].eqNullSafe(best["_best_id"]), "left_semi")
-    first = F.min_by(F.struct(*docs.columns), F.monotonically_increasing_id()).alias("_row")
-    return joined.groupBy(F.col(id_col).alias("_id"), "_tk").agg(first).select("_row.*")
+    known = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))  # noqa: E731  null is an id, too
+    best = best.select(known("best.id").alias("_id"), F.col("best.tk").alias("_tk"))
+    here = docs.withColumns({"_id": known(id_col), "_tk": text_key(text)})
+    kept = here.join(best, ["_id", "_tk"], "left_semi").dropDuplicates(["_id", "_tk"])
+    return kept.select(*docs.columns)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
