@@ -52,8 +52,9 @@ BASE = 0x9E3779B97F4A7C15  # odd, so powers have inverses modulo 2**64
 
 def _powers() -> tuple[np.ndarray, np.ndarray]:
     n, inverse = CHUNK + WINDOW + 1, pow(BASE, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        up, down = (np.cumprod(np.concatenate([[1], np.full(n - 1, b, dtype=np.uint64)]).astype(np.uint64)) for b in (BASE, inverse))
+    up, down = (
+        np.cumprod(np.array([1] + [b] * (n - 1), dtype=np.uint64), dtype=np.uint64) for b in (BASE, inverse)
+    )
     return up, down
 
 
@@ -196,11 +197,13 @@ def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW)
     """(tk, first, last): runs of window starts, by text key, whose windows also start elsewhere."""
     # pass 1
     found = cells(docs, text, window)
-    groups = (
+    # groups are written before they are joined: then Spark deals out both sides and can split a hot digit
+    groups = written(
         found.groupBy("gram")
         .agg(F.count(F.lit(1)).alias("n"), F.min("hull").alias("lo"), F.max("hull").alias("hi"))
         .where("n > 1")
-        .select("gram", F.expr("lo <> hi").alias("mixed"))
+        .select("gram", F.expr("lo <> hi").alias("mixed")),
+        "grams",
     )
     shared = written(found.join(groups, "gram"), "cells")
     span = ["tk", "first", "last"]
@@ -208,7 +211,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW)
     # pass 2
     mixed = shared.where("mixed").withColumn("id", F.xxhash64("tk", "anchor"))
     hulls = mixed.groupBy("gram", "hull").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("one"))
-    judged = written(mixed.join(hulls, ["gram", "hull"]), "hulls")
+    judged = written(mixed.join(written(hulls, "hulls"), ["gram", "hull"]), "judged")
     twice = judged.where("n > 1").select(*span)
     chosen = judged.where("id = one").groupBy("tk").agg(
         F.collect_set(F.struct("anchor", "first", "last")).alias("cells")
@@ -229,7 +232,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW)
         .where("a <> b")
         .select("digit", F.expr("lo <> hi").alias("mixed"))
     )
-    kept = written(strips.join(strip_groups, "digit"), "kept-strips")
+    kept = written(strips.join(written(strip_groups, "strip-groups"), "digit"), "kept-strips")
     all_equal = kept.where("not mixed").select(*span)
     # pass 3
     windows = written(
@@ -243,7 +246,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW)
         .agg(F.min(cell_id).alias("a"), F.max(cell_id).alias("b"))
         .where("a <> b")
     )
-    single = windows.join(equal, "digit", "left_semi").select("tk", "first", F.col("first").alias("last"))
+    single = windows.join(written(equal.select("digit"), "equal"), "digit", "left_semi").select("tk", "first", F.col("first").alias("last"))
     return same.unionByName(twice).unionByName(all_equal).unionByName(single)
 
 
