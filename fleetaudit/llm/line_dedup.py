@@ -10,7 +10,7 @@ template's variable fields.
 
 A template recurs if it occurs in ``min_docs`` or more documents with as many
 independent contexts.  Documents count by content (equal texts are one), and a
-context is the least other line hash of the document, so the lines of copies
+context is the least hash of another line of the document, so the lines of copies
 and near copies, which come with the same neighbours, are not taken for
 boilerplate.  All lines of a recurring template are dropped from all
 documents.
@@ -25,7 +25,7 @@ stay; other columns pass through, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_key, written
@@ -34,59 +34,46 @@ SEGMENTS = 8
 VARIABLE = r"(?<!\S)[^\s\d]*+\d\S*"
 
 
-def _tokens(line: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(F.regexp_replace(line, VARIABLE, "<*>"), r"\s+", " ")), " ")
-
-
-def _parsed(line: Column, lead: int) -> Column:
-    """(n tokens, hash of the masked line, leaf, segment hashes) of one line."""
-    tokens = _tokens(line)
-    return F.transform(F.array(tokens), lambda t: F.struct(
-        F.size(t).alias("n"),
-        F.xxhash64(t).alias("line"),
-        F.xxhash64(F.size(t), F.slice(t, 1, lead)).alias("leaf"),
-        F.transform(
-            F.sequence(F.lit(0), F.least(F.size(t), F.lit(SEGMENTS)) - 1),
-            lambda i: F.xxhash64(F.slice(
-                t,
-                F.floor(i * F.size(t) / F.least(F.size(t), F.lit(SEGMENTS))).cast("int") + 1,
-                F.floor((i + 1) * F.size(t) / F.least(F.size(t), F.lit(SEGMENTS))).cast("int")
-                - F.floor(i * F.size(t) / F.least(F.size(t), F.lit(SEGMENTS))).cast("int"),
-            )),
-        ).alias("segments"),
-    ))[0]
-
-
-def line_occurrences(docs: DataFrame, lead: int = 3, min_tokens: int = 3, text: str = "text") -> DataFrame:
-    """One row per line: text key, line position, line hash, leaf, segments, context."""
-    parsed = docs.where(F.length(text) > 0).select(
-        text_key(text).alias("tk"),
-        F.transform(F.split(F.col(text), "\n"), lambda x: _parsed(x, lead)).alias("lines"),
+def line_occurrences(docs: DataFrame, lead: int = 3, text: str = "text") -> DataFrame:
+    """One row per line: text key, line position, tokens, line hash, leaf, segments, context."""
+    split = docs.where(F.length(text) > 0).select(text_key(text).alias("tk"), F.split(F.col(text), "\n").alias("lines"))
+    hashed = split.select("*", F.transform("lines", lambda x: F.xxhash64(x)).alias("hs"))
+    least = hashed.select("*", F.array_min("hs").alias("least")).select(
+        "tk", "lines", "least", F.array_min(F.filter("hs", lambda x: x != F.col("least"))).alias("second")
     )
-    hashes = F.transform("lines", lambda x: x["line"])
-    least = parsed.select("tk", "lines", F.array_min(hashes).alias("least"), hashes.alias("hs")).select(
-        "tk", "lines", "least",
-        F.array_min(F.filter("hs", lambda x: x != F.col("least"))).alias("second"),
+    lines = least.select("tk", "least", "second", F.posexplode("lines").alias("pos", "text"))
+    masked = F.when(F.col("text").rlike(r"\d"), F.regexp_replace("text", VARIABLE, "<*>")).otherwise(F.col("text"))
+    tokens = lines.select(
+        "tk", "pos",
+        F.when(F.xxhash64("text") == F.col("least"), F.col("second")).otherwise(F.col("least")).alias("context"),
+        F.array_remove(F.split(masked, r"[ \t\r\f\x0B]+"), "").alias("t"),
     )
-    return (
-        least.select("tk", "least", "second", F.posexplode("lines").alias("pos", "x"))
-        .where(F.col("x.n") >= min_tokens)
-        .select(
-            "tk", "pos", "x.line", "x.leaf", "x.segments",
-            F.when(F.col("x.line") == F.col("least"), F.col("second")).otherwise(F.col("least")).alias("context"),
-        )
+    counted = tokens.select("*", F.size("t").alias("n"), F.greatest(F.least(F.size("t"), F.lit(SEGMENTS)), F.lit(1)).alias("k"))
+    segment = [
+        F.when(F.lit(i) < F.col("k"), F.xxhash64(F.expr(f"slice(t, {i} * n div k + 1, {i + 1} * n div k - {i} * n div k)")))
+        for i in range(SEGMENTS)
+    ]
+    return counted.select(
+        "tk", "pos", "n", F.xxhash64("t").alias("line"), F.xxhash64("n", F.slice("t", 1, lead)).alias("leaf"),
+        F.array_compact(F.array(*segment)).alias("segments"), "context",
     )
 
 
 def line_templates(occurrences: DataFrame, similarity: float = 0.75) -> DataFrame:
     """(line, template): each distinct line of a leaf with its template's representative line."""
-    lines = occurrences.groupBy("leaf", "line").agg(
-        F.count(F.lit(1)).alias("weight"), F.first("segments").alias("segments")
+    lines = written(
+        occurrences.groupBy("leaf", "line").agg(
+            F.count(F.lit(1)).alias("weight"), F.first("segments").alias("segments")
+        ),
+        "distinct-lines",
     )
     keyed = lines.select("*", F.posexplode("segments").alias("i", "segment"))
-    leaders = keyed.groupBy("leaf", "i", "segment").agg(
-        F.max(F.struct("weight", "line", "segments")).alias("leader"), F.count(F.lit(1)).alias("n")
-    ).where("n > 1").drop("n")
+    leaders = written(
+        keyed.groupBy("leaf", "i", "segment").agg(
+            F.max(F.struct("weight", "line", "segments")).alias("leader"), F.count(F.lit(1)).alias("rows")
+        ).where("rows > 1").drop("rows"),
+        "leaders",
+    )
     agree = F.aggregate(
         F.zip_with(F.col("segments"), F.col("leader.segments"), lambda a, b: (a == b).cast("int")),
         F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)),
@@ -103,11 +90,15 @@ def line_templates(occurrences: DataFrame, similarity: float = 0.75) -> DataFram
     )
 
 
-def recurring_lines(occurrences: DataFrame, min_docs: int = 10, similarity: float = 0.75) -> DataFrame:
+def recurring_lines(
+    occurrences: DataFrame, min_docs: int = 10, similarity: float = 0.75, min_tokens: int = 3
+) -> DataFrame:
     """(line, template, n_docs, n_contexts) of the lines whose template recurs across documents."""
-    full = occurrences.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    kept = occurrences.join(full, "leaf", "left_semi")
-    templates = line_templates(kept, similarity)
+    long = occurrences.where(F.col("n") >= min_tokens)
+    full = long.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= min_docs).select("leaf")
+    # written, so that the join deals out both sides (or sends the few leaves) and a hot leaf can be split
+    kept = written(long.join(written(full, "leaves"), "leaf", "left_semi"), "kept-lines")
+    templates = written(line_templates(kept, similarity), "templates")
     seen = kept.select("line", "tk", "context").distinct().join(templates, "line")
     counts = (
         seen.groupBy("template", "tk", "context").agg(F.lit(1).alias("one"))
@@ -123,8 +114,8 @@ def drop_recurring_lines(
     min_tokens: int = 3, text: str = "text",
 ) -> DataFrame:
     """``docs`` with the lines of recurring templates taken out of ``text``, and ``_dropped`` (array of line numbers)."""
-    occurrences = written(line_occurrences(docs, lead, min_tokens, text), "lines")
-    recurring = written(recurring_lines(occurrences, min_docs, similarity), "recurring")
+    occurrences = written(line_occurrences(docs, lead, text), "lines")
+    recurring = written(recurring_lines(occurrences, min_docs, similarity, min_tokens), "recurring")
     drops = (
         occurrences.select("tk", "pos", "line")
         .join(recurring.select("line"), "line", "left_semi")
