@@ -45,7 +45,7 @@ from .common import table, text_key, text_or_empty, written
 
 WINDOW = 400
 GRAM = 32
-STRIP = 48
+STRIP = 32
 CHUNK = 1 << 19  # bytes hashed at once; a longer text is cut into runs of windows
 BASE = 0x9E3779B97F4A7C15  # odd, so powers have inverses modulo 2**64
 
@@ -122,82 +122,102 @@ def text_cells(values: list[bytes], window: int = WINDOW) -> Iterator[tuple[np.n
 
 
 def _cell_rows(window: int):
+    """(tk, bytes) -> the text's cells."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values = [v or b"" for v in b.column(1).to_pylist()]
             for row, anchor, first, last, gram, hull in text_cells(values, window):
+                span = (anchor << 20) | ((anchor - first) << 10) | (anchor - last)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(row)), pa.array(anchor), pa.array(first), pa.array(last),
-                     pa.array(gram.view(np.int64)), pa.array(hull.view(np.int64))],
-                    names=["tk", "anchor", "first", "last", "gram", "hull"],
+                    [b.column(0).take(pa.array(row)), pa.array(span), pa.array(gram.view(np.int64)), pa.array(hull.view(np.int64))],
+                    names=["tk", "cell", "gram", "hull"],
                 )
 
     return run
 
 
-def cells(docs: DataFrame, text: str, window: int) -> DataFrame:
-    return docs.select(text_key(text).alias("tk"), text_or_empty(text).cast("binary").alias("bytes")).mapInArrow(
-        _cell_rows(window), "tk binary, anchor long, first long, last long, gram long, hull long"
-    )
+def _unpack(cell: int) -> tuple[int, int, int]:
+    """(anchor, first, last window start) of a packed cell."""
+    anchor = cell >> 20
+    return anchor, anchor - (cell >> 10 & 1023), anchor - (cell & 1023)
 
 
-def _strip_rows(window: int):
-    """(tk, bytes, cells) -> per strip: its id, digit, hull, and the bytes that its windows cover."""
+def _content_rows(window: int):
+    """(tk, bytes, cells) -> each cell with the bytes that its windows cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for tk, v, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                for c in found:
-                    m, first, last = c["anchor"], c["first"], c["last"]
-                    for j in range((m - last) // STRIP, (m - first) // STRIP + 1):
-                        s, e = max(first, m - j * STRIP - STRIP + 1), min(last, m - j * STRIP)
-                        core = v[m - j * STRIP : m - j * STRIP - STRIP + 1 + window]
-                        hull = v[s : e + window]
-                        digit = xxhash.xxh3_128_digest(core, j)
-                        whole = xxhash.xxh3_64_intdigest(hull, (m - s) << 10 | (m - e)) - (1 << 63)
-                        for o, x in zip(out, (tk, m, s, e, digit, whole, hull)):
-                            o.append(x)
-                if len(out[0]) >= 20000:
-                    yield _strips(out)
-                    out = [[] for _ in range(7)]
-            yield _strips(out)
+            for k in range(b.num_rows):
+                tk, v, found = (b.column(i)[k].as_py() for i in range(3))
+                for at in range(0, len(found), 10_000):
+                    part = found[at : at + 10_000]
+                    content = [v[f : e + window] for _, f, e in map(_unpack, part)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([tk] * len(part), pa.binary()), pa.array(part, pa.int64()), pa.array(content, pa.binary())],
+                        names=["tk", "cell", "content"],
+                    )
 
     return run
 
 
-def _strips(out: list[list]) -> pa.RecordBatch:
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(o, type=t) for o, t in zip(out, kinds)], names=["tk", "anchor", "first", "last", "digit", "hull", "bytes"]
-    )
+def _halves(digests: list[int]) -> list[pa.Array]:
+    return [pa.array([(d >> s & 0xFFFFFFFFFFFFFFFF) - (1 << 63) for d in digests], pa.int64()) for s in (64, 0)]
+
+
+def _strip_rows(window: int):
+    """(tk, cell, content) -> the cell's strips: span of window starts, digit, hull."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[int] = []
+            spans, digits, hulls = [], [], []
+            for k, (cell, v) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                m, first, last = _unpack(cell)
+                for j in range((m - last) // STRIP, (m - first) // STRIP + 1):
+                    top = m - j * STRIP  # the strip's greatest window start, and where the common bytes begin
+                    s, e = max(first, top - STRIP + 1), min(last, top)
+                    rows.append(k)
+                    spans.append(s << 20 | e - s)
+                    digits.append(xxhash.xxh3_128_intdigest(v[top - first : top - STRIP + 1 + window - first], j))
+                    hulls.append(xxhash.xxh3_64_intdigest(v[s - first : e + window - first], (m - s) << 10 | (m - e)) - (1 << 63))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(rows, pa.int32())), b.column(1).take(pa.array(rows, pa.int32())),
+                 pa.array(spans, pa.int64()), *_halves(digits), pa.array(hulls, pa.int64())],
+                names=["tk", "cell", "span", "d1", "d2", "hull"],
+            )
+
+    return run
 
 
 def _window_rows(window: int):
-    """(tk, anchor, first, bytes) of strips -> one row per window."""
+    """(tk, cell, content, spans of window starts) -> one row per window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tks, anchors, firsts, digits = [], [], [], []
-            for tk, m, s, v in zip(*(b.column(i).to_pylist() for i in range(4))):
-                n = len(v) - window + 1
-                tks += [tk] * n
-                anchors += [m] * n
-                firsts += range(s, s + n)
-                digits += [xxhash.xxh3_128_digest(v[i : i + window]) for i in range(n)]
+            rows: list[int] = []
+            firsts, digits = [], []
+            for k in range(b.num_rows):
+                _, first, _ = _unpack(b.column(1)[k].as_py())
+                v = b.column(2)[k].as_py()
+                for span in b.column(3)[k].as_py():
+                    s, n = (span >> 20), (span & 0xFFFFF) + 1
+                    rows += [k] * n
+                    firsts += range(s, s + n)
+                    digits += [xxhash.xxh3_128_intdigest(v[i - first : i - first + window]) for i in range(s, s + n)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tks, pa.binary()), pa.array(anchors, pa.int64()), pa.array(firsts, pa.int64()), pa.array(digits, pa.binary())],
-                names=["tk", "anchor", "first", "digit"],
+                [b.column(0).take(pa.array(rows, pa.int32())), pa.array(firsts, pa.int64()), *_halves(digits)],
+                names=["tk", "first", "d1", "d2"],
             )
 
     return run
 
 
 def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(tk, first, last): runs of window starts, by text key, whose windows also start elsewhere."""
-    # pass 1
-    found = cells(docs, text, window)
-    # groups are written before they are joined: then Spark deals out both sides and can split a hot digit
+    """(tk, first, more): by text key, the runs first..first+more of window starts whose windows also start elsewhere."""
+    rows = docs.select(text_key(text).alias("tk"), text_or_empty(text).cast("binary").alias("bytes"))
+    # pass 1; groups are written before they are joined: then Spark deals out both sides and can split a hot digit
+    found = rows.mapInArrow(_cell_rows(window), "tk binary, cell long, gram long, hull long")
     groups = written(
         found.groupBy("gram")
         .agg(F.count(F.lit(1)).alias("n"), F.min("hull").alias("lo"), F.max("hull").alias("hi"))
@@ -206,47 +226,49 @@ def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW)
         "grams",
     )
     shared = written(found.join(groups, "gram"), "cells")
-    span = ["tk", "first", "last"]
-    same = shared.where("not mixed").select(*span)
+    first = F.shiftright("cell", 20) - F.shiftright("cell", 10).bitwiseAND(F.lit(1023))
+    more = F.shiftright("cell", 10).bitwiseAND(F.lit(1023)) - F.col("cell").bitwiseAND(F.lit(1023))
+    of_cell = ["tk", first.alias("first"), more.alias("more")]
+    same = shared.where("not mixed").select(*of_cell)
     # pass 2
-    mixed = shared.where("mixed").withColumn("id", F.xxhash64("tk", "anchor"))
+    mixed = shared.where("mixed").withColumn("id", F.xxhash64("tk", "cell"))
     hulls = mixed.groupBy("gram", "hull").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("one"))
     judged = written(mixed.join(written(hulls, "hulls"), ["gram", "hull"]), "judged")
-    twice = judged.where("n > 1").select(*span)
-    chosen = judged.where("id = one").groupBy("tk").agg(
-        F.collect_set(F.struct("anchor", "first", "last")).alias("cells")
-    )
-    texts = docs.select(text_key(text).alias("tk"), text_or_empty(text).cast("binary").alias("bytes"))
-    strips = written(
-        texts.join(chosen, "tk").select("tk", "bytes", "cells").mapInArrow(
-            _strip_rows(window),
-            "tk binary, anchor long, first long, last long, digit binary, hull long, bytes binary",
+    twice = judged.where("n > 1").select(*of_cell)
+    chosen = judged.where("id = one").groupBy("tk").agg(F.collect_set("cell").alias("cells"))
+    contents = written(
+        rows.dropDuplicates(["tk"]).join(chosen, "tk").select("tk", "bytes", "cells").mapInArrow(
+            _content_rows(window), "tk binary, cell long, content binary"
         ),
-        "strips",
+        "contents",
     )
-    # a text in several rows gives its strips several times: the ids tell cells apart, not a count
-    cell_id = F.xxhash64("tk", "anchor")
+    strips = contents.mapInArrow(_strip_rows(window), "tk binary, cell long, span long, d1 long, d2 long, hull long")
+    digit, cell_id = ["d1", "d2"], F.xxhash64("tk", "cell")
     strip_groups = (
-        strips.groupBy("digit")
+        strips.groupBy(*digit)
         .agg(F.min(cell_id).alias("a"), F.max(cell_id).alias("b"), F.min("hull").alias("lo"), F.max("hull").alias("hi"))
         .where("a <> b")
-        .select("digit", F.expr("lo <> hi").alias("mixed"))
+        .select(*digit, F.expr("lo <> hi").alias("mixed"))
+    )
+    kept = written(strips.drop("hull").join(written(strip_groups, "strip-groups"), digit).drop(*digit), "kept-strips")
+    all_equal = kept.where("not mixed").select(
+        "tk", F.shiftright("span", 20).alias("first"), F.col("span").bitwiseAND(F.lit(0xFFFFF)).alias("more")
     )
-    kept = written(strips.join(written(strip_groups, "strip-groups"), "digit"), "kept-strips")
-    all_equal = kept.where("not mixed").select(*span)
     # pass 3
-    windows = written(
-        kept.where("mixed").dropDuplicates(["tk", "anchor", "first"]).select("tk", "anchor", "first", "bytes").mapInArrow(
-            _window_rows(window), "tk binary, anchor long, first long, digit binary"
-        ),
-        "windows",
+    left = kept.where("mixed").groupBy("tk", "cell").agg(F.collect_list("span").alias("spans"))
+    windows = contents.join(left, ["tk", "cell"]).select("tk", "cell", "content", "spans").mapInArrow(
+        _window_rows(window), "tk binary, first long, d1 long, d2 long"
     )
+    start_id = F.xxhash64("tk", "first")
     equal = (
-        windows.groupBy("digit")
-        .agg(F.min(cell_id).alias("a"), F.max(cell_id).alias("b"))
+        windows.groupBy(*digit)
+        .agg(F.min(start_id).alias("a"), F.max(start_id).alias("b"))
         .where("a <> b")
+        .select(*digit)
+    )
+    single = windows.join(written(equal, "equal"), digit, "left_semi").select(
+        "tk", "first", F.lit(0).cast("long").alias("more")
     )
-    single = windows.join(written(equal.select("digit"), "equal"), "digit", "left_semi").select("tk", "first", F.col("first").alias("last"))
     return same.unionByName(twice).unionByName(all_equal).unionByName(single)
 
 
@@ -281,7 +303,7 @@ def _cut(window: int):
 
 def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", window: int = WINDOW) -> DataFrame:
     """Columns ``keep`` with ``kept`` (remaining bytes) and ``spans`` (removed byte ranges) per row of ``docs``."""
-    packed = F.shiftleft("first", 20).bitwiseOR(F.col("last") - F.col("first"))
+    packed = F.shiftleft("first", 20).bitwiseOR(F.col("more"))
     ranges = (
         repeated_windows(docs, text, window)
         .select("tk", packed.alias("r"))
