@@ -88,12 +88,13 @@ def copied_spans(
         "units",
     )
     key = ["digest", "words"]
-    often = units.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key)
+    # written, so that the joins deal out both sides and a hot digest can be split
+    often = written(units.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key), "often")
     shared = written(units.join(often, key, "left_semi"), "shared-units")
     firsts = shared.groupBy(*key).agg(
         F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row", "ord")).alias("first")
     )
-    copies = shared.join(firsts, key).where("row <> first.row or ord <> first.ord").select(
+    copies = shared.join(written(firsts, "firsts"), key).where("row <> first.row or ord <> first.ord").select(
         "row", "id", "ord", "start", "end", "words", F.col("first.id").alias("first_id")
     )
     # neighbouring copies: the difference between unit number and rank is constant along a span
