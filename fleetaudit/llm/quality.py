@@ -119,7 +119,7 @@ def verdicts(
         .where((F.col("n_contexts") > max_docs) & (2 * F.col("n_contexts") >= F.col("n_docs")))
         .select("host", "line")
     )
-    taken = lines.join(frequent, ["host", "line"], "left_semi").groupBy("row").agg(F.sum("words").alias("frequent"))
+    taken = lines.join(written(frequent, "frequent"), ["host", "line"], "left_semi").groupBy("row").agg(F.sum("words").alias("frequent"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("frequent", F.lit(0))
     return measured.drop("lines").join(taken, "row", "left").select(

@@ -167,7 +167,7 @@ def links(prints: DataFrame) -> DataFrame:
             key, at = key.bitwiseOR(F.shiftleft(part, at)), at + width
         keys.append(key.bitwiseOR(F.lit(c << 40).cast("long")))
     keyed = prints.select("print", F.explode(F.array(*keys)).alias("group"))
-    sizes = keyed.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = written(keyed.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     met = keyed.join(sizes, "group").select(
         "print", "group", parts.alias("parts"), F.pmod(F.xxhash64("print"), parts).cast("int").alias("part")
@@ -198,7 +198,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = (state["n"], state["h"])
         # large star: every larger neighbour of u points to the least of u and its neighbours
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(least, "least")  # so that the join deals out both sides and a hub can be split
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: every smaller neighbour of u, and u itself, point to the least neighbour
         low = large.groupBy("u").agg(F.min("v").alias("m"))
