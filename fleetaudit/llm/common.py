@@ -46,8 +46,10 @@ def replaced(df: DataFrame, *names: str) -> DataFrame:
 
 
 def per_worker(key: str, build: Callable[[], Any]) -> Any:
-    """``build()``, made once in each Python worker process and kept for its later tasks."""
+    """``build()``, made once in each Python worker process and kept until another key is asked for."""
     kept = sys.modules.setdefault("fleetaudit_worker", types.ModuleType("fleetaudit_worker")).__dict__
     if key not in kept:
+        for other in [k for k in kept if not k.startswith("__")]:
+            del kept[other]
         kept[key] = build()
     return kept[key]

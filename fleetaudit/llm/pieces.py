@@ -7,15 +7,16 @@ byte fallback.  Unigram models keep their scores; BPE models get their merges
 ranked by piece score.
 
 Words repeat, so texts are cut before runs of the marker and each distinct
-chunk is encoded once per batch, many at a time (``encode_batch``, with
-``THREADS`` threads).  The cut is exact if no piece holds the marker after
+chunk of a batch is encoded and decoded once, many at a time (``encode_batch``
+with ``THREADS`` threads).  The cut is exact if no piece holds the marker after
 another character, which is tested when the model is loaded; a model without
 that property has its texts encoded whole.
 
-Parity with the sentencepiece library is verified for every distinct chunk that
-is encoded and for whole texts drawn by hash (one in ``WHOLE``); a chunk
-that differs takes the library's ids and is counted.  Every document's ids are decoded
-again and compared with the text (``round_trip``).
+Parity with the sentencepiece library is verified for every distinct chunk, and
+for whole texts drawn by hash (one in ``WHOLE``); what differs takes the
+library's ids, and the document's ``parity`` is false.  Every document is put
+together again from its decoded chunks and compared with the text
+(``round_trip``).
 
 Defined cases: null and empty texts give no ids and an empty decoding; repeated rows give
 repeated rows; columns named like a result column are replaced.
@@ -24,25 +25,29 @@ repeated rows; columns named like a result column are replaced.
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
 from .common import per_worker, replaced, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THREADS = 2
 WHOLE = 64
-MEMO = 200_000  # distinct chunks whose ids a worker keeps
+GROUP = 1000  # chunks in one string of a batch
 MARK = "▁"
+CHUNK = f"{MARK}*[^{MARK}]+|{MARK}+"
+CHUNKS = re.compile(CHUNK)
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -148,8 +153,10 @@ class Codec:
         self.normalizer, self.tokenizer = self.model.normalizer(), self.model.tokenizer()
         self.peer = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.plain = not self.model.charsmap and not self.model.squeeze
-        self.memo: dict[str, list[int]] = {}
-        self.differing = 0
+        self.leads = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
+        self.cuts = self.model.cuts and self.plain and self.model.dummy_prefix
+        if self.cuts:
+            self.tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(CHUNK), "isolated")
 
     def normalized(self, text: str) -> str:
         if not self.plain:
@@ -157,37 +164,6 @@ class Codec:
         text = " " + text if text and self.model.dummy_prefix else text
         return text.replace(" ", MARK) if self.model.escape else text
 
-    def _fill(self, chunks: list[str]) -> None:
-        """Ids of new chunks, each verified against the sentencepiece library."""
-        mine = [e.ids for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
-        # the library puts the marker in front by itself
-        theirs = self.peer.encode([c.replace(MARK, " ").removeprefix(" ") for c in chunks], num_threads=THREADS)
-        for c, a, b in zip(chunks, mine, theirs):
-            if a != b:
-                self.differing += 1
-            self.memo[c] = b
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool | None]]:
-        """Ids of the texts, and for texts drawn by hash whether the library's ids are equal."""
-        flat = [self.normalized(t) for t in texts]
-        if self.model.cuts and self.plain and self.model.dummy_prefix:
-            cut = [regex.findall(f"{MARK}*[^{MARK}]+|{MARK}+", t) for t in flat]
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            new = list({c for chunks in cut for c in chunks if c not in self.memo})
-            if new:
-                self._fill(new)
-            memo = self.memo
-            ids = [[i for c in chunks for i in memo[c]] for chunks in cut]
-        else:
-            ids = [e.ids for e in self.tokenizer.encode_batch(flat, add_special_tokens=False)]
-        drawn = [k for k, t in enumerate(texts) if xxhash.xxh3_64_intdigest(t) % WHOLE == 0]
-        parity: list[bool | None] = [None] * len(texts)
-        for k, theirs in zip(drawn, self.peer.encode([texts[k] for k in drawn], num_threads=THREADS)):
-            parity[k] = ids[k] == theirs
-            ids[k] = theirs
-        return ids, parity
-
     def expected(self, text: str) -> str:
         """What decoding must give back: the text as normalised, without prefix and marker."""
         if self.plain and self.model.escape and MARK not in text:
@@ -195,13 +171,96 @@ class Codec:
         back = self.normalized(text).replace(MARK, " ")
         return back[1:] if self.model.dummy_prefix and back.startswith(" ") else back
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+    def _alone(self, chunks: list[str]) -> Iterator[tuple[list[int], bool, bool]]:
+        """(ids, equal to the library's, decoded to the chunk) of chunks encoded one by one."""
+        mine = [e.ids for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
+        # the library puts a marker in front by itself; the marker alone it cannot be asked for
+        theirs = self.peer.encode([c.replace(MARK, " ").removeprefix(" ") for c in chunks], num_threads=THREADS)
+        for c, a, b in zip(chunks, mine, theirs):
+            b = a if c == MARK else b
+            back = self.tokenizer.decode(b, skip_special_tokens=False)  # without the prefix that a text has
+            yield b, a == b, " " + back == c.replace(MARK, " ")
+
+    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all chunks, begin and length of each chunk's, equal to the library's, decoded to the chunk).
+
+        Chunks with one marker in front go together in strings of many, where a
+        piece with the marker begins a chunk; the others, and strings that
+        differ somewhere, go one by one.
+        """
+        n = len(chunks)
+        begins, lengths, equal, same = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool), np.ones(n, bool)
+        single = np.array([len(c) > 1 and c[0] == MARK and c[1] != MARK for c in chunks], dtype=bool)
+        kept, at, rest = [], 0, [np.nonzero(~single)[0]]
+        order = np.nonzero(single)[0]
+        groups = [order[i : i + GROUP] for i in range(0, len(order), GROUP)]
+        joined = ["".join([chunks[i] for i in g.tolist()]) for g in groups]
+        texts = [j.replace(MARK, " ") for j in joined]
+        theirs = self.peer.encode([t[1:] for t in texts], num_threads=THREADS)
+        mine = [e.ids for e in self.tokenizer.encode_batch(joined, add_special_tokens=False)]
+        for group, text, a, b, back in zip(groups, texts, mine, theirs, self.tokenizer.decode_batch(mine, skip_special_tokens=False)):
+            ids = np.array(a, dtype=np.int32)
+            starts = np.nonzero(self.leads[ids])[0]
+            if a != b or " " + back != text or len(starts) != len(group):
+                rest.append(group)
+                continue
+            begins[group], lengths[group] = at + starts, np.diff(starts, append=len(ids))
+            kept.append(ids)
+            at += len(ids)
+        alone = np.concatenate(rest)
+        for i, (ids, e, s) in zip(alone.tolist(), self._alone([chunks[i] for i in alone.tolist()]) if len(alone) else ()):
+            begins[i], lengths[i], equal[i], same[i] = at, len(ids), e, s
+            kept.append(np.array(ids, dtype=np.int32))
+            at += len(ids)
+        return np.concatenate([np.empty(0, np.int32), *kept]), begins, lengths, equal, same
+
+    def run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], list[bool]]:
+        """(all ids, number of ids per text, decoded texts, parity per text)."""
+        if not self.cuts:
+            mine = [e.ids for e in self.tokenizer.encode_batch([self.normalized(t) for t in texts], add_special_tokens=False)]
+            ids = self.peer.encode(texts, num_threads=THREADS)  # no cut, no drawing: all texts are compared
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+            return np.array([i for x in ids for i in x], np.int32), sizes, back, [a == b for a, b in zip(mine, ids)]
+        flat = [self.normalized(t) for t in texts]
+        cut = [CHUNKS.findall(t) for t in flat]
+        chunks = [*dict.fromkeys(chain.from_iterable(cut))]
+        number = {c: i for i, c in enumerate(chunks)}
+        every = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), dtype=np.int64)
+        store, begins, lengths, equal, same = self._chunks(chunks)
+        reps = lengths[every]
+        ids = store[np.repeat(begins[every] - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))]
+        edges = np.cumsum([0, *map(len, cut)])  # chunks of text k: edges[k] to edges[k + 1]
+        ends = np.concatenate([[0], np.cumsum(reps)])[edges]
+        bad, differ = (np.concatenate([[0], np.cumsum(~x[every])])[edges] for x in (same, equal))
+        back = []
+        for k, t in enumerate(flat):
+            if bad[k + 1] > bad[k]:  # some chunk does not decode to itself
+                back.append(self.tokenizer.decode(ids[ends[k] : ends[k + 1]].tolist(), skip_special_tokens=False))
+            else:
+                back.append(t.replace(MARK, " ")[1:])
+        parity = (differ[1:] == differ[:-1]).tolist()
+        drawn = [k for k, t in enumerate(texts) if xxhash.xxh3_64_intdigest(t) % WHOLE == 0]
+        for k, theirs in zip(drawn, self.peer.encode([texts[k] for k in drawn], num_threads=THREADS)):
+            own = ids[ends[k] : ends[k + 1]].tolist()
+            parity[k] = parity[k] and own == theirs and self.tokenizer.decode(own, skip_special_tokens=False) == back[k]
+        return ids, np.diff(ends), back, parity
 
 
 RESULT = "token_ids array<int>, n_tokens long, decoded string, round_trip boolean, parity boolean"
 NAMES = ["token_ids", "n_tokens", "decoded", "round_trip", "parity"]
-TEXTS = 512  # texts per call of the encoder: bounds the Python objects a worker holds
+CHARS = 2_500_000  # of the texts that are encoded at a time: bounds the Python objects a worker holds
+
+
+def _portions(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """(first, number) of neighbouring texts of about CHARS characters in all."""
+    first = total = 0
+    for k, n in enumerate(sizes):
+        if k > first and total + n > CHARS:
+            yield first, k - first
+            first, total = k, 0
+        total += n
+    yield first, len(sizes) - first
 
 
 def _codec(data: bytes) -> Codec:
@@ -216,17 +275,15 @@ def _encode(data: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = per_worker(key, lambda: _codec(data))
         for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS):
-                b = whole.slice(at, TEXTS)
+            lengths = pc.fill_null(pc.binary_length(whole.column(0)), 0).to_pylist()
+            for at, n in _portions(lengths):
+                b = whole.slice(at, n)
                 texts = [t or "" for t in b.column(0).to_pylist()]
-                ids, parity = codec.encode(texts)
-                back = codec.decode(ids)
-                sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+                ids, sizes, back, parity = codec.run(texts)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                flat = pa.array([i for x in ids for i in x], pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [*b.columns[1:], pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(sizes, pa.int64()),
-                     pa.array(back, pa.string()), pa.array([x == codec.expected(t) for x, t in zip(back, texts)]),
+                    [*b.columns[1:], pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array(sizes),
+                     pa.array(back, pa.string()), pa.array([x == codec.expected(t) for x, t in zip(back, texts)], pa.bool_()),
                      pa.array(parity, pa.bool_())],
                     names=[*b.schema.names[1:], *NAMES],
                 )
