@@ -116,13 +116,14 @@ def drop_recurring_lines(
     """``docs`` with the lines of recurring templates taken out of ``text``, and ``_dropped`` (array of line numbers)."""
     occurrences = written(line_occurrences(docs, lead, text), "lines")
     recurring = written(recurring_lines(occurrences, min_docs, similarity, min_tokens), "recurring")
-    drops = (
+    drops = written(
         occurrences.select("tk", "pos", "line")
         .join(recurring.select("line"), "line", "left_semi")
         .select("tk", "pos")
         .distinct()  # copies of a text gave the same positions once each
         .groupBy(F.col("tk").alias("_tk"))
-        .agg(F.sort_array(F.collect_list("pos")).alias("_dropped"))
+        .agg(F.sort_array(F.collect_list("pos")).alias("_dropped")),
+        "drops",
     )
     joined = docs.withColumn("_tk", text_key(text)).join(drops, "_tk", "left").drop("_tk")
     lines = F.split(F.col(text), "\n")
