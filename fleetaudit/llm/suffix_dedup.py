@@ -304,12 +304,13 @@ def _cut(window: int):
 def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", window: int = WINDOW) -> DataFrame:
     """Columns ``keep`` with ``kept`` (remaining bytes) and ``spans`` (removed byte ranges) per row of ``docs``."""
     packed = F.shiftleft("first", 20).bitwiseOR(F.col("more"))
-    ranges = (
+    ranges = written(
         repeated_windows(docs, text, window)
         .select("tk", packed.alias("r"))
         .distinct()
         .groupBy("tk")
-        .agg(F.collect_list("r").alias("ranges"))
+        .agg(F.collect_list("r").alias("ranges")),
+        "ranges",
     )
     rows = docs.select(*keep, text_key(text).alias("tk"), text_or_empty(text).cast("binary").alias("bytes"))
     joined = rows.join(ranges, "tk", "left").select("bytes", "ranges", *keep)
