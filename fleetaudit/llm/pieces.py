@@ -14,7 +14,8 @@ that property has its texts encoded whole.
 
 Parity with the sentencepiece library is verified for every distinct chunk, and
 for whole texts drawn by hash (one in ``WHOLE``); what differs takes the
-library's ids, and the document's ``parity`` is false.  Every document is put
+library's ids, and the document's ``parity`` is false (seen for runs of spaces:
+their pieces share one score, and merge ranks cannot say "leftmost first").  Every document is put
 together again from its decoded chunks and compared with the text
 (``round_trip``).
 

@@ -6,7 +6,9 @@ Every document gives the hashes of its normalised lines (lower case, digits as
 words are taken out of the document, and a document that keeps under
 ``min_share`` of its words is depleted and rejected.  Documents count by
 content, and a line's context is the least other line hash of its document, so
-that copies and near copies of one text do not make its lines boilerplate.
+that copies and near copies of one text do not make its lines boilerplate.  The
+price: boilerplate of several lines that always come together counts only as far
+as the rest of its documents gives it other neighbours.
 
 The base rules of the contract reject first: under 50 words, or over half of
 the words in repeated 3-word windows.
