@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetaudit.session import broadcast_if_small, checkpoint
+from fleetaudit.session import checkpoint
 
 CHECKPOINT_EVERY = 3
 
@@ -55,7 +55,7 @@ def root_closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
     hop finds no new (root, node) pair, which always happens (pairs are finite
     and never revisited), so there is no hop limit.
     """
-    e = broadcast_if_small(_edges(edges).persist())  # used by every hop
+    e = _edges(edges).persist()  # used by every hop
     parents = e.select("ecosystem", F.col("parent").alias("root")).distinct()
     start = (
         roots.select("ecosystem", F.lower("root").alias("root")).distinct()
@@ -94,6 +94,7 @@ def root_closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
     # the finished closure is written to the shared checkpoint folder: consumers read it
     # back instead of replaying the hop loop, and a lost executor does not lose it
     done = checkpoint(visited.filter(F.col("depth") > 0))
+    cached.append(e)
     for df in cached:  # the checkpointed closure no longer needs the per-hop caches
         df.unpersist()
     return done
@@ -109,7 +110,6 @@ def resolve(dependencies: DataFrame, edges: DataFrame) -> DataFrame:
     """
     nodes = declared_nodes(dependencies).persist()  # roots and per-project rows both read it
     closure = root_closure(nodes.select("ecosystem", F.col("name").alias("root")), edges)
-    closure = broadcast_if_small(closure)
     reached = (
         nodes.select("project_id", "ecosystem", F.col("name").alias("root"))
         .join(closure, ["ecosystem", "root"])
@@ -194,13 +194,17 @@ def add_edges(edges: DataFrame, extra: DataFrame) -> DataFrame:
 
 def project_edges(resolved: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges induced in each project: every known edge whose parent was reached."""
-    e = broadcast_if_small(_edges(edges))
+    e = _edges(edges)
     r = resolved.select("project_id", "ecosystem", F.col("name").alias("parent"))
     return r.join(e, ["ecosystem", "parent"]).select("project_id", "ecosystem", "parent", "child")
 
 
 def graph_stats(resolved: DataFrame, edges: DataFrame) -> DataFrame:
-    """A9 + A7 per project: totals, max depth, most depended-on package (ties: smallest name)."""
+    """A9 + A7 per project: totals, max depth, most depended-on package (ties: smallest name), cycles.
+
+    A project that reaches one package of a cycle reaches all of it, so its
+    cycles are those whose first package it holds.
+    """
     base = resolved.groupBy("project_id", "ecosystem").agg(
         F.count("*").alias("total_packages"),
         F.count_if(F.col("is_direct")).alias("direct_dependencies"),
@@ -213,9 +217,14 @@ def graph_stats(resolved: DataFrame, edges: DataFrame) -> DataFrame:
         F.min(F.struct((-F.col("n")).alias("neg"), F.col("child").alias("c"))).alias("t")
     ).select("project_id", "ecosystem", F.col("t.c").alias("most_depended_on"), (-F.col("t.neg")).alias(
         "dependents_count"))
-    return base.join(top, ["project_id", "ecosystem"], "left").select(
+    heads = cycles(edges).groupBy("ecosystem", F.col("cycle")[0].alias("name")).agg(F.count("*").alias("n"))
+    loops = resolved.join(heads, ["ecosystem", "name"]).groupBy("project_id", "ecosystem").agg(
+        F.sum("n").alias("n_cycles"))
+    keys = ["project_id", "ecosystem"]
+    return base.join(top, keys, "left").join(loops, keys, "left").select(
         "project_id", "ecosystem", "total_packages", "direct_dependencies", "transitive_dependencies",
         "max_depth", "most_depended_on", F.coalesce("dependents_count", F.lit(0)).alias("dependents_count"),
+        F.coalesce("n_cycles", F.lit(0)).alias("circular_dependencies"),
     )
 
 
@@ -237,43 +246,36 @@ def blast_radius(resolved: DataFrame, targets: DataFrame) -> DataFrame:
     ).withColumnRenamed("name", "package")
 
 
-def cycles(edges: DataFrame, max_len: int = 8) -> DataFrame:
-    """G6 listing: simple cycles up to ``max_len`` nodes, each rotated to start at its smallest node.
+def cycles(edges: DataFrame) -> DataFrame:
+    """G6 listing: one shortest cycle for every edge that lies on one, without a length limit.
 
-    The number of simple cycles can grow exponentially, so the listing is
-    bounded by cycle length; which packages are on a cycle at all is computed
-    exactly, without a bound, by ``cycle_nodes``.
-
-    Nodes that cannot lie on a cycle are trimmed first (no in- or no out-edge,
-    repeated until stable); then paths grow only through nodes greater than
-    their start, so each cycle is found exactly once.
+    An edge ``u -> v`` is on a cycle iff ``v`` reaches ``u``; its cycle is the
+    closure's shortest path from ``v`` to ``u`` closed by the edge, turned to
+    start at its smallest node.  There are at most as many cycles as edges
+    (all simple cycles can be exponentially many), and every package on a
+    cycle is on one that is listed.
     Columns: ecosystem, cycle (ARRAY, first node repeated at the end), length.
     """
-    e = broadcast_if_small(_trim_acyclic(_edges(edges)))
-    found = e.filter(F.col("parent") == F.col("child")).select(
-        "ecosystem", F.array("parent", "child").alias("cycle")
-    )
-    paths = e.filter(F.col("child") > F.col("parent")).select(
-        "ecosystem", F.col("parent").alias("start"), F.col("child").alias("last"),
-        F.array("parent", "child").alias("path"),
+    e = _trim_acyclic(_edges(edges))
+    loops = e.filter(F.col("parent") == F.col("child")).select("ecosystem", F.array("parent").alias("nodes"))
+    closed = _closing_paths(e)
+    at = F.array_position("path", F.array_min("path")).cast("int")
+    turned = closed.select("ecosystem", F.concat(
+        F.slice("path", at, F.size("path")), F.slice("path", F.lit(1), at - 1)
+    ).alias("nodes"))
+    found = loops.unionByName(turned.distinct())
+    return found.select("ecosystem", F.concat("nodes", F.array(F.col("nodes")[0])).alias("cycle"),
+                        F.size("nodes").alias("length"))
+
+
+def _closing_paths(e: DataFrame) -> DataFrame:
+    """ecosystem, parent, child, path (child first, parent last) of the edges whose child reaches their parent."""
+    e = e.filter(F.col("parent") != F.col("child"))
+    reach = root_closure(e.select("ecosystem", F.col("child").alias("root")), e)
+    return e.join(
+        reach.select("ecosystem", F.col("root").alias("child"), F.col("node").alias("parent"), "path"),
+        ["ecosystem", "parent", "child"],
     )
-    for _ in range(max_len - 1):
-        ext = paths.withColumnRenamed("last", "parent").join(e, ["ecosystem", "parent"]).select(
-            "ecosystem", "start", "path", F.col("child").alias("nxt")
-        )
-        found = found.unionByName(
-            ext.filter(F.col("nxt") == F.col("start")).select(
-                "ecosystem", F.concat("path", F.array("nxt")).alias("cycle")
-            )
-        )
-        paths = checkpoint(
-            ext.filter((F.col("nxt") > F.col("start")) & ~F.array_contains("path", F.col("nxt"))).select(
-                "ecosystem", "start", F.col("nxt").alias("last"), F.concat("path", F.array("nxt")).alias("path")
-            )
-        )
-        if paths.isEmpty():
-            break
-    return found.select("ecosystem", "cycle", (F.size("cycle") - 1).alias("length"))
 
 
 def cycle_nodes(edges: DataFrame) -> DataFrame:
@@ -284,12 +286,7 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
     is the same hop-loop closure as G1, run from the trimmed nodes only.
     """
     e = _trim_acyclic(_edges(edges))
-    roots = e.select("ecosystem", F.col("parent").alias("root")).distinct()
-    reach = root_closure(roots, e)  # (root, node): node reachable from root
-    back = e.join(
-        reach.select("ecosystem", F.col("root").alias("child"), F.col("node").alias("parent")),
-        ["ecosystem", "parent", "child"], "left_semi",
-    )
+    back = _closing_paths(e)
     on_cycle = back.select("ecosystem", F.col("child").alias("name")).unionByName(
         e.filter(F.col("parent") == F.col("child")).select("ecosystem", F.col("child").alias("name"))
     )

@@ -1,4 +1,4 @@
-"""Session helpers: local session for tests/bench, checkpoint folder, size-checked broadcast."""
+"""Session helpers: local session for tests/bench, shared checkpoint folder."""
 
 from __future__ import annotations
 
@@ -6,11 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Largest row count we are willing to ship to every executor as a broadcast side.
-BROADCAST_MAX_ROWS = 1_000_000
-
 
 def local_session(cpus: int | str = "*", app: str = "fleetaudit", shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and the local bench (local mode, UI off, AQE on)."""
@@ -44,7 +39,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not conf_dir:  # local tests only: a cluster names its shared folder in spark.checkpoint.dir
+    if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         conf_dir = tempfile.mkdtemp(prefix="fleetaudit-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -54,14 +51,3 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only behind a size check.
-
-    The count runs on the (small, dimension-like) side only.  Above the
-    bound the frame is returned unhinted and Spark plans a shuffle join
-    (AQE may still convert it at runtime from real statistics).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

@@ -8,6 +8,7 @@ lookups become (ecosystem, package)-keyed tables.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,7 +166,9 @@ def refresh_snapshot(spark: SparkSession, snapshot_path: str, fresh: DataFrame,
     try:
         existing = spark.read.parquet(snapshot_path)
         new = fresh.join(existing.select(*keys).distinct(), list(keys), "left_anti")
-    except Exception:  # noqa: BLE001 - first write
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # only a missing snapshot means "first write"
+            raise
         new = fresh
     new.write.mode("append").parquet(snapshot_path)
     return spark.read.parquet(snapshot_path)
