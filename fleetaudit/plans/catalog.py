@@ -207,14 +207,14 @@ def scan_inputs(td: TestData) -> scan.ScanInputs:
     return scan.ScanInputs(
         dependencies=td.declared, edges=td.edges, popular=td.popular, advisories=td.advisories,
         licenses=td.licenses, releases=td.releases, registry_names=td.registry_names,
+        config_files=td.config_files, pipeline_files=td.pipeline_files, source_files=td.source_files,
+        diff_lines=td.diff_lines,
     )
 
 
 def full_scan(td: TestData) -> tuple[DataFrame, DataFrame]:
-    """The full dependency scan of every project (the original tool's main run, for all projects at once):
-    returns (enriched alerts, project summary)."""
-    t = scan_inputs(td)
-    return scan.scan_projects(t, ["typosquatting", "vulnerabilities", "licenses", "dep_confusion", "versions"])
+    """The full scan of every project, all seven scanners: (enriched alerts, project summary)."""
+    return scan.scan_projects(scan_inputs(td), list(scan.SCANNERS))
 
 
 def enriched_alerts(spark, sf_dir):
@@ -226,8 +226,8 @@ def enriched_alerts(spark, sf_dir):
 def project_summary(spark, sf_dir):
     _, s = full_scan(_td(spark, sf_dir))
     return s.select(
-        "project_id", "total_dependencies", "vulnerabilities_found", "typosquatting_alerts", "licenses_found",
-        "dep_confusion_issues", "versions_outdated", "total_issues", "n_critical", "n_high", "n_medium", "n_low",
+        "project_id", "total_dependencies", "vulnerabilities_found", "typosquatting_alerts", "secrets_found",
+        "licenses_found", "dep_confusion_issues", "pipeline_issues", "versions_outdated", "total_issues", "n_critical", "n_high", "n_medium", "n_low",
         "security_score", "band",
     )
 
@@ -239,7 +239,7 @@ def recommendations(spark, sf_dir):
 
 # ------------------------------------------------------------------ more graph views
 def cycle_members(spark, sf_dir):
-    """G6 on the edges with back edges added: every simple cycle, smallest node first."""
+    """G6 on the edges with back edges added: a shortest cycle per edge on one, smallest node first."""
     c = graph.cycles(_td(spark, sf_dir).cycle_edges)
     return c.select("ecosystem", F.array_join("cycle", " -> ").alias("cycle"), "length")
 

@@ -389,7 +389,13 @@ alerts AS (
   UNION ALL SELECT project_id, 'licenses', ecosystem, type, package, severity, message FROM lic_alerts
   UNION ALL SELECT project_id, 'dep_confusion', ecosystem, 'DEPENDENCY_CONFUSION', package, severity, message
   FROM unreg
-  UNION ALL SELECT project_id, 'versions', ecosystem, 'OUTDATED_PACKAGE', package, 'LOW', message FROM outd)""",
+  UNION ALL SELECT project_id, 'versions', ecosystem, 'OUTDATED_PACKAGE', package, 'LOW', message FROM outd
+  UNION ALL SELECT project_id, 'dep_confusion', NULL, 'DEP_CONFUSION_CONFIG', NULL, severity, message
+  FROM (""" + CONFIG_EXPECTED_NPM + " UNION ALL " + CONFIG_EXPECTED_PIP + """)
+  UNION ALL SELECT project_id, 'secrets', NULL, type, NULL, severity, NULL FROM (""" + secrets_sql() + """)
+  UNION ALL SELECT project_id, 'secrets', NULL, type, NULL, severity, NULL FROM (""" + history_sql() + """)
+  UNION ALL SELECT project_id, 'pipeline', NULL, 'PIPELINE_RISK', NULL, severity, """ + pipeline_message_sql() + """
+  FROM (""" + pipeline_sql() + """))""",
             """
 enriched AS (
   SELECT a.project_id, a.category, a.type, a.package, a.severity,
@@ -404,6 +410,8 @@ summary AS (
     CAST(sum(is_dep) AS BIGINT) AS total_dependencies,
     CAST(sum(CASE WHEN category = 'vulnerabilities' THEN 1 ELSE 0 END) AS BIGINT) AS vulnerabilities_found,
     CAST(sum(CASE WHEN category = 'typosquatting' THEN 1 ELSE 0 END) AS BIGINT) AS typosquatting_alerts,
+    CAST(sum(CASE WHEN category = 'secrets' THEN 1 ELSE 0 END) AS BIGINT) AS secrets_found,
+    CAST(sum(CASE WHEN category = 'pipeline' THEN 1 ELSE 0 END) AS BIGINT) AS pipeline_issues,
     CAST(sum(CASE WHEN category = 'licenses' THEN 1 ELSE 0 END) AS BIGINT) AS licenses_found,
     CAST(sum(CASE WHEN category = 'dep_confusion' THEN 1 ELSE 0 END) AS BIGINT) AS dep_confusion_issues,
     CAST(sum(CASE WHEN category = 'versions' THEN 1 ELSE 0 END) AS BIGINT) AS versions_outdated,
@@ -466,6 +474,13 @@ def _scan_union(lines: str, patterns, extra_cols: str, text: str = "text") -> st
     return "\nUNION ALL\n".join(parts)
 
 
+def pipeline_message_sql() -> str:
+    from fleetaudit.operators.textscan import PIPELINE_PATTERNS
+
+    cases = " ".join(f"WHEN {_lit(p.name)} THEN {_lit(p.message)}" for p in PIPELINE_PATTERNS)
+    return f"CASE pattern_name {cases} END"
+
+
 def pipeline_sql() -> str:
     from fleetaudit.operators.textscan import PIPELINE_PATTERNS
 
@@ -656,9 +671,12 @@ SELECT project_id, array_to_string(list_filter([
     || ' vulnerable packages to latest patched versions' END,
   CASE WHEN typosquatting_alerts > 0 THEN 'Review and remove potentially malicious packages flagged for typosquatting'
     END,
+  CASE WHEN secrets_found > 0 THEN 'Rotate exposed credentials and implement secret scanning in CI/CD' END,
   CASE WHEN licenses_found > 0 THEN 'Review and resolve restrictive copyleft license risks and conflicts' END,
   CASE WHEN dep_confusion_issues > 0 THEN 'Secure private package registers, scope scopes, or register placeholders '
     || 'publicly to prevent dependency confusion' END,
+  CASE WHEN pipeline_issues > 0 THEN 'Pin third-party Actions to full commit SHAs and remove dangerous command lines '
+    || 'from CI/CD' END,
   CASE WHEN versions_outdated > 0 THEN 'Upgrade ' || versions_outdated || ' outdated packages to their latest versions'
     END], lambda x: x IS NOT NULL), ' | ') AS recommendations
 FROM summary"""

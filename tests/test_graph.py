@@ -70,6 +70,14 @@ def test_cycles(spark):
     long = spark.createDataFrame([("npm", f"n{i:02d}", f"n{(i + 1) % 20:02d}") for i in range(20)]
                                  + [("npm", "n05", "tail")], "ecosystem string, parent string, child string")
     assert graph.cycle_nodes(long).count() == 20  # a 20-node loop: membership has no length limit
+    (loop,) = graph.cycles(long).collect()  # and neither has the listing
+    assert loop["length"] == 20 and loop["cycle"] == [f"n{i:02d}" for i in range(20)] + ["n00"]
+    deps = spark.createDataFrame(
+        [(1, "npm", 1, "n07", "1.0"), (2, "npm", 1, "tail", "1.0")],
+        "project_id long, ecosystem string, pos int, name string, version string",
+    ).selectExpr("*", "cast(null as string) dep_type", "'declared' source")
+    stats = graph.graph_stats(graph.resolve(deps, long), long)
+    assert rows(stats, "project_id", "circular_dependencies") == [(1, 1), (2, 0)]
     assert rows(graph.cycle_nodes(e), "name") == [("a",), ("b",), ("c",), ("x",)]
 
 
