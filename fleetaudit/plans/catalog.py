@@ -24,6 +24,10 @@ def _td(spark: SparkSession, sf_dir: str) -> TestData:
     return TestData(spark, sf_dir)
 
 
+def _roots(td: TestData) -> DataFrame:
+    return graph.resolve_roots(td.declared, td.edges)[0]
+
+
 def _resolved(td: TestData) -> DataFrame:
     return graph.resolve(td.declared, td.edges)
 
@@ -105,7 +109,7 @@ def declared_count(spark, sf_dir):
 def vulnerable_deps(spark, sf_dir):
     td = _td(spark, sf_dir)
     adv = vulnerability.with_fallback_advisories(td.advisories)
-    return vulnerability.vulnerability_alerts(_resolved(td), adv).select(
+    return vulnerability.vulnerability_alerts(_roots(td), adv).select(
         "project_id", "ecosystem", "package", "version", "cve", "severity", "message"
     )
 
@@ -142,7 +146,7 @@ def _typo_technique(*techniques: str):
 
 def typosquat_alerts(spark, sf_dir):
     td = _td(spark, sf_dir)
-    return typosquat.typosquat_alerts(_resolved(td), td.popular).select(
+    return typosquat.typosquat_alerts(_roots(td), td.popular).select(
         "project_id", "ecosystem", "package", "similar_to", "technique", "severity", "message"
     )
 
@@ -150,12 +154,12 @@ def typosquat_alerts(spark, sf_dir):
 # ------------------------------------------------------------------ licences
 def license_inventory(spark, sf_dir):
     td = _td(spark, sf_dir)
-    return licensing.license_inventory(_resolved(td), td.licenses)
+    return licensing.license_inventory(_roots(td), td.licenses)
 
 
 def license_alerts(spark, sf_dir):
     td = _td(spark, sf_dir)
-    return licensing.license_alerts(_resolved(td), td.licenses).select(
+    return licensing.license_alerts(_roots(td), td.licenses).select(
         "project_id", "ecosystem", "type", "package", "license", "severity", "message"
     )
 

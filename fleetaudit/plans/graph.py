@@ -100,26 +100,27 @@ def root_closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
     return done
 
 
-def resolve(dependencies: DataFrame, edges: DataFrame) -> DataFrame:
-    """G1: resolved = declared roots ∪ their closure, per project.
-
-    Columns: project_id, ecosystem, name, version, dep_type, is_direct, depth, path.
-    Direct packages have depth 0 and path ``[name]``; transitive ones carry
-    version/dep_type ``transitive`` and the shortest path from any direct package.
-    One aggregation on (project, ecosystem, package) over direct rows ∪ reached rows.
+def resolve_roots(dependencies: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """G1 without paths: (declared roots ∪ their closure per project, the closure per root).
+
+    Columns: project_id, ecosystem, name, version, dep_type, is_direct, depth, root.
+    ``root`` is the direct package that the shortest path starts from.  A path
+    begins with its root and is unique per (root, node), so the least
+    (depth, root) picks the same path as the least (depth, path) would, and no
+    path travels through the shuffle.
     """
     nodes = declared_nodes(dependencies).persist()  # roots and per-project rows both read it
     closure = root_closure(nodes.select("ecosystem", F.col("name").alias("root")), edges)
     reached = (
         nodes.select("project_id", "ecosystem", F.col("name").alias("root"))
-        .join(closure, ["ecosystem", "root"])
-        .select("project_id", "ecosystem", "node", F.struct("depth", "path").alias("best"),
+        .join(closure.select("ecosystem", "root", "node", "depth"), ["ecosystem", "root"])
+        .select("project_id", "ecosystem", "node", F.struct("depth", "root").alias("best"),
                 F.lit(None).cast("string").alias("version"), F.lit(None).cast("string").alias("dep_type"),
                 F.lit(False).alias("is_direct"))
     )
     direct = nodes.select(
         "project_id", "ecosystem", F.col("name").alias("node"),
-        F.struct(F.lit(0).alias("depth"), F.array(F.col("name")).alias("path")).alias("best"),
+        F.struct(F.lit(0).alias("depth"), F.col("name").alias("root")).alias("best"),
         "version", "dep_type", F.lit(True).alias("is_direct"),
     )
     g = direct.unionByName(reached).groupBy("project_id", "ecosystem", "node").agg(
@@ -129,7 +130,7 @@ def resolve(dependencies: DataFrame, edges: DataFrame) -> DataFrame:
         F.max("dep_type").alias("dep_type"),
     )
     is_direct = F.col("is_direct")
-    return g.select(
+    resolved = g.select(
         "project_id",
         "ecosystem",
         F.col("node").alias("name"),
@@ -137,10 +138,30 @@ def resolve(dependencies: DataFrame, edges: DataFrame) -> DataFrame:
         F.when(is_direct, F.col("dep_type")).otherwise(F.lit("transitive")).alias("dep_type"),
         is_direct.alias("is_direct"),
         F.col("best.depth").alias("depth"),
-        F.col("best.path").alias("path"),
+        F.col("best.root").alias("root"),
+    )
+    return resolved, closure
+
+
+def with_paths(resolved: DataFrame, closure: DataFrame) -> DataFrame:
+    """``resolve_roots`` output with ``path``: looked up per (root, node), ``[name]`` for direct packages."""
+    paths = closure.select("ecosystem", "root", F.col("node").alias("name"), "path")
+    return resolved.join(paths, ["ecosystem", "root", "name"], "left").select(
+        "project_id", "ecosystem", "name", "version", "dep_type", "is_direct", "depth",
+        F.when(F.col("is_direct"), F.array("name")).otherwise(F.col("path")).alias("path"),
     )
 
 
+def resolve(dependencies: DataFrame, edges: DataFrame) -> DataFrame:
+    """G1: resolved = declared roots ∪ their closure, per project.
+
+    Columns: project_id, ecosystem, name, version, dep_type, is_direct, depth, path.
+    Direct packages have depth 0 and path ``[name]``; transitive ones carry
+    version/dep_type ``transitive`` and the shortest path from any direct package.
+    """
+    return with_paths(*resolve_roots(dependencies, edges))
+
+
 def depth_compat(dependencies: DataFrame, resolved: DataFrame, edges: DataFrame) -> DataFrame:
     """The original tool's depth, next to the documented one.
 

@@ -110,3 +110,37 @@ def test_directory_scan_end_to_end(spark):
     assert ("api", "versions", "OUTDATED_PACKAGE") in got               # built-in latest for django
     assert ("api", "secrets", "PASSWORD_ASSIGNMENT") in got
     assert {r.project_id: r.total_dependencies for r in summary.collect()} == {"api": 1, "web": 3}
+
+
+def test_rows_that_repeat_or_tie(spark):
+    import pytest
+
+    from fleetaudit.operators import confusion, licensing, outdated
+
+    resolved = spark.createDataFrame(
+        [(1, "python", "a", "1"), (1, "npm", "b", "1"), (2, "python", "a", "1")],
+        "project_id long, ecosystem string, name string, version string")
+    lic = spark.createDataFrame(
+        [("python", "a", "GPL-3.0"), ("python", "a", "unknown"), ("python", "a", "GPL-3.0"), ("npm", "b", "Proprietary")],
+        "ecosystem string, package string, license string")
+    got = licensing.license_alerts(resolved, lic).select("project_id", "type").collect()
+    # a conflict counts over all ecosystems of a project; a repeated licence row does not repeat its alert
+    assert sorted(map(tuple, got)) == [(1, "LICENSE_CONFLICT"), (1, "LICENSE_RISK"), (2, "LICENSE_RISK")]
+    rel = spark.createDataFrame([("npm", "x", "1.0"), ("npm", "x", "1.0.0")], "ecosystem string, package string, version string")
+    assert {outdated.latest_release(rel.orderBy(o)).first()["latest"] for o in ("version", "package")} == {"1.0.0"}
+    with pytest.raises(ValueError):
+        confusion.unregistered_alerts(resolved, rel.select("ecosystem", "package").limit(0))
+
+
+def test_streams_resume_in_their_folder(spark, tmp_path):
+    from fleetaudit.streaming import alerts as stream
+
+    base = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(3)
+    at = f"{tmp_path}/in"
+    base.write.parquet(at)
+    first = stream.windowed_alert_counts(spark, at, f"{tmp_path}/out")
+    n = first.groupBy().sum("n_alerts").first()[0]
+    base.write.mode("append").parquet(at)  # arrives after the first run: the second run reads only these
+    again = stream.windowed_alert_counts(spark, at, f"{tmp_path}/out")
+    late = again.groupBy().sum("n_alerts").first()[0]
+    assert n == 3 and late >= n  # a folder that forgot its state would count the old rows again or lose them
