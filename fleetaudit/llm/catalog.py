@@ -43,8 +43,8 @@ found AS (
         FROM ahead a JOIN (SELECT DISTINCT n FROM windows) s ON len(a.l) >= s.n) a
   JOIN windows x ON x.n = a.n AND x.win = a.said),
 hits AS (
-  SELECT doc_id, count(DISTINCT at) AS n_hit
-  FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS at FROM found) GROUP BY doc_id),
+  SELECT doc_id, count(DISTINCT k) AS n_hit
+  FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS k FROM found) GROUP BY doc_id),
 named AS (
   SELECT doc_id, count(DISTINCT id) AS n_items, string_agg(DISTINCT id, ',' ORDER BY id) AS ids
   FROM found GROUP BY doc_id)

@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_worker, table, written
+from .common import per_worker, sliced, table, written
 
 WINDOW = 13
 MAX_ITEM_BYTES = 64 << 20
@@ -95,7 +95,7 @@ def _matcher(items: Broadcast, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = per_worker(key, lambda: automaton(items.value, width))
-        for b in batches:
+        for b in sliced(batches):
             n_words, spans, ids, offsets = [], [], [], []
             for text in b.column(0).to_pylist():
                 n, hit, who = scan(tree, text)

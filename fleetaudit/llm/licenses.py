@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_worker, table
+from .common import per_worker, sliced, table
 
 # Public licence notices and headers.
 TEMPLATES = {
@@ -158,7 +158,7 @@ def _scan(templates: dict[str, str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = per_worker(key, lambda: Scanner(templates))
-        for b in batches:
+        for b in sliced(batches):
             found = [scanner.scan(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[1:], pa.array([n for n, _ in found], pa.int64()), pa.array([f for _, f in found], KIND)],

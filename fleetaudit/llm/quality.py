@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_key, written
+from .common import sliced, table, text_key, written
 
 MAX_DOCS = 20
 MIN_SHARE = 0.3
@@ -86,7 +86,7 @@ BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repea
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64()), ("context", pa.int64())]))
-    for b in batches:
+    for b in sliced(batches):
         texts = b.column(0).to_pylist()
         found = list(zip(*map(measures, texts))) or [()] * 5
         lines = []

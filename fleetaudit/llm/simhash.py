@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_key, written
+from .common import sliced, table, text_key, written
 
 SHINGLE = 3
 RADIUS = 3
@@ -64,7 +64,7 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
 
 
 def _add_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches):
         prints = np.array([fingerprint(t) for t in b.column(0).to_pylist()], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays(
             [*b.columns[1:], pa.array(prints.view(np.int64))], names=[*b.schema.names[1:], "print"]

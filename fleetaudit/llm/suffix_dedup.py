@@ -41,12 +41,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_key, text_or_empty, written
+from .common import per_worker, sliced, table, text_key, text_or_empty, written
 
 WINDOW = 400
 GRAM = 32
 STRIP = 32
-CHUNK = 1 << 19  # bytes hashed at once; a longer text is cut into runs of windows
+CHUNK = 1 << 18  # bytes hashed at once; a longer text is cut into runs of windows
 BASE = 0x9E3779B97F4A7C15  # odd, so powers have inverses modulo 2**64
 
 
@@ -99,7 +99,7 @@ def _chunks(values: list[bytes], window: int) -> Iterator[tuple[bytes, list[tupl
 
 def text_cells(values: list[bytes], window: int = WINDOW) -> Iterator[tuple[np.ndarray, ...]]:
     """Per chunk: row, anchor, first and last window start (all in the text), gram hash, hull hash."""
-    powers = _powers()
+    powers = per_worker(f"powers-{CHUNK}", _powers)
     for data, where in _chunks(values, window):
         anchor, gram = _anchors(np.frombuffer(data, dtype=np.uint8), window, powers)
         piece = np.full(len(anchor), -1, dtype=np.int64)
@@ -125,7 +125,7 @@ def _cell_rows(window: int):
     """(tk, bytes) -> the text's cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             values = [v or b"" for v in b.column(1).to_pylist()]
             for row, anchor, first, last, gram, hull in text_cells(values, window):
                 span = (anchor << 20) | ((anchor - first) << 10) | (anchor - last)
@@ -147,7 +147,7 @@ def _content_rows(window: int):
     """(tk, bytes, cells) -> each cell with the bytes that its windows cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             for k in range(b.num_rows):
                 tk, v, found = (b.column(i)[k].as_py() for i in range(3))
                 for at in range(0, len(found), 10_000):
@@ -169,7 +169,7 @@ def _strip_rows(window: int):
     """(tk, cell, content) -> the cell's strips: span of window starts, digit, hull."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             rows: list[int] = []
             spans, digits, hulls = [], [], []
             for k, (cell, v) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
@@ -194,7 +194,7 @@ def _window_rows(window: int):
     """(tk, cell, content, spans of window starts) -> one row per window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             rows: list[int] = []
             firsts, digits = [], []
             for k in range(b.num_rows):
@@ -285,7 +285,7 @@ def _merged(ranges: list[int] | None, window: int) -> list[tuple[int, int]]:
 
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             kept, spans = [], []
             for v, ranges in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 v, merged = v or b"", _merged(ranges, window)

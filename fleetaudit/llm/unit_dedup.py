@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import replaced, table, written
+from .common import replaced, sliced, table, written
 
 MIN_WORDS = 50
 CAPITAL = "A-ZÀ-ÖØ-ÞΑ-ΩА-Я"
@@ -56,7 +56,7 @@ def units_of(text: str | None, unit: str) -> list[tuple[int, int, int, int]]:
 
 def _unit_rows(unit: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(0).to_pylist()
             for at in range(0, len(texts), 500):
                 rows, cols = [], ([], [], [], [], [])
