@@ -3,7 +3,7 @@
 Each parser turns one manifest row ``(project_id, path, ecosystem, content)``
 into an array of dependency structs with higher-order functions and then
 ``posexplode``s it, so ``pos`` (1-based declaration order within the file) is
-computed without any shuffle.  Output schema = ``schemas.DEPENDENCIES``.
+computed without any shuffle.  The output columns are those of ``_explode_deps``.
 """
 
 from __future__ import annotations
