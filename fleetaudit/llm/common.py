@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 import uuid
@@ -52,6 +53,7 @@ def per_worker(key: str, build: Callable[[], Any]) -> Any:
     if key not in kept:
         for other in [k for k in kept if not k.startswith("__")]:
             del kept[other]
+        gc.collect()  # before the next one takes its memory
         kept[key] = build()
     return kept[key]
 

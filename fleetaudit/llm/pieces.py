@@ -46,6 +46,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THREADS = 2
 WHOLE = 64
 GROUP = 1000  # chunks in one string of a batch
+STRINGS = 16  # strings that are encoded at a time
 MARK = "▁"
 CHUNK = f"{MARK}*[^{MARK}]+|{MARK}+"
 CHUNKS = re.compile(CHUNK)
@@ -182,6 +183,15 @@ class Codec:
             back = self.tokenizer.decode(b, skip_special_tokens=False)  # without the prefix that a text has
             yield b, a == b, " " + back == c.replace(MARK, " ")
 
+    def _strings(self, groups: list, joined: list[str], texts: list[str]) -> Iterator[tuple]:
+        """(group, text, own ids, the library's ids, decoded) per string, a few strings in memory at a time."""
+        for i in range(0, len(groups), STRINGS):
+            some = slice(i, i + STRINGS)
+            mine = [e.ids for e in self.tokenizer.encode_batch_fast(joined[some], add_special_tokens=False)]
+            theirs = self.peer.encode([t[1:] for t in texts[some]], num_threads=THREADS)
+            back = self.tokenizer.decode_batch(mine, skip_special_tokens=False)
+            yield from zip(groups[some], texts[some], mine, theirs, back)
+
     def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all chunks, begin and length of each chunk's, equal to the library's, decoded to the chunk).
 
@@ -197,9 +207,7 @@ class Codec:
         groups = [order[i : i + GROUP] for i in range(0, len(order), GROUP)]
         joined = ["".join([chunks[i] for i in g.tolist()]) for g in groups]
         texts = [j.replace(MARK, " ") for j in joined]
-        theirs = self.peer.encode([t[1:] for t in texts], num_threads=THREADS)
-        mine = [e.ids for e in self.tokenizer.encode_batch(joined, add_special_tokens=False)]
-        for group, text, a, b, back in zip(groups, texts, mine, theirs, self.tokenizer.decode_batch(mine, skip_special_tokens=False)):
+        for group, text, a, b, back in self._strings(groups, joined, texts):
             ids = np.array(a, dtype=np.int32)
             starts = np.nonzero(self.leads[ids])[0]
             if a != b or " " + back != text or len(starts) != len(group):
@@ -250,7 +258,7 @@ class Codec:
 
 RESULT = "token_ids array<int>, n_tokens long, decoded string, round_trip boolean, parity boolean"
 NAMES = ["token_ids", "n_tokens", "decoded", "round_trip", "parity"]
-CHARS = 2_500_000  # of the texts that are encoded at a time: bounds the Python objects a worker holds
+CHARS = 2_000_000  # of the texts that are encoded at a time: bounds the Python objects a worker holds
 
 
 def _portions(sizes: list[int]) -> Iterator[tuple[int, int]]:
@@ -275,6 +283,7 @@ def _encode(data: bytes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = per_worker(key, lambda: _codec(data))
+        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker left
         for whole in batches:
             lengths = pc.fill_null(pc.binary_length(whole.column(0)), 0).to_pylist()
             for at, n in _portions(lengths):
