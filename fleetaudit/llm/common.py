@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 from fleetaudit.session import ensure_checkpoint_dir
 
 
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+DEFAULT_BATCH = "67108864b"  # Spark's default, as the session reports it
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -58,6 +63,19 @@ def per_worker(key: str, build: Callable[[], Any]) -> Any:
     return kept[key]
 
 
+def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches of texts bounded in bytes (``BATCH_BYTES``; one row at least).
+
+    A batch lies in the executor's Arrow buffers and in the Python worker at the
+    same time, once for each running task.  The bound is the session's setting,
+    lowered here where the session leaves it at Spark's default.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING) == DEFAULT_BATCH:
+        conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+    return df.mapInArrow(function, schema)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most ``rows`` rows, so that a task holds few texts as Python objects."""
     for b in batches:

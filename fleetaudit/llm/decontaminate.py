@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_worker, sliced, table, written
+from .common import map_batches, per_worker, sliced, table, written
 
 WINDOW = 13
 MAX_ITEM_BYTES = 64 << 20
@@ -138,7 +138,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", width: int =
     kind = _schema(rows.drop("text"))
     if parts == 1:  # the usual case: the items' size is within the bound
         sent = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])
-        return rows.mapInArrow(_matcher(sent, width), kind)
+        return map_batches(rows, _matcher(sent, width), kind)
     # 2x the parts, as items are dealt by hash; equal windows of several parts unite below
     parts *= 2
     numbered = written(rows.withColumn("at", F.monotonically_increasing_id()), "documents")
@@ -147,7 +147,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", width: int =
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
         sent = spark.sparkContext.broadcast([tuple(r) for r in mine.collect()])
         source = numbered.select("text", "at")
-        one = source.mapInArrow(_matcher(sent, width), _schema(source.drop("text"))).where(F.size("found.hits") > 0)
+        one = map_batches(source, _matcher(sent, width), _schema(source.drop("text"))).where(F.size("found.hits") > 0)
         scans = one if scans is None else scans.unionByName(one)
     per_doc = scans.groupBy("at").agg(
         F.array_sort(F.flatten(F.collect_list("found.hits"))).alias("hits"),
@@ -155,7 +155,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", width: int =
         F.array_sort(F.flatten(F.collect_list("found.offsets"))).alias("offsets"),
     )
     none = spark.sparkContext.broadcast([])
-    counted = numbered.mapInArrow(_matcher(none, width), _schema(numbered.drop("text")))
+    counted = map_batches(numbered, _matcher(none, width), _schema(numbered.drop("text")))
     united = counted.join(per_doc, "at", "left")
     return united.select("record", F.struct(
         F.col("found.n_words"),

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_worker, sliced, table
+from .common import map_batches, per_worker, sliced, table
 
 # Public licence notices and headers.
 TEMPLATES = {
@@ -172,7 +172,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", templates: dict[s
     """``keep`` with ``n_blocks`` and ``licenses`` (template, offsets, size reduction, wording differences)."""
     rows = docs.select(F.col(text), *keep)
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(_scan(TEMPLATES if templates is None else templates), f"{kind}, n_blocks long, licenses {FOUND}")
+    return map_batches(rows, _scan(TEMPLATES if templates is None else templates), f"{kind}, n_blocks long, licenses {FOUND}")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from .common import per_worker, replaced, table
+from .common import map_batches, per_worker, replaced, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THREADS = 2
@@ -308,7 +308,7 @@ def encoded(docs: DataFrame, model: str = MODEL, text: str = "text", keep: list[
     docs = replaced(docs, *NAMES)
     rows = docs.select(F.col(text).alias("_text"), *(docs.columns if keep is None else keep))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(_encode(data), f"{kind}, {RESULT}" if kind else RESULT)
+    return map_batches(rows, _encode(data), f"{kind}, {RESULT}" if kind else RESULT)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced, table, text_key, written
+from .common import map_batches, sliced, table, text_key, written
 
 MAX_DOCS = 20
 MIN_SHARE = 0.3
@@ -112,7 +112,7 @@ def verdicts(
         text_key(text).alias("tk"), F.monotonically_increasing_id().alias("row"),
     )
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    measured = written(rows.mapInArrow(_measure, f"{kind}, {BASE}, {LINES}"), "measured")
+    measured = written(map_batches(rows, _measure, f"{kind}, {BASE}, {LINES}"), "measured")
     lines = measured.select("row", "host", "tk", F.explode("lines").alias("x")).select("row", "host", "tk", "x.*")
     frequent = (
         lines.select("host", "line", "context", F.xxhash64("tk").alias("doc")).distinct()

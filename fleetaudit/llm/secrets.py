@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import sliced, table, written
+from .common import map_batches, sliced, table, written
 
 # Fixed values of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -160,7 +160,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", q: float = 0.05)
     """``keep`` with ``base``, ``base_sha256`` and ``spans``: array of (start, kind number, end, encoding)."""
     rows = docs.select(F.col(text), *keep)
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    scanned = written(rows.mapInArrow(_scan, f"{kind}, {COLUMNS}"), "scanned")
+    scanned = written(map_batches(rows, _scan, f"{kind}, {COLUMNS}"), "scanned")
     limits = thresholds(scanned.select(F.inline("tried")), q).collect()  # a number per class
     table_of = {f"{r['encoding']}/{r['size']}": r["limit"] for r in limits}
     limit = F.create_map(*[F.lit(x) for kv in (table_of or {"": -1}).items() for x in kv])

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced, table, text_key, written
+from .common import map_batches, sliced, table, text_key, written
 
 SHINGLE = 3
 RADIUS = 3
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
     """Columns ``keep`` and ``print`` (the fingerprint as a signed long)."""
     out = docs.select(F.col(text), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[1:])
-    return out.mapInArrow(_add_fingerprints, f"{schema}, print long" if keep else "print long")
+    return map_batches(out, _add_fingerprints, f"{schema}, print long" if keep else "print long")
 
 
 def _planes(prints: np.ndarray) -> np.ndarray:

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_worker, sliced, table, text_key, text_or_empty, written
+from .common import map_batches, per_worker, sliced, table, text_key, text_or_empty, written
 
 WINDOW = 400
 GRAM = 32
@@ -217,7 +217,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW)
     """(tk, first, more): by text key, the runs first..first+more of window starts whose windows also start elsewhere."""
     rows = docs.select(text_key(text).alias("tk"), text_or_empty(text).cast("binary").alias("bytes"))
     # pass 1; groups are written before they are joined: then Spark deals out both sides and can split a hot digit
-    found = rows.mapInArrow(_cell_rows(window), "tk binary, cell long, gram long, hull long")
+    found = map_batches(rows, _cell_rows(window), "tk binary, cell long, gram long, hull long")
     groups = written(
         found.groupBy("gram")
         .agg(F.count(F.lit(1)).alias("n"), F.min("hull").alias("lo"), F.max("hull").alias("hi"))
@@ -237,12 +237,13 @@ def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW)
     twice = judged.where("n > 1").select(*of_cell)
     chosen = judged.where("id = one").groupBy("tk").agg(F.collect_set("cell").alias("cells"))
     contents = written(
-        rows.dropDuplicates(["tk"]).join(chosen, "tk").select("tk", "bytes", "cells").mapInArrow(
-            _content_rows(window), "tk binary, cell long, content binary"
+        map_batches(
+            rows.dropDuplicates(["tk"]).join(chosen, "tk").select("tk", "bytes", "cells"),
+            _content_rows(window), "tk binary, cell long, content binary",
         ),
         "contents",
     )
-    strips = contents.mapInArrow(_strip_rows(window), "tk binary, cell long, span long, d1 long, d2 long, hull long")
+    strips = map_batches(contents, _strip_rows(window), "tk binary, cell long, span long, d1 long, d2 long, hull long")
     digit, cell_id = ["d1", "d2"], F.xxhash64("tk", "cell")
     strip_groups = (
         strips.groupBy(*digit)
@@ -256,8 +257,9 @@ def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW)
     )
     # pass 3
     left = kept.where("mixed").groupBy("tk", "cell").agg(F.collect_list("span").alias("spans"))
-    windows = contents.join(left, ["tk", "cell"]).select("tk", "cell", "content", "spans").mapInArrow(
-        _window_rows(window), "tk binary, first long, d1 long, d2 long"
+    windows = map_batches(
+        contents.join(left, ["tk", "cell"]).select("tk", "cell", "content", "spans"),
+        _window_rows(window), "tk binary, first long, d1 long, d2 long",
     )
     start_id = F.xxhash64("tk", "first")
     equal = (
@@ -315,7 +317,7 @@ def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", window:
     rows = docs.select(*keep, text_key(text).alias("tk"), text_or_empty(text).cast("binary").alias("bytes"))
     joined = rows.join(ranges, "tk", "left").select("bytes", "ranges", *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[2:])
-    return joined.mapInArrow(_cut(window), f"{schema}, kept binary, spans array<struct<start: long, end: long>>")
+    return map_batches(joined, _cut(window), f"{schema}, kept binary, spans array<struct<start: long, end: long>>")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

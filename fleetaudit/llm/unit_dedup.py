@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import replaced, sliced, table, written
+from .common import map_batches, replaced, sliced, table, written
 
 MIN_WORDS = 50
 CAPITAL = "A-ZÀ-ÖØ-ÞΑ-ΩА-Я"
@@ -82,8 +82,8 @@ def copied_spans(
     rows = docs.select(F.col(text), F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"))
     kind = docs.schema[id_col].dataType.simpleString()
     units = written(
-        rows.mapInArrow(
-            _unit_rows(unit), f"row long, id {kind}, ord int, start long, end long, words int, digest long"
+        map_batches(
+            rows, _unit_rows(unit), f"row long, id {kind}, ord int, start long, end long, words int, digest long"
         ),
         "units",
     )
