@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fleetaudit.llm import (
-    catalog, decontaminate, licenses, line_dedup, pieces, quality, secrets, sharding, simhash, suffix_dedup, unit_dedup,
+    catalog, common, decontaminate, licenses, line_dedup, pieces, quality, secrets, sharding, simhash, suffix_dedup, unit_dedup,
 )
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -588,3 +588,21 @@ def test_stages_return_the_columns_of_documents(spark, sf_dir, corpus):
         out = stage(spark, extra, sf_dir)
         assert out.columns == extra.columns and stage(spark, extra.limit(0), sf_dir).count() == 0
         assert {(r["tk"], r["found"]) for r in out.collect()} <= {(1, "x")}
+
+
+def test_batches_are_bounded_in_bytes_unless_the_session_says_so(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    texts = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("word "), 1000).alias("text"))
+    before = spark.conf.get(common.BATCH_SETTING)
+    try:
+        spark.conf.set(common.BATCH_SETTING, common.DEFAULT_BATCH)
+        found = common.map_batches(texts, sizes, "n long, bytes long").collect()
+        assert sum(r["n"] for r in found) == 6000 and max(r["bytes"] for r in found) < 1.1 * common.BATCH_BYTES
+        spark.conf.set(common.BATCH_SETTING, "1m")
+        found = common.map_batches(texts, sizes, "n long, bytes long").collect()
+        assert sum(r["n"] for r in found) == 6000 and max(r["bytes"] for r in found) < 1.1 * (1 << 20)
+    finally:
+        spark.conf.set(common.BATCH_SETTING, before)
