@@ -258,7 +258,7 @@ class Codec:
 
 RESULT = "token_ids array<int>, n_tokens long, decoded string, round_trip boolean, parity boolean"
 NAMES = ["token_ids", "n_tokens", "decoded", "round_trip", "parity"]
-CHARS = 2_000_000  # of the texts that are encoded at a time: bounds the Python objects a worker holds
+CHARS = 4_500_000  # of the texts that are encoded at a time (half a batch): bounds the Python objects a worker holds
 
 
 def _portions(sizes: list[int]) -> Iterator[tuple[int, int]]:
