@@ -7,8 +7,9 @@ byte fallback.  Unigram models keep their scores; BPE models get their merges
 ranked by piece score.
 
 Words repeat, so texts are cut before runs of the marker and each distinct
-chunk of a batch is encoded and decoded once, many at a time (``encode_batch``
-with ``THREADS`` threads).  The cut is exact if no piece holds the marker after
+chunk is encoded and decoded once, many at a time (``encode_batch`` with
+``THREADS`` threads).  A worker remembers the chunks it has seen, up to
+``KEPT`` characters of them, and then begins anew.  The cut is exact if no piece holds the marker after
 another character, which is tested when the model is loaded; a model without
 that property has its texts encoded whole.
 
@@ -28,8 +29,9 @@ from __future__ import annotations
 import os
 import re
 import struct
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,8 @@ STRINGS = 16  # strings that are encoded at a time
 MARK = "▁"
 CHUNK = f"{MARK}*[^{MARK}]+|{MARK}+"
 CHUNKS = re.compile(CHUNK)
+KEPT = 12_000_000  # characters (with CHUNK_COST for each chunk) of the chunks that a worker remembers
+CHUNK_COST = 10
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -159,6 +163,31 @@ class Codec:
         self.cuts = self.model.cuts and self.plain and self.model.dummy_prefix
         if self.cuts:
             self.tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(CHUNK), "isolated")
+        self._forget()
+
+    def _forget(self) -> None:
+        """Begin with no remembered chunks."""
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)  # chunk: its place in the arrays
+        self.held = 0
+        self.store = np.empty(0, np.int32)  # ids of all chunks
+        self.begins, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.equal, self.same = np.empty(0, bool), np.empty(0, bool)
+
+    def _numbers(self, cut: list[list[str]]) -> np.ndarray:
+        """The place of every chunk; those not yet known are encoded and compared first."""
+        if self.held > KEPT:
+            self._forget()
+        before = len(self.number)
+        every = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=sum(map(len, cut)))
+        new = [*islice(self.number, before, None)]
+        if new:
+            ids, begins, *rest = self._chunks(new)
+            found = (ids, begins + len(self.store), *rest)
+            names = ("store", "begins", "lengths", "equal", "same")
+            for name, x in zip(names, found):
+                setattr(self, name, np.concatenate([getattr(self, name), x]))
+            self.held += sum(map(len, new)) + CHUNK_COST * len(new)
+        return every
 
     def normalized(self, text: str) -> str:
         if not self.plain:
@@ -233,15 +262,12 @@ class Codec:
             return np.array([i for x in ids for i in x], np.int32), sizes, back, [a == b for a, b in zip(mine, ids)]
         flat = [self.normalized(t) for t in texts]
         cut = [CHUNKS.findall(t) for t in flat]
-        chunks = [*dict.fromkeys(chain.from_iterable(cut))]
-        number = {c: i for i, c in enumerate(chunks)}
-        every = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), dtype=np.int64)
-        store, begins, lengths, equal, same = self._chunks(chunks)
-        reps = lengths[every]
-        ids = store[np.repeat(begins[every] - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))]
+        every = self._numbers(cut)
+        reps = self.lengths[every]
+        ids = self.store[np.repeat(self.begins[every] - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))]
         edges = np.cumsum([0, *map(len, cut)])  # chunks of text k: edges[k] to edges[k + 1]
         ends = np.concatenate([[0], np.cumsum(reps)])[edges]
-        bad, differ = (np.concatenate([[0], np.cumsum(~x[every])])[edges] for x in (same, equal))
+        bad, differ = (np.concatenate([[0], np.cumsum(~x[every])])[edges] for x in (self.same, self.equal))
         back = []
         for k, t in enumerate(flat):
             if bad[k + 1] > bad[k]:  # some chunk does not decode to itself
@@ -258,7 +284,7 @@ class Codec:
 
 RESULT = "token_ids array<int>, n_tokens long, decoded string, round_trip boolean, parity boolean"
 NAMES = ["token_ids", "n_tokens", "decoded", "round_trip", "parity"]
-CHARS = 4_500_000  # of the texts that are encoded at a time (half a batch): bounds the Python objects a worker holds
+CHARS = 2_000_000  # of the texts that are encoded at a time: bounds the Python objects a worker holds
 
 
 def _portions(sizes: list[int]) -> Iterator[tuple[int, int]]:

@@ -195,6 +195,22 @@ def unigram_model(extra):
     return data + b"\x12" + varint(len(trainer)) + trainer + b"\x1a" + varint(len(normal)) + normal
 
 
+def test_remembered_chunks_give_the_same_results(monkeypatch):
+    """A codec that forgets before each portion, one that remembers, and a new one for each portion agree."""
+    with open(pieces.MODEL, "rb") as f:
+        data = f.read()
+    portions = [["a rose is a rose", "", "x" * 3000, "is  a\n\trose "], ["", ""], ["rose x\u2581y \U0001f339 is", "a rose is a rose"]]
+    plain = lambda out: [x.tolist() if hasattr(x, "tolist") else x for x in out]
+    fresh = [plain(pieces.Codec(data).run(texts)) for texts in portions]
+    codec = pieces.Codec(data)
+    assert [plain(codec.run(texts)) for texts in portions] == fresh
+    assert len(codec.number) == len(codec.begins) == len(codec.lengths) == len(codec.equal) == len(codec.same)
+    monkeypatch.setattr(pieces, "KEPT", 0)
+    codec = pieces.Codec(data)
+    assert [plain(codec.run(texts)) for texts in portions] == fresh
+    assert codec.held < 200  # only what the last portion brought
+
+
 def test_unigram_scores_and_byte_fallback_are_rebuilt():
     extra = [("▁", -3.0), ("▁ka", -2.0), ("ka", -2.5), ("k", -6.0), ("a", -5.0), ("▁k", -5.5), ("lo", -2.2), ("l", -6.5), ("o", -6.1), ("kalo", -4.0)]
     data = unigram_model(extra)
