@@ -2,13 +2,11 @@
 
 Every document gives the hashes of its normalised lines (lower case, digits as
 0, white space squeezed).  Per host, a line is boilerplate if more than
-``max_docs`` distinct documents hold it, in as many independent contexts; its
-words are taken out of the document, and a document that keeps under
-``min_share`` of its words is depleted and rejected.  Documents count by
-content, and a line's context is the least other line hash of its document, so
-that copies and near copies of one text do not make its lines boilerplate.  The
-price: boilerplate of several lines that always come together counts only as far
-as the rest of its documents gives it other neighbours.
+``max_docs`` distinct documents hold it; its words are taken out of the
+document, and a document that keeps under ``min_share`` of its words is
+depleted and rejected.  Documents count by content, so that copies of one text
+do not make its lines boilerplate; texts that differ anywhere are distinct, near
+copies too.
 
 The base rules of the contract reject first: under 50 words, or over half of
 the words in repeated 3-word windows.
@@ -80,21 +78,16 @@ def line_hashes(text: str | None) -> dict[int, int]:
     return out
 
 
-LINES = "lines array<struct<line: long, words: long, context: long>>"
+LINES = "lines array<struct<line: long, words: long>>"
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64()), ("context", pa.int64())]))
+    kind = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())]))
     for b in sliced(batches):
         texts = b.column(0).to_pylist()
         found = list(zip(*map(measures, texts))) or [()] * 5
-        lines = []
-        for t in texts:
-            hashes = line_hashes(t)
-            low = sorted(hashes)[:2] if len(hashes) < 64 else np.partition(np.fromiter(hashes, np.int64), 1)[:2].tolist()
-            least, second = (*low, 0, 0)[:2]
-            lines.append([{"line": h, "words": w, "context": second if h == least else least} for h, w in hashes.items()])
+        lines = [[{"line": h, "words": w} for h, w in line_hashes(t).items()] for t in texts]
         yield pa.RecordBatch.from_arrays(
             [*b.columns[1:], *(pa.array(x, pa.int64()) for x in found), pa.array(lines, kind)],
             names=[*b.schema.names[1:], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"],
@@ -115,10 +108,9 @@ def verdicts(
     measured = written(map_batches(rows, _measure, f"{kind}, {BASE}, {LINES}"), "measured")
     lines = measured.select("row", "host", "tk", F.explode("lines").alias("x")).select("row", "host", "tk", "x.*")
     frequent = (
-        lines.select("host", "line", "context", F.xxhash64("tk").alias("doc")).distinct()
-        .groupBy("host", "line", "context").agg(F.count(F.lit(1)).alias("docs"))
-        .groupBy("host", "line").agg(F.sum("docs").alias("n_docs"), F.count(F.lit(1)).alias("n_contexts"))
-        .where((F.col("n_contexts") > max_docs) & (2 * F.col("n_contexts") >= F.col("n_docs")))
+        lines.select("host", "line", "tk").distinct()
+        .groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
+        .where(F.col("n_docs") > max_docs)
         .select("host", "line")
     )
     taken = lines.join(written(frequent, "frequent"), ["host", "line"], "left_semi").groupBy("row").agg(F.sum("words").alias("frequent"))

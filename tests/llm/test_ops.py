@@ -421,6 +421,24 @@ def test_depleted_documents_go_per_host(spark):
     assert quality.stage(spark, frame(spark, []), "").collect() == []
 
 
+@pytest.mark.parametrize("k, u", [(3, 1), (10, 4)])
+def test_blocks_of_several_shared_lines_are_boilerplate(spark, k, u):
+    rng = random.Random(k)
+    block = prose(rng, 20 * k, 20)
+    texts = [block + "\n" + prose(rng, 5 * u, 5) for _ in range(30)]
+    few = [prose(rng, 60, 20) + "\n" + x for x in texts[:20] for x in [prose(rng, 5, 5)]]
+    rows = [(i, t, "xx", "menu", 1) for i, t in enumerate(texts)] + [(100 + i, t, "xx", "few", 1) for i, t in enumerate(few)]
+    rows += [(200 + i, block, "xx", "copies", 1) for i in range(30)]
+    out = {r["id"]: r for r in quality.verdicts(frame(spark, rows)).collect()}
+    seen = defaultdict(set)
+    for _, t, _, host, _ in rows:
+        for line in t.split("\n"):
+            seen[host, line.lower()].add(t)
+    for i, t, _, host, _ in rows:  # brute force: distinct texts per host and line
+        assert out[i]["n_frequent_words"] == sum(len(x.split()) for x in t.split("\n") if len(seen[host, x.lower()]) > 20)
+    assert out[0]["n_frequent_words"] == 20 * k and out[200]["n_frequent_words"] == 0
+
+
 # --- op8 -------------------------------------------------------------------------------------
 
 
