@@ -8,12 +8,10 @@ frequent line of its leaf that agrees with it in a segment, if at least
 ``similarity`` of all segments agree.  The differing segments are the
 template's variable fields.
 
-A template recurs if it occurs in ``min_docs`` or more documents with as many
-independent contexts.  Documents count by content (equal texts are one), and a
-context is the least hash of another line of the document, so the lines of copies
-and near copies, which come with the same neighbours, are not taken for
-boilerplate.  All lines of a recurring template are dropped from all
-documents.
+A template recurs if it occurs in ``min_docs`` or more documents.  Documents
+count by content, so that copies of one text do not make its lines boilerplate;
+texts that differ anywhere are distinct, near copies too.  All lines of a
+recurring template are dropped from all documents.
 
 The verdict on a line depends on the document's text alone, so texts are
 joined back by content key and equal rows share one verdict.
@@ -35,18 +33,12 @@ VARIABLE = r"(?<!\S)[^\s\d]*+\d\S*"
 
 
 def line_occurrences(docs: DataFrame, lead: int = 3, text: str = "text") -> DataFrame:
-    """One row per line: text key, line position, tokens, line hash, leaf, segments, context."""
+    """One row per line: text key, line position, tokens, line hash, leaf, segments."""
     split = docs.where(F.length(text) > 0).select(text_key(text).alias("tk"), F.split(F.col(text), "\n").alias("lines"))
-    hashed = split.select("*", F.transform("lines", lambda x: F.xxhash64(x)).alias("hs"))
-    least = hashed.select("*", F.array_min("hs").alias("least")).select(
-        "tk", "lines", "least", F.array_min(F.filter("hs", lambda x: x != F.col("least"))).alias("second")
-    )
-    lines = least.select("tk", "least", "second", F.posexplode("lines").alias("pos", "text"))
+    lines = split.select("tk", F.posexplode("lines").alias("pos", "text"))
     masked = F.when(F.col("text").rlike(r"\d"), F.regexp_replace("text", VARIABLE, "<*>")).otherwise(F.col("text"))
     tokens = lines.select(
-        "tk", "pos",
-        F.when(F.xxhash64("text") == F.col("least"), F.col("second")).otherwise(F.col("least")).alias("context"),
-        F.array_remove(F.split(masked, r"[ \t\r\f\x0B]+"), "").alias("t"),
+        "tk", "pos", F.array_remove(F.split(masked, r"[ \t\r\f\x0B]+"), "").alias("t"),
     )
     counted = tokens.select("*", F.size("t").alias("n"), F.greatest(F.least(F.size("t"), F.lit(SEGMENTS)), F.lit(1)).alias("k"))
     segment = [
@@ -55,7 +47,7 @@ def line_occurrences(docs: DataFrame, lead: int = 3, text: str = "text") -> Data
     ]
     return counted.select(
         "tk", "pos", "n", F.xxhash64("t").alias("line"), F.xxhash64("n", F.slice("t", 1, lead)).alias("leaf"),
-        F.array_compact(F.array(*segment)).alias("segments"), "context",
+        F.array_compact(F.array(*segment)).alias("segments"),
     )
 
 
@@ -93,18 +85,17 @@ def line_templates(occurrences: DataFrame, similarity: float = 0.75) -> DataFram
 def recurring_lines(
     occurrences: DataFrame, min_docs: int = 10, similarity: float = 0.75, min_tokens: int = 3
 ) -> DataFrame:
-    """(line, template, n_docs, n_contexts) of the lines whose template recurs across documents."""
+    """(line, template, n_docs) of the lines whose template recurs across documents."""
     long = occurrences.where(F.col("n") >= min_tokens)
     full = long.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= min_docs).select("leaf")
     # written, so that the join deals out both sides (or sends the few leaves) and a hot leaf can be split
     kept = written(long.join(written(full, "leaves"), "leaf", "left_semi"), "kept-lines")
     templates = written(line_templates(kept, similarity), "templates")
-    seen = kept.select("line", "tk", "context").distinct().join(templates, "line")
+    seen = kept.select("line", "tk").distinct().join(templates, "line")
     counts = (
-        seen.groupBy("template", "tk", "context").agg(F.lit(1).alias("one"))
-        .groupBy("template", "context").agg(F.count(F.lit(1)).alias("docs"))
-        .groupBy("template").agg(F.sum("docs").alias("n_docs"), F.count(F.lit(1)).alias("n_contexts"))
-        .where((F.col("n_contexts") >= min_docs) & (2 * F.col("n_contexts") >= F.col("n_docs")))
+        seen.select("template", "tk").distinct()
+        .groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"))
+        .where(F.col("n_docs") >= min_docs)
     )
     return templates.join(counts, "template")
 

@@ -154,6 +154,17 @@ def test_line_dedup_whole_document_of_boilerplate_stays_empty(spark):
     assert out[50] == "" and len(out) == 13 and not any("by hand" in t for t in out.values())
 
 
+def test_line_dedup_drops_blocks_and_one_line_documents(spark):
+    rng = random.Random(13)
+    block = "\n".join(f"Menu entry {w} of this page number 7" for w in ("home", "shop", "news", "help", "about"))
+    rows = [(i, f"{block}\n{prose(rng, 9)}", "xx", "s", 1) for i in range(30)]
+    rows += [(100 + i, f"User {i} logged in at 9:{i}", "xx", "s", 1) for i in range(30)]
+    rows += [(200 + i, "Nine lines of one text that is copied", "xx", "s", 1) for i in range(30)]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.stage(spark, frame(spark, rows), "").collect()}
+    for i, t, *_ in rows:
+        assert out[i] == (t.split("\n")[-1] if i < 100 else "" if i < 200 else t)
+
+
 # --- op3 -------------------------------------------------------------------------------------
 
 ODD_TEXTS = ["", " ", "  a  b ", "a▁b ▁▁c", "\x00\t\n x", "日本語 😀 ẞ", "<s></s><0x0A> <unk>", "a" * 3000, " " * 50, None, "a\r\nb"]
