@@ -3,10 +3,17 @@
 The tree has a fixed depth: a line goes to the leaf given by its number of
 tokens and its leading tokens, where tokens that hold a digit count as the
 variable ``<*>``.  Inside a leaf, lines are cut into at most ``SEGMENTS``
-equal runs of tokens (single tokens for short lines); a line joins the most
-frequent line of its leaf that agrees with it in a segment, if at least
-``similarity`` of all segments agree.  The differing segments are the
-template's variable fields.
+equal runs of tokens (single tokens for short lines); two lines are alike if at
+least ``similarity`` of their segments agree.  From the most frequent line down,
+a line that is like no leader becomes a leader, and every line joins the most
+frequent leader it is like.  The differing segments are the template's variable
+fields.
+
+Alike lines are found by keys, one for each choice of the least number of
+segments that must agree: two lines share a key if and only if they are alike, so
+a key has one leader at most and no pair is missed or compared.  Leaders are
+found in rounds: a line heavier than all undecided lines it is like leads, and
+the lines like it are decided, until none is left.
 
 A template recurs if it occurs in ``min_docs`` or more documents.  Documents
 count by content, so that copies of one text do not make its lines boilerplate;
@@ -23,7 +30,10 @@ stay; other columns pass through, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_key, written
@@ -51,6 +61,22 @@ def line_occurrences(docs: DataFrame, lead: int = 3, text: str = "text") -> Data
     )
 
 
+def agreement_keys(leaf: str = "leaf", segments: str = "segments", similarity: float = 0.75) -> Column:
+    """Array of keys: two lines of a leaf share one if and only if at least ``similarity`` of their segments agree."""
+    by_size = []
+    for k in range(1, SEGMENTS + 1):
+        least = next(m for m in range(k + 1) if m >= similarity * k or m == k)
+        chosen = [
+            F.xxhash64(F.col(leaf), F.lit(i), *(F.get(segments, F.lit(j)) for j in some))
+            for i, some in enumerate(combinations(range(k), least))
+        ]
+        by_size.append((F.size(segments) == k, F.array(*chosen)))
+    out = F.when(*by_size[0])
+    for size, keys in by_size[1:]:
+        out = out.when(size, keys)
+    return out
+
+
 def line_templates(occurrences: DataFrame, similarity: float = 0.75) -> DataFrame:
     """(line, template): each distinct line of a leaf with its template's representative line."""
     lines = written(
@@ -59,26 +85,26 @@ def line_templates(occurrences: DataFrame, similarity: float = 0.75) -> DataFram
         ),
         "distinct-lines",
     )
-    keyed = lines.select("*", F.posexplode("segments").alias("i", "segment"))
-    leaders = written(
-        keyed.groupBy("leaf", "i", "segment").agg(
-            F.max(F.struct("weight", "line", "segments")).alias("leader"), F.count(F.lit(1)).alias("rows")
-        ).where("rows > 1").drop("rows"),
-        "leaders",
-    )
-    agree = F.aggregate(
-        F.zip_with(F.col("segments"), F.col("leader.segments"), lambda a, b: (a == b).cast("int")),
-        F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)),
-    )
-    joined = (
-        keyed.join(leaders, ["leaf", "i", "segment"])
-        .where(agree >= similarity * F.size("segments"))
-        .groupBy("line")
-        .agg(F.max(F.struct("leader.weight", "leader.line")).alias("best"))
-        .select("line", F.col("best.line").alias("template"))
-    )
+    keyed = lines.select("line", "weight", F.explode(agreement_keys(similarity=similarity)).alias("key"))
+    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key"), "shared-keys")
+    alike = written(keyed.join(shared, "key", "left_semi"), "alike-lines")
+    left, leaders = alike, []
+    while not left.isEmpty():  # the heaviest undecided line leads, so each round decides some
+        tops = written(left.groupBy("key").agg(F.max(F.struct("weight", "line")).alias("top")), "tops")
+        led = written(
+            left.join(tops, "key").groupBy("line").agg(F.min(F.col("line") == F.col("top.line")).alias("first")).where("first").select("line"),
+            "leading",
+        )
+        found = written(left.join(led, "line", "left_semi"), "leaders")
+        decided = written(left.join(found.select("key"), "key", "left_semi").select("line").distinct(), "decided")
+        leaders.append(found)
+        left = written(left.join(decided, "line", "left_anti"), "undecided")
+    if not leaders:
+        return lines.select("line", F.col("line").alias("template"))
+    every = reduce(DataFrame.union, leaders).select("key", F.struct("weight", "line").alias("leader"))
+    joined = alike.join(every, "key").groupBy("line").agg(F.max("leader").alias("best"))
     return lines.select("line").join(joined, "line", "left").select(
-        "line", F.coalesce("template", "line").alias("template")
+        "line", F.coalesce("best.line", "line").alias("template")
     )
 
 

@@ -165,6 +165,31 @@ def test_line_dedup_drops_blocks_and_one_line_documents(spark):
         assert out[i] == (t.split("\n")[-1] if i < 100 else "" if i < 200 else t)
 
 
+@pytest.mark.parametrize("size", [5, 8, 17])
+def test_line_templates_equal_brute_force(spark, size):
+    """From the heaviest line down: a line like no leader leads, each line takes the heaviest leader it is like."""
+    rng = random.Random(size)
+    pool = [["a", "b", "c", *(rng.choice("uvwxyz") * 3 for _ in range(size - 3))] for _ in range(6)]
+    said = []
+    for _ in range(500):
+        t = list(rng.choice(pool))
+        for _ in range(rng.randrange(4)):
+            t[rng.randrange(3, size)] = rng.choice("uvwxyz") * 3
+        said.append(" ".join(t))
+    occurrences = line_dedup.line_occurrences(frame(spark, [(1, "\n".join(said))], "doc_id long, text string")).cache()
+    weight, segments = Counter(), {}
+    for r in occurrences.collect():
+        weight[r["line"]] += 1
+        segments[r["line"]] = r["segments"]
+    alike = lambda a, b: sum(x == y for x, y in zip(segments[a], segments[b])) >= 0.75 * len(segments[a])
+    leaders, want = [], {}
+    for x in sorted(weight, key=lambda x: (weight[x], x), reverse=True):
+        want[x] = next((y for y in leaders if alike(x, y)), x)
+        leaders += [x] if want[x] == x else []
+    got = {r["line"]: r["template"] for r in line_dedup.line_templates(occurrences).collect()}
+    assert got == want and 1 < len(leaders) < len(want)
+
+
 # --- op3 -------------------------------------------------------------------------------------
 
 ODD_TEXTS = ["", " ", "  a  b ", "a▁b ▁▁c", "\x00\t\n x", "日本語 😀 ẞ", "<s></s><0x0A> <unk>", "a" * 3000, " " * 50, None, "a\r\nb"]
