@@ -10,9 +10,14 @@ is the Bonferroni combination of the three.
 
 Per class (encoding and length class) over the whole corpus, the
 Benjamini-Hochberg procedure at level ``q`` rejects the randomness of tokens.
-``q`` is larger for short tokens, whose tests have little power.  Candidates
-whose randomness is not rejected are secrets.  The procedure runs on counts per
-class and binned p-value, which are few however large the corpus is.
+Candidates whose randomness is not rejected are secrets.  The level is the same
+for all lengths: about ``q`` of the truly random tokens are missed at most, and
+short tokens, whose tests have little power, rather stay secrets.  The procedure
+runs on counts per class and binned p-value, which are few however large the
+corpus is.
+
+A token with slashes may be a path, so its long segments are candidates too; a
+segment is left out where the whole token is a secret.
 
 Defined cases: null texts count as empty; candidates that overlap a base span
 are left to it; offsets are code points, ends exclusive; repeated rows give
@@ -40,6 +45,7 @@ HEX = re.compile("[0-9a-f]{16,}")  # maximal runs, as [0-9a-f]+ finds them, of 1
 KINDS = ["assign", "access", "hex", "random"]
 
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
+SEGMENT = re.compile(r"[A-Za-z0-9+_-]{20,}={0,2}")  # of a path
 LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Encodings from the smallest alphabet up; the first that holds all characters is taken.
 ALPHABETS = {
@@ -106,14 +112,15 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     """Tokens outside the base spans with inferred encoding, length class and p-value bin."""
     out = []
     for m in TOKEN.finditer(text):
-        token = m[0].rstrip("=")
-        name = encoding(token)
-        if name is None or any(s < m.end() and m.start() < e for s, _, e in base):
-            continue
-        alphabet = ALPHABETS[name]
-        p = p_random([alphabet.index(c) for c in token], len(alphabet))
-        size = min(4, int(math.log2(len(token) / 20)))
-        out.append({"start": m.start(), "end": m.end(), "encoding": name, "size": size, "p": int(p * P_BINS)})
+        for start, end in [m.span(), *(x.span() for x in SEGMENT.finditer(text, *m.span()) if x.span() != m.span())]:
+            token = text[start:end].rstrip("=")
+            name = encoding(token)
+            if name is None or any(s < end and start < e for s, _, e in base):
+                continue
+            alphabet = ALPHABETS[name]
+            p = p_random([alphabet.index(c) for c in token], len(alphabet))
+            size = min(4, int(math.log2(len(token) / 20)))
+            out.append({"start": start, "end": end, "encoding": name, "size": size, "p": int(p * P_BINS)})
     return out
 
 
@@ -148,10 +155,8 @@ def thresholds(tried: DataFrame, q: float = 0.05) -> DataFrame:
         "encoding", "size", "p",
         F.sum("n").over(of.orderBy("p")).alias("rank"), F.sum("n").over(of).alias("m"),
     )
-    # short tokens have weak tests: q doubles for each length class below the longest
-    level = q * F.pow(F.lit(2.0), F.lit(4) - F.col("size"))
     return (
-        ranked.where((F.col("p") + 1) / P_BINS <= level * F.col("rank") / F.col("m"))
+        ranked.where((F.col("p") + 1) / P_BINS <= q * F.col("rank") / F.col("m"))
         .groupBy("encoding", "size").agg(F.max("p").alias("limit"))
     )
 
@@ -164,10 +169,13 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", q: float = 0.05)
     limits = thresholds(scanned.select(F.inline("tried")), q).collect()  # a number per class
     table_of = {f"{r['encoding']}/{r['size']}": r["limit"] for r in limits}
     limit = F.create_map(*[F.lit(x) for kv in (table_of or {"": -1}).items() for x in kv])
+    passed = F.filter("tried", lambda t: t["p"] > F.coalesce(
+        F.try_element_at(limit, F.concat(t["encoding"], F.lit("/"), t["size"].cast("string"))), F.lit(-1)
+    ))
+    within = lambda t, o: (o["start"] <= t["start"]) & (t["end"] <= o["end"]) & (o["end"] - o["start"] > t["end"] - t["start"])
+    scanned = scanned.withColumn("passed", passed)
     random = F.transform(
-        F.filter("tried", lambda t: t["p"] > F.coalesce(
-            F.try_element_at(limit, F.concat(t["encoding"], F.lit("/"), t["size"].cast("string"))), F.lit(-1)
-        )),
+        F.filter("passed", lambda t: ~F.exists("passed", lambda o: within(t, o))),
         lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end"), t["encoding"].alias("encoding")),
     )
     base = F.transform("base", lambda s: F.struct(

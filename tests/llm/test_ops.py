@@ -530,6 +530,21 @@ def test_false_discovery_thresholds_equal_the_procedure(spark):
     assert [r["limit"] for r in got] == ([want] if want is not None else [])
 
 
+def test_keys_are_found_among_many_ordinary_tokens(spark):
+    rng = random.Random(14)
+    drawn = lambda n: "".join(rng.choice(secrets.ALPHABETS["base62"]) for _ in range(n))
+    named = lambda n: "".join(rng.choice(SYLLABLES).capitalize() for _ in range(n))[: n - 1] + "1"
+    keys = [drawn(n) for n in (20, 40) for _ in range(50)]
+    rows = [(i, f"see {k} here") for i, k in enumerate(keys)]
+    rows += [(1000 + i, f"call {named(20 + 20 * (i % 2))} here") for i in range(900)]
+    hidden = drawn(48)
+    rows.append((5000, f"at /srv/{'data/' * 20}{hidden}/index here"))
+    out = {r["doc_id"]: r["spans"] for r in secrets.scan(frame(spark, rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    found = [any(x["kind"] == 3 and (x["start"], x["end"]) == (4, 4 + len(k)) for x in out[i]) for i, k in enumerate(keys)]
+    assert sum(found[:50]) >= 43 and sum(found[50:]) >= 43
+    assert hidden in [rows[-1][1][x["start"] : x["end"]] for x in out[5000]]
+
+
 # --- op9 -------------------------------------------------------------------------------------
 
 
