@@ -1,26 +1,31 @@
 """License scans by conditional compression.
 
 A candidate block begins at a line that names a licence cue and runs on through
-the following lines up to a blank line.  For each template the block, cut to
-the template's number of words (and a quarter more), is compressed with
+the following lines up to a blank line.  For each template a window of the
+template's number of words (and a quarter more) slides over the block; a window
+that holds enough of the template's words, in any order, is compressed with
 zstandard twice: alone, and with the template as a raw dictionary.  The
-reduction in size, as a share of the size alone, ranks the templates.  Winners
-are confirmed by their exact wording: the words of block and template are
-aligned, and the template is confirmed if at most ``max_missing`` of its words
-are missing or changed.  The differing words are part of the result.
+reduction in size, as a share of the size alone, must reach ``MIN_REDUCTION``.
+Windows are confirmed by their exact wording: the words of window and template
+are aligned, and the template is confirmed if at most ``MAX_MISSING`` of its
+words are missing or changed.  The differing words are part of the result.  All
+confirmed spans of a block that do not overlap are returned.
 
 Templates are a parameter; the default lists short notices and headers of
 common licences.  The scan is one pass without a shuffle; templates are a fixed
 small list in the task's code.
 
-Defined cases: null and empty texts have no blocks; equal reductions rank by
-template name; blocks whose best templates are not confirmed count as
+Defined cases: null and empty texts have no blocks; of overlapping spans the
+longest stays, then the one with the fewest differences, the higher reduction, the
+first template name; blocks whose templates are not confirmed count as
 candidates only; repeated rows give repeated rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -71,7 +76,20 @@ WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 LEVEL = 3
 MIN_REDUCTION = 0.25
 MAX_MISSING = 0.2
-CONFIRM = 3  # best-ranked templates that are confirmed word by word
+
+
+def apart(spans: list[dict]) -> list[dict]:
+    """The spans, in order, that overlap none before."""
+    starts: list[int] = []  # of the spans taken, sorted
+    ends: list[int] = []
+    out = []
+    for r in spans:
+        i = bisect_left(starts, r["end"])
+        if i == 0 or ends[i - 1] <= r["start"]:
+            starts.insert(i, r["start"])
+            ends.insert(i, r["end"])
+            out.append(r)
+    return out
 
 
 class Scanner:
@@ -100,35 +118,60 @@ class Scanner:
             at += len(line) + 1
         return out
 
+    def starts(self, said: list[str], here: list[str]) -> list[int]:
+        """Word numbers where a window holds enough of the template's words to be confirmed, and begins with one."""
+        need = Counter(said)
+        least = len(said) - int(MAX_MISSING * len(said))
+        width = len(said) * 5 // 4 + 2
+        have: Counter = Counter()
+        hits, out = 0, []
+        for i in range(-width + 1, len(here)):
+            if i > 0 and here[i - 1] in need:
+                w = here[i - 1]
+                hits -= have[w] <= need[w]
+                have[w] -= 1
+            if i + width - 1 < len(here) and here[i + width - 1] in need:
+                w = here[i + width - 1]
+                have[w] += 1
+                hits += have[w] <= need[w]
+            if i >= 0 and hits >= least and here[i] in need:
+                out.append(i)
+        return out
+
     def judge(self, block: str) -> list[dict]:
-        """Confirmed templates of one block, best first, with offsets in the block."""
+        """Confirmed templates of one block in order, with offsets in the block."""
         words = list(WORD.finditer(block))
-        ranked = []
+        here = [m[0].lower() for m in words]
+        confirmed = []
         for name, packer, said in self.known:
-            cut = words[: len(said) * 5 // 4 + 2]
-            part = block[: cut[-1].end()].lower().encode() if cut else b""
-            size = len(self.alone.compress(part))
-            gain = (size - len(packer.compress(part))) / size
-            if gain >= MIN_REDUCTION:
-                ranked.append((-gain, name, said, cut))
-        out = []
-        for gain, name, said, cut in sorted(ranked, key=lambda r: r[:2])[:CONFIRM]:
-            here = [m[0].lower() for m in cut]
-            same = [m for m in SequenceMatcher(None, said, here, autojunk=False).get_matching_blocks() if m.size]
-            missing = len(said) - sum(m.size for m in same)
-            if not same or missing > MAX_MISSING * len(said):
-                continue
-            first, last = same[0].b, same[-1].b + same[-1].size - 1
-            kept = {i for m in same for i in range(m.a, m.a + m.size)}
-            seen = {i for m in same for i in range(m.b, m.b + m.size)}
-            out.append({
-                "template": name, "start": cut[first].start(), "end": cut[last].end(), "reduction": round(-gain, 6),
-                "missing": [w for i, w in enumerate(said) if i not in kept],
-                "added": [here[i] for i in range(first, last + 1) if i not in seen],
-            })
-        # one template a block: the longest confirmed wording, then the fewest differences, then the rank
-        out.sort(key=lambda r: (-(r["end"] - r["start"]), len(r["missing"]) + len(r["added"])))
-        return out[:1]
+            mine = []
+            for at in self.starts(said, here) if said else ():
+                cut = words[at : at + len(said) * 5 // 4 + 2]
+                part = block[cut[0].start() : cut[-1].end()].lower().encode()
+                size = len(self.alone.compress(part))
+                gain = (size - len(packer.compress(part))) / size
+                if gain < MIN_REDUCTION:
+                    continue
+                seen_words = here[at : at + len(cut)]
+                same = [m for m in SequenceMatcher(None, said, seen_words, autojunk=False).get_matching_blocks() if m.size]
+                missing = len(said) - sum(m.size for m in same)
+                if not same or missing > MAX_MISSING * len(said):
+                    continue
+                first, last = same[0].b, same[-1].b + same[-1].size - 1
+                kept = {i for m in same for i in range(m.a, m.a + m.size)}
+                seen = {i for m in same for i in range(m.b, m.b + m.size)}
+                mine.append({
+                    "template": name, "start": cut[first].start(), "end": cut[last].end(), "reduction": round(gain, 6),
+                    "missing": [w for i, w in enumerate(said) if i not in kept],
+                    "added": [seen_words[i] for i in range(first, last + 1) if i not in seen],
+                })
+            # of windows on one place the one with the fullest wording
+            mine.sort(key=lambda r: (len(r["missing"]), len(r["added"]), -r["reduction"], r["start"]))
+            confirmed += apart(mine)
+        confirmed.sort(key=lambda r: (
+            r["start"] - r["end"], len(r["missing"]) + len(r["added"]), -r["reduction"], r["template"]
+        ))
+        return sorted(apart(confirmed), key=lambda r: r["start"])
 
     def scan(self, text: str | None) -> tuple[int, list[dict]]:
         """(number of candidate blocks, confirmed licences with offsets in the text)."""
@@ -141,9 +184,10 @@ class Scanner:
         for start, end in blocks:
             for r in self.judge(text[start:end]):
                 r = r | {"start": r["start"] + start, "end": r["end"] + start}
-                if not any(o["start"] <= r["start"] and r["end"] <= o["end"] for o in found):
+                if r not in found:
                     found.append(r)
-        return len(blocks), found
+        found.sort(key=lambda r: (r["start"] - r["end"], len(r["missing"]) + len(r["added"]), -r["reduction"], r["template"]))
+        return len(blocks), sorted(apart(found), key=lambda r: r["start"])
 
 
 FOUND = "array<struct<template: string, start: long, end: long, reduction: double, missing: array<string>, added: array<string>>>"

@@ -117,6 +117,24 @@ def test_license_query_equals_each_line_against_each_template(spark, tmp_path):
         assert got[i] == ",".join(r["template"] for line in t.split("\n") for r in scanner.judge(line))
 
 
+def test_license_notices_are_found_anywhere_in_a_line():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    long = prose(random.Random(15), 300, 300)
+    for text, said in [
+        ("Copyright (c) 2020 Foo Bar. All rights reserved.", "All rights reserved"),
+        ("The pictures of this book are Licensed under CC BY 4.0", "Licensed under CC BY 4.0"),
+        (f"{long} the license is told here: Released under the MIT License. {long}", "Released under the MIT License"),
+    ]:
+        assert [text[r["start"] : r["end"]] for r in scanner.scan(text)[1]] == [said]
+
+
+def test_license_lines_with_two_notices_give_both():
+    text = "Code: Released under the MIT License. Words: Licensed under CC BY-SA 4.0. All rights reserved."
+    found = licenses.Scanner(licenses.TEMPLATES).scan(text)[1]
+    assert [r["template"] for r in found] == ["MIT", "CC-BY-SA-4.0", "all-rights-reserved"]
+    assert not any(r["missing"] or r["added"] for r in found)
+
+
 # --- op2 -------------------------------------------------------------------------------------
 
 
