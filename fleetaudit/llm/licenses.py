@@ -1,7 +1,8 @@
 """License scans by conditional compression.
 
-A candidate block begins at a line that names a licence cue and runs on through
-the following lines up to a blank line.  For each template a window of the
+A candidate block is a line that names a licence cue with the lines around it, up
+to a blank line or as many words as the longest template's window on either side.
+Blocks that meet are judged together, and each counts.  For each template a window of the
 template's number of words (and a quarter more) slides over the block; a window
 that holds enough of the template's words, in any order, is compressed with
 zstandard twice: alone, and with the template as a raw dictionary.  The
@@ -28,6 +29,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -103,20 +105,28 @@ class Scanner:
             self.known.append((name, zstandard.ZstdCompressor(level=LEVEL, dict_data=raw), WORD.findall(said.lower())))
         self.longest = max((len(w) for _, _, w in self.known), default=0)
 
-    def blocks(self, text: str) -> list[tuple[int, int]]:
-        """(start, end) of the blocks: from a line with a cue to the next blank line or the longest template's length."""
-        out, at = [], 0
+    def blocks(self, text: str) -> tuple[int, list[tuple[int, int]]]:
+        """(number of lines with a cue, (start, end) of the blocks around them, merged where they meet)."""
         lines = text.split("\n")
-        for i, line in enumerate(lines):
-            if any(c in line.lower().encode() for c in CUES):
-                end, words, j = at + len(line), len(WORD.findall(line)), i + 1
-                while j < len(lines) and lines[j].strip() and words < self.longest * 5 // 4:
-                    words += len(WORD.findall(lines[j]))
-                    end += 1 + len(lines[j])
-                    j += 1
-                out.append((at, end))
-            at += len(line) + 1
-        return out
+        at = [0, *accumulate(len(x) + 1 for x in lines)]
+        cues = [i for i, x in enumerate(lines) if any(c in x.lower().encode() for c in CUES)]
+        reach = self.longest * 5 // 4 + 2
+
+        def beyond(i: int, step: int) -> int:
+            words = 0
+            while 0 <= i + step < len(lines) and lines[i + step].strip() and words < reach:
+                i += step
+                words += len(WORD.findall(lines[i]))
+            return i
+
+        out: list[tuple[int, int]] = []
+        for i in cues:
+            first, last = at[beyond(i, -1)], at[beyond(i, 1) + 1] - 1
+            if out and first <= out[-1][1]:
+                out[-1] = (out[-1][0], max(out[-1][1], last))
+            else:
+                out.append((first, last))
+        return len(cues), out
 
     def starts(self, said: list[str], here: list[str]) -> list[int]:
         """Word numbers where a window holds enough of the template's words to be confirmed, and begins with one."""
@@ -179,15 +189,12 @@ class Scanner:
         low = text.encode().lower()
         if not any(c in low for c in CUES):
             return 0, []
-        found: list[dict] = []
-        blocks = self.blocks(text)
-        for start, end in blocks:
-            for r in self.judge(text[start:end]):
-                r = r | {"start": r["start"] + start, "end": r["end"] + start}
-                if r not in found:
-                    found.append(r)
-        found.sort(key=lambda r: (r["start"] - r["end"], len(r["missing"]) + len(r["added"]), -r["reduction"], r["template"]))
-        return len(blocks), sorted(apart(found), key=lambda r: r["start"])
+        n, blocks = self.blocks(text)
+        found = [
+            r | {"start": r["start"] + start, "end": r["end"] + start}
+            for start, end in blocks for r in self.judge(text[start:end])
+        ]
+        return n, found
 
 
 FOUND = "array<struct<template: string, start: long, end: long, reduction: double, missing: array<string>, added: array<string>>>"

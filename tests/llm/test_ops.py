@@ -135,6 +135,14 @@ def test_license_lines_with_two_notices_give_both():
     assert not any(r["missing"] or r["added"] for r in found)
 
 
+def test_wrapped_license_header_is_found_from_its_first_line():
+    said = licenses.TEMPLATES["GPL-header"].replace("modify it", "modify\nit").replace("Free Software Foundation, ", "Free Software\nFoundation, ")
+    text = f"Some words before.\n\n{said}\n\nAnd after."
+    n, found = licenses.Scanner(licenses.TEMPLATES).scan(text)
+    assert n == 2 and [r["template"] for r in found] == ["GPL-header"]
+    assert text[found[0]["start"] : found[0]["end"]] + "." == said and not found[0]["missing"] and not found[0]["added"]
+
+
 # --- op2 -------------------------------------------------------------------------------------
 
 
