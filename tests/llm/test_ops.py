@@ -324,6 +324,22 @@ def test_copied_units_equal_brute_force(spark, unit):
     assert {i: letters(i, c) for i, c in mine.items()} == {i: letters(i, c) for i, c in copied.items()}
 
 
+def test_substring_query_removes_each_repeated_line_and_paragraph(spark, tmp_path):
+    rng = random.Random(16)
+    line, para = "Short line said Twice here. And on", "one two Three\nfour five. Six"
+    own = [prose(rng, 60) for _ in range(5)]
+    texts = [f"{own[0]}\n{line}", f"{own[1]}\n{line}\n{own[2]}", f"{own[3]}\n\n{para}", f"{para.replace(chr(10), ' ')}\n\n{own[4]}",
+             None, own[0][:200] + " " + PASSAGE, own[2][:150] + " " + PASSAGE]
+    pq.write_table(pa.table({"doc_id": list(range(7)), "text": texts}), f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["op4_substring_dedup"](spark, str(tmp_path)).collect()
+    said = {(r["doc_id"], r["first_doc_id"], texts[r["doc_id"]][r["start"] : r["end"]]): (r["n_words"], r["n_units"]) for r in got}
+    assert said[1, 0, line] == (7, 3)
+    assert said[3, 2, para.replace("\n", " ")] == (6, 3)
+    assert (6, 5, PASSAGE) in said
+    whole = lambda i, unit: {texts[i][s:e] for s, e, *_ in unit_dedup.units_of(texts[i], unit)}
+    assert not any(k[0] in (0, 2) for k in said) and whole(1, "line") >= {k[2] for k in said if k[0] == 1}
+
+
 # --- op5 -------------------------------------------------------------------------------------
 
 
