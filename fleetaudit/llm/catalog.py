@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (
-    decontaminate, licenses, line_dedup, pieces, quality, secrets, sharding, simhash, suffix_dedup, unit_dedup,
+    decontaminate, exact_dedup, licenses, line_dedup, merkle, pieces, quality, secrets, sharding, simhash, suffix_dedup, unit_dedup,
 )
 
 QUERIES = {
@@ -17,6 +17,8 @@ QUERIES = {
     "op8_secret_scans": secrets.op8,
     "op9_decontamination": decontaminate.op9,
     "op10_suffix_array": suffix_dedup.op10,
+    "op12_merkle_manifest": merkle.op12,
+    "op13_exact_dedup": exact_dedup.op13,
 }
 
 WORDS = (
@@ -26,6 +28,8 @@ WORDS = (
 
 #: The other operators use hashes, random orders, tests or models that SQL lacks; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op12_merkle_manifest": merkle.SQL,
+    "op13_exact_dedup": exact_dedup.SQL,
     "op9_decontamination": f"""
 WITH items AS (SELECT item_id, {WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
 windows AS (
