@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (
-    decontaminate, exact_dedup, licenses, line_dedup, merkle, pieces, quality, secrets, sharding, simhash, suffix_dedup, unit_dedup,
+    collocations, decontaminate, exact_dedup, licenses, line_dedup, merkle, pieces, quality, secrets, sharding, simhash, suffix_dedup, unit_dedup,
 )
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_secret_scans": secrets.op8,
     "op9_decontamination": decontaminate.op9,
     "op10_suffix_array": suffix_dedup.op10,
+    "op11_phrase_collocations": collocations.op11,
     "op12_merkle_manifest": merkle.op12,
     "op13_exact_dedup": exact_dedup.op13,
 }
@@ -28,6 +29,7 @@ WORDS = (
 
 #: The other operators use hashes, random orders, tests or models that SQL lacks; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op11_phrase_collocations": collocations.SQL,
     "op12_merkle_manifest": merkle.SQL,
     "op13_exact_dedup": exact_dedup.SQL,
     "op9_decontamination": f"""
