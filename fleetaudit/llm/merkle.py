@@ -157,36 +157,38 @@ def positioned(rows: DataFrame, order: list[Column]) -> DataFrame:
 # --- building --------------------------------------------------------------------------------
 
 
-def _height(n: int) -> int:
-    return min(HEIGHT, steps(n))
-
-
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in sliced(batches, 16):
-        entries = b.column("entries")
-        sizes = np.array([len(e) for e in entries], dtype=np.int64)
-        flat = entries.flatten()
-        order = np.lexsort((flat.field("pos").to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)))
-        flat, ends = flat.take(pa.array(order)), np.concatenate([[0], np.cumsum(sizes)])
-        digests = flat.field("digest").to_pylist()
-        made = [
-            _built(digests[s:e], _height(n)) for n, s, e in zip(b.column("n").to_pylist(), ends[:-1], ends[1:])
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [*(b.column(c) for c in ("grp", "n", "block")),
-             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, type=entries.type),
-             pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())],
-            names=["grp", "n", "block", "entries", "nodes", "root"],
-        )
+def _build(height: int):
+    """Blocks with their entries by position, their nodes and root."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, 16):
+            entries = b.column("entries")
+            sizes = np.array([len(e) for e in entries], dtype=np.int64)
+            flat, of_block = entries.flatten(), np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((flat.field("pos").to_numpy(zero_copy_only=False), of_block))
+            flat, ends = flat.take(pa.array(order)), np.concatenate([[0], np.cumsum(sizes)])
+            digests = flat.field("digest").to_pylist()
+            made = [
+                _built(digests[s:e], min(height, steps(n)))
+                for n, s, e in zip(b.column("n").to_pylist(), ends[:-1], ends[1:])
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c) for c in ("grp", "n", "block")),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, type=entries.type),
+                 pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())],
+                names=["grp", "n", "block", "entries", "nodes", "root"],
+            )
 
+    return run
 
-def blocks(leaves: DataFrame) -> list[DataFrame]:
+
+def blocks(leaves: DataFrame, height: int = HEIGHT) -> list[DataFrame]:
     """Tiers of blocks over (grp, n, pos, digest, item), from the leaves up; each tier is a written table.
 
     A block: ``grp``, ``n`` (nodes of the group in this tier), ``block``, ``entries`` (its leaves by
     position: pos, digest, item), ``nodes`` (in van Emde Boas order) and ``root``.
     """
-    wide = RUN**HEIGHT
+    wide = RUN**height
     tiers: list[DataFrame] = []
     while True:
         gathered = (
@@ -194,7 +196,7 @@ def blocks(leaves: DataFrame) -> list[DataFrame]:
             .agg(F.collect_list(F.struct("pos", "digest", "item")).alias("entries"))
         )
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in gathered.schema.fields)
-        tier = written(map_batches(gathered, _build, f"{schema}, nodes binary, root binary"), "blocks")
+        tier = written(map_batches(gathered, _build(height), f"{schema}, nodes binary, root binary"), "blocks")
         tiers.append(tier)
         more = tier.where(F.col("n") > wide)
         if more.isEmpty():
@@ -205,32 +207,37 @@ def blocks(leaves: DataFrame) -> list[DataFrame]:
         )
 
 
-def _handed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _handed(height: int):
     """A row per leaf of each block: its siblings in the block, then those of the block's root."""
-    for b in sliced(batches, 8):
-        for k in range(b.num_rows):
-            row = b.slice(k, 1)
-            grp, n, rest, turns, tops = (row.column(c)[0].as_py() for c in ("grp", "n", "siblings", "turns", "tops"))
-            entries = row.column("entries")[0].values
-            size, height = len(entries), _height(n)
-            texts, ways = [], []
-            for text, turn in _siblings(row.column("nodes")[0].as_py(), size, height):
-                texts.append(text + rest)
-                ways.append(turn + turns)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([grp] * size, pa.string()), entries.field("pos"), entries.field("item"), entries.field("digest"), pa.array(texts, pa.string()),
-                 pa.array(ways, pa.list_(pa.int32())), pa.array([tops] * size, pa.list_(pa.binary()))],
-                names=["grp", "pos", "item", "digest", "siblings", "turns", "tops"],
-            )
-
 
-def proofs(tiers: list[DataFrame], tops: DataFrame | None = None) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, 8):
+            for k in range(b.num_rows):
+                row = b.slice(k, 1)
+                grp, n, rest, turns, tops = (row.column(c)[0].as_py() for c in ("grp", "n", "siblings", "turns", "tops"))
+                entries = row.column("entries")[0].values
+                size = len(entries)
+                texts, ways = [], []
+                for text, turn in _siblings(row.column("nodes")[0].as_py(), size, min(height, steps(n))):
+                    texts.append(text + rest)
+                    ways.append(turn + turns)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([grp] * size, pa.string()), *(entries.field(f) for f in ("pos", "item", "digest")),
+                     pa.array(texts, pa.string()), pa.array(ways, pa.list_(pa.int32())),
+                     pa.array([tops] * size, pa.list_(pa.binary()))],
+                    names=["grp", "pos", "item", "digest", "siblings", "turns", "tops"],
+                )
+
+    return run
+
+
+def proofs(tiers: list[DataFrame], tops: DataFrame | None = None, height: int = HEIGHT) -> DataFrame:
     """Per leaf: ``siblings`` (hex digests joined, leaf upwards), ``turns`` and ``tops`` (roots above, outermost first).
 
     A turn is ``RUN`` times the own place in the run plus the number of siblings.  ``tops`` continues the
     groups' roots: (grp, siblings, turns, tops); without it the only group's root is the outermost one.
     """
-    wide = RUN**HEIGHT
+    wide = RUN**height
     item = tiers[0].schema["entries"].dataType.elementType["item"].dataType.simpleString()
     schema = f"grp string, pos long, item {item}, digest binary, siblings string, turns array<int>, tops array<binary>"
     above: DataFrame | None = None
@@ -247,7 +254,7 @@ def proofs(tiers: list[DataFrame], tops: DataFrame | None = None) -> DataFrame:
             links = above.select("grp", F.col("pos").alias("block"), "siblings", "turns", "tops")
             ready = ready.unionByName(tier.where(F.col("n") > wide).join(links, ["grp", "block"]))
         above = map_batches(
-            ready.select("grp", "n", "entries", "nodes", "siblings", "turns", "tops"), _handed, schema
+            ready.select("grp", "n", "entries", "nodes", "siblings", "turns", "tops"), _handed(height), schema
         )
     return above
 
@@ -268,7 +275,8 @@ def folded(start: Column, siblings: Column, turns: Column) -> Column:
 
 
 def manifest(
-    docs: DataFrame, keep: list[str], fields: list[str] | None = None, group: str = "source", key: str = "doc_id"
+    docs: DataFrame, keep: list[str], fields: list[str] | None = None, group: str = "source", key: str = "doc_id",
+    height: int = HEIGHT,
 ) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
     """(rows, blocks by tier, blocks over the subroots): the whole manifest of ``docs``.
 
@@ -284,15 +292,15 @@ def manifest(
         "leaves",
     )
     placed = positioned(leaves, [F.col("item.key").asc_nulls_first(), F.col("digest")])
-    tiers = blocks(placed)
-    ends = [t.where(F.col("n") <= RUN**HEIGHT).select("grp", F.col("root").alias("digest")) for t in tiers]
+    tiers = blocks(placed, height)
+    ends = [t.where(F.col("n") <= RUN**height).select("grp", F.col("root").alias("digest")) for t in tiers]
     subroots = ends[0]
     for e in ends[1:]:
         subroots = subroots.unionByName(e)
     named = subroots.select(F.lit("").alias("grp"), "digest", F.struct(F.col("grp").alias("name")).alias("item"))
-    over = blocks(positioned(named, [F.col("item.name")]))
-    tops = written(proofs(over).select(F.col("item.name").alias("grp"), "siblings", "turns", "tops"), "tops")
-    rows = proofs(tiers, tops)
+    over = blocks(positioned(named, [F.col("item.name")]), height)
+    tops = written(proofs(over, height=height).select(F.col("item.name").alias("grp"), "siblings", "turns", "tops"), "tops")
+    rows = proofs(tiers, tops, height)
     as_hex = lambda c: F.lower(F.hex(c))
     return (
         rows.select(
