@@ -1,4 +1,4 @@
-"""Dependency graph jobs.
+"""Dependency graph jobs.
 
 The closure is computed once per distinct root ``(ecosystem, package)`` —
 never once per project — with a driver-side hop loop of equi-joins
@@ -9,10 +9,10 @@ closure of each of their declared roots with one join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetaudit.session import checkpoint
+from fleetaudit.session import checkpoint, written
 
 CHECKPOINT_EVERY = 3
 
@@ -267,17 +267,124 @@ def blast_radius(resolved: DataFrame, targets: DataFrame) -> DataFrame:
     ).withColumnRenamed("name", "package")
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """The strongly connected components that hold a cycle.
+
+    Columns: ecosystem, component (its least name), size, member; one row per package on a cycle
+    (a package with an edge to itself is a component of size 1).
+
+    Forward/backward colouring: every package takes the greatest number of the packages that reach it,
+    then each colour's own package walks back inside its colour, and what it meets is one component.
+    Edges between colours or into a found component cannot lie on another cycle and go; the rest runs
+    again.  Layers without in- or out-edges are trimmed before.  A round moves a component's edges once,
+    never its pairs; packages are numbers (unique over all ecosystems) during the rounds.
+    """
+    e = _edges(edges)
+    ends = e.select("ecosystem", F.col("parent").alias("name")).unionByName(e.select("ecosystem", F.col("child").alias("name")))
+    nodes = written(ends.distinct().withColumn("id", F.monotonically_increasing_id()), "packages")
+    loops = e.filter(F.col("parent") == F.col("child")).select("ecosystem", F.col("child").alias("name"))
+    numbered = (
+        e.filter(F.col("parent") != F.col("child"))
+        .join(nodes.select("ecosystem", F.col("name").alias("parent"), F.col("id").alias("src")), ["ecosystem", "parent"])
+        .join(nodes.select("ecosystem", F.col("name").alias("child"), F.col("id").alias("dst")), ["ecosystem", "child"])
+        .select("src", "dst")
+    )
+    found = _strong(written(numbered, "numbered-edges"))
+    named = loops.select("ecosystem", "name", F.lit(None).cast("long").alias("color"))
+    for part in found:
+        named = named.unionByName(part.join(nodes, "id").select("ecosystem", "name", "color"))
+    # a package with an edge to itself may also lie in a larger component
+    own = named.groupBy("ecosystem", "name").agg(F.max("color").alias("color"))
+    group = F.when(F.col("color").isNull(), F.col("name")).otherwise(F.col("color").cast("string"))
+    own = written(own.withColumn("is_loop", F.col("color").isNull()).withColumn("grp", group), "members")
+    sizes = own.groupBy("ecosystem", "is_loop", "grp").agg(F.min("name").alias("component"), F.count("*").alias("size"))
+    return own.join(sizes, ["ecosystem", "is_loop", "grp"]).select(
+        "ecosystem", "component", "size", F.col("name").alias("member")
+    )
+
+
+def _strong(e: DataFrame) -> list[DataFrame]:
+    """Tables (id, color) of the components with two or more packages; their color tells them apart."""
+    found: list[DataFrame] = []
+    e = _trimmed(e)
+    while not e.isEmpty():
+        color = _colored(e)
+        src = color.select(F.col("id").alias("src"), F.col("color").alias("c"))
+        dst = color.select(F.col("id").alias("dst"), F.col("color").alias("c"))
+        inside = written(e.join(src, "src").join(dst, ["dst", "c"]).select("src", "dst", "c"), "inside")
+        heads = inside.filter(F.col("src") == F.col("c")).select(F.col("src").alias("id"), F.col("c").alias("color")).distinct()
+        met = written(heads, "met")
+        frontier = met
+        while not frontier.isEmpty():
+            back = inside.join(frontier.select(F.col("id").alias("dst")), "dst", "left_semi")
+            step = back.select(F.col("src").alias("id"), F.col("c").alias("color")).distinct()
+            frontier = written(step.join(met, "id", "left_anti"), "frontier")
+            met = met.unionByName(frontier)
+        met = written(met, "component")
+        # a head alone in its component is on no cycle
+        several = met.groupBy("color").agg(F.count("*").alias("n")).filter("n > 1")
+        found.append(met.join(several, "color", "left_semi"))
+        gone = met.select("id")
+        rest = (
+            inside.join(gone.withColumnRenamed("id", "src"), "src", "left_anti")
+            .join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
+        )
+        # heads without an edge inside their color have no row in ``inside``: they fall out by trimming
+        e = _trimmed(rest.select("src", "dst"))
+    return found
+
+
+def _trimmed(e: DataFrame) -> DataFrame:
+    """Edges whose source has an in-edge and whose target has an out-edge, as long as a layer takes a tenth or more."""
+    e = written(e, "edges")
+    n = e.count()
+    while n:
+        outs, ins = e.select(F.col("src").alias("dst")).distinct(), e.select(F.col("dst").alias("src")).distinct()
+        e = written(e.join(outs, "dst", "left_semi").join(ins, "src", "left_semi"), "edges")
+        before, n = n, e.count()
+        if 10 * (before - n) < before:
+            break
+    return e
+
+
+def _colored(e: DataFrame) -> DataFrame:
+    """(id, color): the greatest id among a package and all that reach it; only changed colors travel."""
+    ends = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
+    color = written(ends.select("id", F.col("id").alias("color")), "colors")
+    changed = color
+    while True:
+        sent = e.join(changed.select(F.col("id").alias("src"), "color"), "src")
+        best = sent.groupBy(F.col("dst").alias("id")).agg(F.max("color").alias("best"))
+        changed = written(
+            color.join(best, "id").filter(F.col("best") > F.col("color")).select("id", F.col("best").alias("color")), "changed"
+        )
+        if changed.isEmpty():
+            return color
+        newer = changed.withColumnRenamed("color", "newer")
+        color = written(color.join(newer, "id", "left").select("id", F.coalesce("newer", "color").alias("color")), "colors")
+
+
+def _inner_edges(edges: DataFrame) -> DataFrame:
+    """Edges that lie on a cycle: both ends in one component."""
+    c = components(edges).select("ecosystem", "component", "member")
+    return written(
+        _edges(edges)
+        .join(c.withColumnRenamed("member", "parent"), ["ecosystem", "parent"])
+        .join(c.withColumnRenamed("member", "child"), ["ecosystem", "child", "component"])
+        .select("ecosystem", "parent", "child"),
+        "inner-edges",
+    )
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """G6 listing: one shortest cycle for every edge that lies on one, without a length limit.
 
-    An edge ``u -> v`` is on a cycle iff ``v`` reaches ``u``; its cycle is the
-    closure's shortest path from ``v`` to ``u`` closed by the edge, turned to
-    start at its smallest node.  There are at most as many cycles as edges
-    (all simple cycles can be exponentially many), and every package on a
-    cycle is on one that is listed.
-    Columns: ecosystem, cycle (ARRAY, first node repeated at the end), length.
+    An edge lies on a cycle iff both ends are in one component; its cycle is the shortest path back inside
+    the component closed by the edge, turned to start at its smallest node.  There are at most as many
+    cycles as edges (all simple cycles can be exponentially many), and every package on a cycle is on one
+    that is listed.  Columns: ecosystem, cycle (ARRAY, first node repeated at the end), length.
     """
-    e = _trim_acyclic(_edges(edges))
+    e = _inner_edges(edges)
     loops = e.filter(F.col("parent") == F.col("child")).select("ecosystem", F.array("parent").alias("nodes"))
     closed = _closing_paths(e)
     at = F.array_position("path", F.array_min("path")).cast("int")
@@ -300,49 +407,107 @@ def _closing_paths(e: DataFrame) -> DataFrame:
 
 
 def cycle_nodes(edges: DataFrame) -> DataFrame:
-    """G6 exact membership: ecosystem, name of every package lying on some dependency cycle.
+    """G6 membership: ecosystem, name of every package lying on some dependency cycle."""
+    return components(edges).select("ecosystem", F.col("member").alias("name"))
 
-    No length limit: after trimming, ``v`` is on a cycle iff it has a self
-    edge or some edge ``u -> v`` whose head ``v`` reaches ``u``; reachability
-    is the same hop-loop closure as G1, run from the trimmed nodes only.
-    """
-    e = _trim_acyclic(_edges(edges))
-    back = _closing_paths(e)
-    on_cycle = back.select("ecosystem", F.col("child").alias("name")).unionByName(
-        e.filter(F.col("parent") == F.col("child")).select("ecosystem", F.col("child").alias("name"))
-    )
-    return on_cycle.distinct()
 
+def counted_chains(
+    resolved: DataFrame, edges: DataFrame, targets: DataFrame, k: int = 3
+) -> DataFrame:
+    """G7 for asked packages: how many chains reach each, and the ``k`` best ones.
 
-def _trim_acyclic(e: DataFrame) -> DataFrame:
-    """Drop edges touching nodes with no in-edge or no out-edge, until stable (cannot be on a cycle)."""
-    e = checkpoint(e)
-    n = e.count()
+    ``targets``: (ecosystem, package).  Columns: project_id, ecosystem, name, n_chains (DECIMAL(38,0)), rank,
+    chain (ARRAY, direct package first); chains are ranked by length, then by their names.  A direct
+    package's only chain is itself.  Chains begin at a direct package and pass no other one.
+
+    Chains grow one package a round from the direct packages down; a package's row carries the number of
+    its chains of this length and the first ``k`` of them, so a round costs a project's edges, not its
+    chains: the k best chains of a package extend k best chains of its parents.  Only packages from which
+    a target can be reached take part.  Packages below a cycle have chains that must not meet themselves
+    again; theirs are listed one by one (``dependency_chains``).
+    """
+    e = _edges(edges)
+    asked = targets.select("ecosystem", F.lower("package").alias("name")).distinct()
+    upward = root_closure(
+        asked.select("ecosystem", F.col("name").alias("root")),
+        e.select("ecosystem", F.col("child").alias("parent"), F.col("parent").alias("child")),
+    )
+    useful = written(asked.unionByName(upward.select("ecosystem", F.col("node").alias("name"))).distinct(), "useful")
+    rows = written(
+        resolved.join(useful, ["ecosystem", "name"], "left_semi").select("project_id", "ecosystem", "name", "is_direct"), "rows"
+    )
+    ring = components(e).select("ecosystem", F.col("member").alias("root"))
+    below = written(
+        ring.select("ecosystem", F.col("root").alias("name"))
+        .unionByName(root_closure(ring, e).select("ecosystem", F.col("node").alias("name"))).distinct(),
+        "below-cycles",
+    )
+    key = ["project_id", "ecosystem"]
+    free = rows.filter(~F.col("is_direct")).join(below, ["ecosystem", "name"], "left_anti")
+    links = written(
+        rows.withColumnRenamed("name", "parent").drop("is_direct").join(e, ["ecosystem", "parent"])
+        .join(free.select(*key, F.col("name").alias("child")), [*key, "child"], "left_semi")
+        .select(*key, "parent", "child"),
+        "links",
+    )
+    level = written(
+        rows.filter("is_direct").select(
+            *key, "name", F.lit(1).cast("decimal(38,0)").alias("n"), F.array(F.array("name")).alias("chains")
+        ),
+        "chains",
+    )
+    levels = [level]
     while True:
-        outs = e.select("ecosystem", F.col("parent").alias("n")).distinct()
-        ins = e.select("ecosystem", F.col("child").alias("n")).distinct()
-        keep = outs.join(ins, ["ecosystem", "n"])
-        trimmed = checkpoint(
-            e.join(keep.withColumnRenamed("n", "parent"), ["ecosystem", "parent"], "left_semi")
-            .join(keep.withColumnRenamed("n", "child"), ["ecosystem", "child"], "left_semi")
+        grown = level.withColumnRenamed("name", "parent").join(links, [*key, "parent"]).select(
+            *key, F.col("child").alias("name"), "n",
+            F.transform("chains", lambda c: F.concat(c, F.array("child"))).alias("chains"),
+        )
+        level = written(
+            grown.groupBy(*key, "name").agg(
+                F.sum("n").cast("decimal(38,0)").alias("n"),
+                F.slice(F.array_sort(F.flatten(F.collect_list("chains"))), 1, k).alias("chains"),
+            ),
+            "chains",
         )
-        m = trimmed.count()
-        if m == n:
-            return trimmed
-        e, n = trimmed, m
+        if level.isEmpty():
+            break
+        levels.append(level)
+    every = levels[0]
+    for x in levels[1:]:
+        every = every.unionByName(x)
+    every = every.join(asked, ["ecosystem", "name"], "left_semi")
+    listed = dependency_chains(
+        resolved, e, rows.filter(~F.col("is_direct")).join(asked, ["ecosystem", "name"], "left_semi")
+        .join(below, ["ecosystem", "name"], "left_semi"),
+    )
+    every = every.unionByName(
+        listed.select(*key, "name", F.lit(1).cast("decimal(38,0)").alias("n"), F.array("chain").alias("chains"))
+    )
+    total = every.groupBy(*key, "name").agg(F.sum("n").cast("decimal(38,0)").alias("n_chains"))
+    place = Window.partitionBy(*key, "name").orderBy("length", "chain")
+    best = (
+        every.select(*key, "name", F.explode("chains").alias("chain"))
+        .withColumn("length", F.size("chain"))
+        .withColumn("rank", F.row_number().over(place))
+        .filter(F.col("rank") <= k)
+    )
+    return best.join(total, [*key, "name"]).select(*key, "name", "n_chains", "rank", "chain")
 
 
-def dependency_chains(resolved: DataFrame, edges: DataFrame) -> DataFrame:
-    """Every upward chain from each transitive package to the first direct package.
+def dependency_chains(resolved: DataFrame, edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """G7 listing: every upward chain from each transitive package to the first direct package.
 
-    Walks reverse edges inside each project's graph; a chain stops at a direct
+    There may be exponentially many; ``counted_chains`` counts them and gives the best.  ``starts``
+    (project_id, ecosystem, name) restricts the listing to some packages.  Walks reverse edges inside each project's graph; a chain stops at a direct
     package, at a package without parents, or when every parent is already on
     the chain.  Columns: project_id, ecosystem, name, chain (ARRAY, direct end first).
     A chain never repeats a package, so the walk ends by itself (no length limit).
     """
     pe = project_edges(resolved, edges).persist()  # read by every step
     direct = resolved.filter("is_direct").select("project_id", "ecosystem", F.col("name").alias("p")).persist()
-    start = resolved.filter(~F.col("is_direct")).select(
+    if starts is None:
+        starts = resolved.filter(~F.col("is_direct"))
+    start = starts.select(
         "project_id", "ecosystem", "name", F.col("name").alias("cur"), F.array("name").alias("chain")
     )
     pieces: list[DataFrame] = []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +52,25 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables, under the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/fleetaudit-tables-{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet into the shared folder and read back.
+
+    Consumers read the rows instead of computing them again, Spark plans with the
+    table's real size, and a lost executor loses nothing.
+    """
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; results that still read them must be saved first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

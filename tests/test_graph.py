@@ -1,5 +1,8 @@
 """Graph jobs on the original tool's graph cases (flask closure, cycles, shortest path, chains)."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from fleetaudit.plans import graph, scan
@@ -118,3 +121,90 @@ def test_depth_compat(spark):
     got = {x.name: (x.depth, x.depth_compat) for x in graph.depth_compat(d, r, e).collect()}
     assert got["jinja2"] == (0, 1)  # direct, and a child of the earlier-declared flask
     assert got["flask"] == (0, 0) and got["requests"] == (0, 0) and got["markupsafe"] == (1, 1)
+
+
+def _reach(pairs):
+    """Brute force: node -> all nodes it reaches by one edge or more."""
+    nodes = {x for p in pairs for x in p}
+    out = {n: {b for a, b in pairs if a == n} for n in nodes}
+    for _ in nodes:
+        for n in nodes:
+            out[n] = out[n].union(*(out[m] for m in out[n])) if out[n] else out[n]
+    return out
+
+
+@pytest.mark.parametrize("seed, n, m", [(1, 12, 14), (2, 30, 45), (3, 40, 44), (4, 9, 40)])
+def test_components_equal_brute_force(spark, seed, n, m):
+    rng = random.Random(seed)
+    pairs = {(eco, f"p{rng.randrange(n):02d}", f"p{rng.randrange(n):02d}") for _ in range(m) for eco in ("npm", "python")}
+    want = []
+    for eco in ("npm", "python"):
+        reach = _reach([(a, b) for e, a, b in pairs if e == eco])
+        for x in reach:
+            if x in reach[x]:
+                ring = {y for y in reach[x] if x in reach[y]}
+                want.append((eco, min(ring), len(ring), x))
+    e = spark.createDataFrame(sorted(pairs), "ecosystem string, parent string, child string")
+    assert rows(graph.components(e), "ecosystem", "component", "size", "member") == sorted(want)
+    assert rows(graph.cycle_nodes(e), "ecosystem", "name") == sorted((w[0], w[3]) for w in want)
+
+
+def test_components_of_chained_rings_and_of_none(spark):
+    # rings in a row, numbers against the direction of the edges: each ring has its own color
+    pairs = [(f"r{9 - i}-{j}", f"r{9 - i}-{(j + 1) % 3}") for i in range(6) for j in range(3)]
+    pairs += [(f"r{9 - i}-0", f"r{8 - i}-1") for i in range(5)] + [("r4-2", "tail0")] + [(f"tail{i}", f"tail{i + 1}") for i in range(8)]
+    e = spark.createDataFrame([("npm", a, b) for a, b in pairs], "ecosystem string, parent string, child string")
+    got = rows(graph.components(e), "component", "size", "member")
+    assert got == sorted((f"r{9 - i}-0", 3, f"r{9 - i}-{j}") for i in range(6) for j in range(3))
+    assert graph.components(e.filter("parent like 'tail%'")).collect() == []
+    assert graph.components(e.limit(0)).collect() == []
+
+
+def _all_chains(children, direct):
+    """Brute force of the original tool's walk: package -> chains from a direct package, none inside."""
+    parents = {}
+    for a, b in children:
+        parents.setdefault(b, set()).add(a)
+    out = {}
+
+    def up(node, path):
+        if node in direct:
+            return [list(reversed(path))]
+        found = []
+        for p in sorted(parents.get(node, ())):
+            if p not in path:
+                found += up(p, path + [p])
+        return found
+
+    reached = set(direct)
+    grown = True
+    while grown:
+        grown = {b for a, b in children if a in reached and b not in reached}
+        reached |= grown
+    for node in reached:
+        out[node] = sorted(up(node, [node]), key=lambda c: (len(c), c))
+    return out
+
+
+@pytest.mark.parametrize("seed, cyclic", [(1, False), (2, False), (3, True)])
+def test_counted_chains_equal_brute_force(spark, seed, cyclic):
+    rng = random.Random(seed)
+    pairs = set()
+    for _ in range(34):
+        a, b = rng.randrange(13), rng.randrange(13)
+        if a != b:
+            pairs.add((f"p{min(a, b):02d}", f"p{max(a, b):02d}"))
+    if cyclic:
+        pairs |= {("p07", "p03"), ("p09", "p08")}
+    e = spark.createDataFrame([("npm", a, b) for a, b in sorted(pairs)], "ecosystem string, parent string, child string")
+    names = {1: ["p00", "p01"], 2: ["p02", "p05", "p00"]}
+    deps = _deps(spark, names[1], 1, "npm").unionByName(_deps(spark, names[2], 2, "npm"))
+    targets = [f"p{i:02d}" for i in range(3, 13)]
+    asked = spark.createDataFrame([("npm", t) for t in targets], "ecosystem string, package string")
+    got = rows(graph.counted_chains(graph.resolve(deps, e), e, asked, k=2), "project_id", "name", "n_chains", "rank", "chain")
+    want = []
+    for pid, direct in names.items():
+        for node, chains in _all_chains(pairs, direct).items():
+            if node in targets:
+                want += [(pid, node, len(chains), i, c) for i, c in enumerate(chains[:2], 1)]
+    assert [(p, n, int(c), r, list(ch)) for p, n, c, r, ch in got] == sorted(want)
