@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetaudit.operators import confusion, licensing, outdated, textscan, typosquat, vulnerability
-from fleetaudit.plans import graph, scan
+from fleetaudit.plans import graph, listing, scan
+from fleetaudit.session import written
 from fleetaudit.sources import manifests as M
 from fleetaudit.sources.testdata import TestData
 from fleetaudit.streaming import alerts as stream
@@ -25,11 +26,13 @@ def _td(spark: SparkSession, sf_dir: str) -> TestData:
 
 
 def _roots(td: TestData) -> DataFrame:
-    return graph.resolve_roots(td.declared, td.edges)[0]
+    """The resolved packages without paths, computed once and written."""
+    return written(graph.resolve_roots(td.declared, td.edges)[0], "resolved")
 
 
 def _resolved(td: TestData) -> DataFrame:
-    return graph.resolve(td.declared, td.edges)
+    """The resolved packages with paths, computed once and written."""
+    return written(graph.resolve(td.declared, td.edges), "resolved")
 
 
 # ------------------------------------------------------------------ parsers
@@ -262,6 +265,19 @@ def dependency_chains(spark, sf_dir):
     return c.select("project_id", "ecosystem", "name", F.array_join("chain", " -> ").alias("chain"))
 
 
+def vulnerable_chains(spark, sf_dir):
+    """For every package with an advisory, how many chains lead to it and the three best, per project."""
+    td = _td(spark, sf_dir)
+    c = graph.counted_chains(_roots(td), td.edges, td.advisories.select("ecosystem", "package"), 3)
+    return c.select("project_id", "ecosystem", "name", F.col("n_chains").cast("bigint").alias("n_chains"), "rank",
+                    F.array_join("chain", " -> ").alias("chain"))
+
+
+def package_list(spark, sf_dir):
+    """O1: all packages in order, with their positions."""
+    return listing.package_list(_roots(_td(spark, sf_dir)))
+
+
 def graph_nodes(spark, sf_dir):
     td = _td(spark, sf_dir)
     return scan.graph_nodes(_resolved(td), td.edges)
@@ -272,6 +288,11 @@ def cycle_nodes(spark, sf_dir):
     return graph.cycle_nodes(_td(spark, sf_dir).cycle_edges)
 
 
+def cycle_groups(spark, sf_dir):
+    """The strongly connected components of the edges with back edges added."""
+    return graph.components(_td(spark, sf_dir).cycle_edges)
+
+
 def tree_view(spark, sf_dir):
     td = _td(spark, sf_dir)
     return scan.tree_view(_resolved(td), td.edges, 2)
@@ -348,7 +369,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "recommendations": recommendations,
     "cycle_members": cycle_members,
     "cycle_nodes": cycle_nodes,
+    "cycle_groups": cycle_groups,
     "dependency_chains": dependency_chains,
+    "vulnerable_chains": vulnerable_chains,
+    "package_list": package_list,
     "graph_nodes": graph_nodes,
     "tree_view": tree_view,
     "stream_alert_counts": stream_alert_counts,

@@ -735,7 +735,7 @@ turned AS (
 SELECT ecosystem, array_to_string(cycle, ' -> ') AS cycle, CAST(len(cycle) - 1 AS INTEGER) AS length FROM turned
 UNION ALL
 SELECT ecosystem, parent || ' -> ' || child, 1 FROM cedges WHERE parent = child"""
-    q["cycle_nodes"] = with_(PACKAGES, EDGES, """
+    cycle_reach = with_(PACKAGES, EDGES, """
 cedges AS (
   SELECT * FROM edges
   UNION
@@ -745,9 +745,14 @@ reach(ecosystem, src, dst) AS (
   SELECT ecosystem, parent, child FROM cedges
   UNION
   SELECT r.ecosystem, r.src, e.child FROM reach r JOIN cedges e ON e.ecosystem = r.ecosystem AND e.parent = r.dst)""",
-        recursive=True) + """
+        recursive=True)
+    q["cycle_nodes"] = cycle_reach + """
 SELECT DISTINCT ecosystem, src AS name FROM reach WHERE src = dst"""
-    q["dependency_chains"] = with_(*GRAPH, pe, """
+    q["cycle_groups"] = cycle_reach + """
+SELECT r.ecosystem, min(r.dst) AS component, count(*) AS size, r.src AS member
+FROM reach r JOIN reach b ON b.ecosystem = r.ecosystem AND b.src = r.dst AND b.dst = r.src
+GROUP BY r.ecosystem, r.src"""
+    walks = with_(*GRAPH, ADVISORIES, pe, """
 dir AS (SELECT project_id, ecosystem, name FROM resolved WHERE is_direct)""", """
 up(project_id, ecosystem, name, cur, chain) AS (
   SELECT project_id, ecosystem, name, name, [name] FROM resolved WHERE NOT is_direct
@@ -756,10 +761,26 @@ up(project_id, ecosystem, name, cur, chain) AS (
   FROM up u
   JOIN pe p ON p.project_id = u.project_id AND p.ecosystem = u.ecosystem AND p.child = u.cur
   LEFT JOIN dir d ON d.project_id = u.project_id AND d.ecosystem = u.ecosystem AND d.name = u.cur
-  WHERE d.name IS NULL AND NOT list_contains(u.chain, p.parent))""", recursive=True) + """
+  WHERE d.name IS NULL AND NOT list_contains(u.chain, p.parent))""", recursive=True)
+    q["dependency_chains"] = walks + """
 SELECT u.project_id, u.ecosystem, u.name, array_to_string(list_reverse(u.chain), ' -> ') AS chain
 FROM up u JOIN dir d ON d.project_id = u.project_id AND d.ecosystem = u.ecosystem AND d.name = u.cur
 WHERE len(u.chain) > 1"""
+    q["vulnerable_chains"] = walks + """,
+led AS (
+  SELECT u.project_id, u.ecosystem, u.name, list_reverse(u.chain) AS chain
+  FROM up u JOIN dir d ON d.project_id = u.project_id AND d.ecosystem = u.ecosystem AND d.name = u.cur
+  UNION ALL SELECT project_id, ecosystem, name, [name] FROM dir)
+SELECT project_id, ecosystem, name, n_chains, CAST(rank AS INTEGER) AS rank, array_to_string(chain, ' -> ') AS chain
+FROM (
+  SELECT *, count(*) OVER (PARTITION BY project_id, ecosystem, name) AS n_chains,
+    row_number() OVER (PARTITION BY project_id, ecosystem, name ORDER BY len(chain), chain) AS rank
+  FROM led l
+  WHERE EXISTS (SELECT 1 FROM advisories_t a WHERE a.ecosystem = l.ecosystem AND a.package = l.name))
+WHERE rank <= 3"""
+    q["package_list"] = with_(*GRAPH, recursive=True) + """
+SELECT row_number() OVER (ORDER BY ecosystem, name) AS position, ecosystem, name
+FROM (SELECT DISTINCT ecosystem, name FROM resolved)"""
     q["graph_nodes"] = with_(*GRAPH, pe, recursive=True) + """,
 down AS (SELECT project_id, ecosystem, parent AS name, count(DISTINCT child) AS d FROM pe GROUP BY ALL),
 up AS (SELECT project_id, ecosystem, child AS name, count(DISTINCT parent) AS u FROM pe GROUP BY ALL)
