@@ -232,6 +232,10 @@ def full_scan(td: TestData) -> tuple[DataFrame, DataFrame]:
     return scan.scan_projects(scan_inputs(td), list(scan.SCANNERS))
 
 
+def full_summary(td: TestData) -> DataFrame:
+    return scan.summarise(scan_inputs(td), list(scan.SCANNERS))
+
+
 def enriched_alerts(spark, sf_dir):
     alerts, _ = full_scan(_td(spark, sf_dir))
     return alerts.select("project_id", "category", "type", "package", "severity", "is_transitive",
@@ -239,7 +243,7 @@ def enriched_alerts(spark, sf_dir):
 
 
 def project_summary(spark, sf_dir):
-    _, s = full_scan(_td(spark, sf_dir))
+    s = full_summary(_td(spark, sf_dir))
     return s.select(
         "project_id", "total_dependencies", "vulnerabilities_found", "typosquatting_alerts", "secrets_found",
         "licenses_found", "dep_confusion_issues", "pipeline_issues", "versions_outdated", "total_issues", "n_critical", "n_high", "n_medium", "n_low",
@@ -248,7 +252,7 @@ def project_summary(spark, sf_dir):
 
 
 def recommendations(spark, sf_dir):
-    _, s = full_scan(_td(spark, sf_dir))
+    s = full_summary(_td(spark, sf_dir))
     return s.select("project_id", F.array_join("recommendations", " | ").alias("recommendations"))
 
 
@@ -322,7 +326,9 @@ def stream_score(spark, sf_dir):
 
 def stream_outdated(spark, sf_dir):
     td = _td(spark, sf_dir)
-    return stream.stream_outdated(spark, td.manifests, td.releases).select(
+    landing = stream.scratch_dir(spark, "landing")
+    stream.land_manifests(spark, td.manifests, landing)
+    return stream.stream_outdated(spark, landing, td.releases).select(
         "project_id", "ecosystem", "package", "installed_version", "latest_version", "message"
     )
 

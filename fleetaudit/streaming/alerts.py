@@ -1,7 +1,7 @@
 """Structured Streaming versions of the jobs.
 
-* T1 ``stream_outdated``: manifests arrive as Parquet files; each micro-batch
-  is parsed and joined (stream-static) to the latest-release lookup; alerts
+* T1 ``stream_outdated``: manifests arrive as Parquet files (``land_manifests``
+  lands each content once); each micro-batch is parsed and joined (stream-static) to the latest-release lookup; alerts
   are appended to a Parquet sink.
 * T2 ``dedup_alerts``: repeated alerts dropped with
   ``dropDuplicatesWithinWatermark``.
@@ -159,19 +159,35 @@ def running_scores(spark: SparkSession, events_path: str, out: str | None = None
 
 
 # ------------------------------------------------------------------ T1
-def stream_outdated(spark: SparkSession, manifests: DataFrame, releases: DataFrame, out: str | None = None) -> DataFrame:
-    """Manifests landing as files -> parsed rows -> staleness alerts, one micro-batch at a time.
+def land_manifests(spark: SparkSession, manifests: DataFrame, landing: str) -> None:
+    """Add manifests to the arrival folder ``landing``, each (project, path, content) once.
 
-    The manifests are first landed as Parquet (the arrival folder); the stream
-    reads that folder, each micro-batch is parsed and joined to the static
-    latest-release lookup, and alerts are appended to the sink.
+    An arrival is known by its project, path and content hash; what the folder holds already, or the
+    same call repeats, adds nothing, so a landing can be tried again after a failure.
     """
-    out = out or scratch_dir(spark, "outdated")  # the same folder again resumes the query
-    manifests.write.mode("append").parquet(out + "/landing")
-    src = spark.readStream.schema(manifests.schema).option("maxFilesPerTrigger", 4).parquet(out + "/landing")
+    key = ["project_id", "path", "content_hash"]
+    new = manifests.withColumn("content_hash", F.sha2("content", 256)).dropDuplicates(key)
+    try:
+        new = new.join(spark.read.parquet(landing).select(*key), key, "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # nothing landed yet
+            raise
+    new.select(*manifests.columns, "content_hash").write.mode("append").parquet(landing)
+
+
+def stream_outdated(spark: SparkSession, landing: str, releases: DataFrame, out: str | None = None) -> DataFrame:
+    """Manifests landing as files in ``landing`` -> parsed rows -> staleness alerts, per micro-batch.
+
+    Each micro-batch is parsed and joined to the static latest-release lookup; its alerts go to the
+    batch's own folder.  With the same ``out`` again, the query resumes: only files that have arrived
+    since are read.  Returns all alerts so far.
+    """
+    out = out or scratch_dir(spark, "outdated")
+    schema = spark.read.parquet(landing).schema
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(landing)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        deps, _ = M.parse_manifests(batch.drop("ecosystem"))
+        deps, _ = M.parse_manifests(batch.drop("ecosystem", "content_hash"))
         alerts = outdated.outdated_alerts(deps, releases)
         _write_batch(alerts, out + "/alerts", batch_id)
 
