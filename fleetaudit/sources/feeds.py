@@ -18,7 +18,7 @@ ECOSYSTEMS = ["python", "npm", "ruby", "maven"]
 
 
 def _whole_text(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path)
+    return spark.read.text(path, wholetext=True)
 
 
 def load_edges(spark: SparkSession, path: str) -> DataFrame:

@@ -17,7 +17,7 @@ def _write(lines, suffix=".json"):
 
 
 def test_known_deps_and_popular(spark):
-    p = _write(json.dumps({"python": {"Flask": ["Jinja2", "click"]}, "npm": {"cors": ["vary"]}}))
+    p = _write(json.dumps({"python": {"Flask": ["Jinja2", "click"]}, "npm": {"cors": ["vary"]}}, indent=2))  # many lines
     assert rows(feeds.load_edges(spark, p), "ecosystem", "parent", "child") == [
         ("npm", "cors", "vary"), ("python", "flask", "click"), ("python", "flask", "jinja2")]
     p2 = _write(json.dumps({"python": ["requests"], "npm": ["express"], "shared": ["docker"]}))
@@ -120,3 +120,21 @@ def test_sinks(spark):
     got = {r.name: r.n_depends_on for r in spark.read.json(base + "/graph/nodes").collect()}
     assert got == {"a": 1, "b": 0}
     assert [(r.parent, r.child) for r in spark.read.parquet(base + "/graph/edges").collect()] == [("a", "b")]
+
+
+def test_one_document_per_project(spark, tmp_path):
+    summary = spark.createDataFrame([(1, 92, ["a"]), (2, 100, []), (3, 50, [])], "project_id long, security_score int, recommendations array<string>")
+    found = [(1, f"p{i}", "HIGH", 'say "hi"\n') for i in range(40)] + [(3, "x", "LOW", None), (9, "y", "LOW", None)]
+    alerts = report.to_alerts(spark.createDataFrame(found, "project_id long, package string, severity string, message string"), "vulnerabilities")
+    more = report.to_alerts(spark.createDataFrame([(1, "q", "LOW")], "project_id long, package string, severity string"), "versions")
+    report.write_documents(summary, report.union_alerts([alerts, more]), f"{tmp_path}/docs")
+    docs = {}
+    for r in spark.read.text(f"{tmp_path}/docs", wholetext=True).collect():
+        d = json.loads(r["value"])
+        assert d["project_id"] == r["project_id"] and d["project_id"] not in docs
+        docs[d["project_id"]] = d
+    assert sorted(docs) == [1, 2, 3]
+    assert docs[1]["summary"] == {"security_score": 92, "recommendations": ["a"]}
+    assert sorted(a["package"] for a in docs[1]["vulnerabilities"]) == sorted(f"p{i}" for i in range(40))
+    assert docs[1]["vulnerabilities"][0]["message"] == 'say "hi"\n' and [a["package"] for a in docs[1]["versions"]] == ["q"]
+    assert all(docs[2][c] == [] for c in report.CATEGORIES) and len(docs[3]["vulnerabilities"]) == 1
