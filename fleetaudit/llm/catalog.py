@@ -29,6 +29,7 @@ WORDS = (
 
 #: The other operators use hashes, random orders, tests or models that SQL lacks; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op7_quality_rules": quality.SQL,
     "op11_phrase_collocations": collocations.SQL,
     "op12_merkle_manifest": merkle.SQL,
     "op13_exact_dedup": exact_dedup.SQL,

@@ -481,7 +481,7 @@ def test_quality_query_equals_brute_force(spark, sf_dir, corpus):
     for r in corpus:
         m = brute_measures(r[1])
         failed = m[0] < 50 or 100 * m[4] > 50 * m[0]
-        want.append((r[0], *m, failed, not failed, 0))  # no line of this corpus is frequent enough to go
+        want.append((r[0], *m, failed, not failed, 0, 0, ""))  # no line of this corpus is frequent enough to go
     assert rows_of(catalog.QUERIES["op7_quality_rules"](spark, sf_dir)) == sorted(want, key=repr)
 
 
@@ -495,10 +495,27 @@ def test_depleted_documents_go_per_host(spark):
     assert not any(out[i]["kept"] for i in range(30)) and out[0]["n_frequent_words"] == 90
     assert out[100]["kept"] and out[101]["kept"] and all(out[200 + i]["kept"] for i in range(30))
     kept = quality.stage(spark, frame(spark, rows), "")
-    assert {r["doc_id"] for r in kept.collect()} == {i for i, r in out.items() if r["kept"]}
+    texts = {r["doc_id"]: r["text"] for r in kept.collect()}
+    assert set(texts) == {i for i, r in out.items() if r["kept"]}
+    assert texts[101] == rows[31][1].split("\n", 1)[1] and texts[100] == rows[30][1] and texts[200] == rows[32][1]
     assert quality.stage(spark, frame(spark, []), "").collect() == []
 
 
+def test_frequent_lines_are_removed_from_the_documents_that_stay(spark):
+    """Whatever the names of other columns."""
+    rng = random.Random(4)
+    rows = [(i, f"{prose(rng, 60, 30)}\n Follow  us on page {i}! \n{prose(rng, 30, 30)}\n\nfollow us on PAGE 7!", "xx", "shop", 1, "h", i) for i in range(40)]
+    rows += [(100, "Follow us on page 3!\n" + prose(rng, 60, 30), "xx", None, 1, "x", 0), (101, None, "xx", "shop", 1, "x", 0)]
+    rows.append(rows[0])
+    docs = frame(spark, rows, COLUMNS + ", host string, tk int").withColumns({"cut": F.lit(1), "kept": F.lit("a"), "_tk": F.lit(2), "_host": F.lit(3), "row": F.lit(4)})
+    out = quality.stage(spark, docs, "")
+    assert out.columns == docs.columns
+    want = [(i, "\n".join(x for x in t.split("\n") if i == 100 or "ollow" not in x)) for i, t, *_ in rows if i != 101]
+    assert rows_of(out.select("doc_id", "text")) == sorted(want, key=repr) and {(r["host"], r["kept"], r["_tk"], r["row"]) for r in out.collect()} <= {("h", "a", 2, 4), ("x", "a", 2, 4)}
+    judged = {r["id"]: r for r in quality.verdicts(docs).collect()}
+    assert judged[5]["removed_lines"] == [2, 5] and judged[100]["removed_lines"] == []
+
+
 @pytest.mark.parametrize("k, u", [(3, 1), (10, 4)])
 def test_blocks_of_several_shared_lines_are_boilerplate(spark, k, u):
     rng = random.Random(k)
