@@ -412,3 +412,34 @@ def test_secret_regexes_agree_with_python_re(spark):
     df = spark.createDataFrame([(i, l) for i, l in enumerate(lines)], "line int, text string")
     got = {(r.line, r.pattern_name, r.match) for r in textscan.scan_lines(df, textscan.SECRET_PATTERNS).collect()}
     assert got == expected
+
+
+def test_segments_lose_no_pair_within_two_edits(spark):
+    """Property: every pair within edit distance 2 shares a segment key; keys per name stay linear in nothing."""
+    from fleetaudit.functions import names as N
+
+    rnd = random.Random(21)
+    popular = sorted({"".join(rnd.choices("abé-", k=rnd.randint(1, 9))) for _ in range(60)} | {"a", "ab", "requests"})
+    near = set()
+    for p in popular:
+        for _ in range(6):
+            x = list(p)
+            for _ in range(rnd.randint(0, 3)):
+                at = rnd.randint(0, len(x))
+                kind = rnd.random()
+                if kind < 0.4:
+                    x.insert(at, rnd.choice("abé-"))
+                elif x and at < len(x):
+                    x[at : at + 1] = [] if kind < 0.7 else [rnd.choice("abé-")]
+            near.add("".join(x))
+    near = sorted(near | {"x" * 60})
+    low, high = min(map(len, popular)), max(map(len, popular))
+    pop = spark.createDataFrame([(p,) for p in popular], "pname string")
+    names = spark.createDataFrame([(n,) for n in near], "name string")
+    keyed = names.select("name", F.explode(N.segment_probes("name", low, high)).alias("k")).join(
+        pop.select("pname", F.explode(N.segment_keys("pname")).alias("k")), "k")
+    got = {tuple(r) for r in keyed.filter(F.levenshtein("name", "pname") <= 2).select("name", "pname").collect()}
+    pairs = names.crossJoin(pop).filter(F.levenshtein("name", "pname") <= 2)
+    assert got == {tuple(r) for r in pairs.collect()} and len(got) > 200
+    most = names.select(F.max(F.size(N.segment_probes("name", low, high)))).first()[0]
+    assert most <= 75 and names.filter("length(name) = 60").select(F.size(N.segment_probes("name", low, high))).first()[0] == 0
