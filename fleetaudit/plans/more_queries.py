@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from fleetaudit.operators import confusion, licensing, outdated, report, textscan, vulnerability
 from fleetaudit.plans import graph, oracle as O, scan
 from fleetaudit.session import scratch_dir
-from fleetaudit.sources import feeds
+from fleetaudit.sources import feeds, manifests
 from fleetaudit.sources.testdata import TestData
 
 
@@ -359,7 +359,21 @@ def secret_report(spark, sf_dir):
     return textscan.secret_projection(found).select("project_id", "type", "file", "severity", "line", "commit")
 
 
+def pom_forms(spark, sf_dir):
+    """The same pom files with CDATA sections, character references or prefixed tags, and comments."""
+    m = TestData(spark, sf_dir).manifests.filter("ecosystem = 'maven'")
+    c, k = F.col("content"), F.col("project_id") % 3
+    cdata = F.regexp_replace(c, r"<(groupId|version)>([^<]*)</", "<$1><![CDATA[$2]]></")
+    numbers = F.regexp_replace(F.regexp_replace(c, r"<version>([0-9]+)[.]", "<version>$1&#46;"), r"<groupId>org[.]", "<groupId>org&#x2E;")
+    prefixed = F.regexp_replace(F.regexp_replace(c, r"<(/?)([A-Za-z])", "<$1m:$2"), "xmlns=", "xmlns:m=")
+    form = F.when(k == 0, cdata).when(k == 1, numbers).otherwise(prefixed)
+    said = F.concat(form, F.lit("<!-- <dependency><groupId>a</groupId><artifactId>b</artifactId></dependency> -->"))
+    return manifests.pom_deps(m.withColumn("content", said)).select(
+        "project_id", "ecosystem", "pos", "name", "version", "dep_type", "scope", "is_dev", "is_optional")
+
+
 QUERIES = {
+    "pom_forms": pom_forms,
     "feed_advisories": feed_advisories,
     "feed_nvd": feed_nvd,
     "feed_licenses": feed_licenses,
@@ -379,6 +393,8 @@ QUERIES = {
 
 def sql() -> dict[str, str]:
     return {
+        "pom_forms": O.with_(*O.BASE)
+        + "\nSELECT project_id, ecosystem, pos, name, version, dep_type, scope, is_dev, is_optional FROM deps WHERE ecosystem = 'maven'",
         "feed_advisories": FEED_ADVISORIES,
         "feed_nvd": FEED_NVD,
         "feed_licenses": FEED_LICENSES,

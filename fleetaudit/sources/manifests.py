@@ -206,20 +206,55 @@ def malformed_json(content: Column) -> Column:
 
 
 def _decoded(text: Column) -> Column:
-    """The five predefined XML entities."""
+    """Character references (``&#46;``, ``&#x2E;``) and the five predefined XML entities."""
+    def number(part: Column) -> Column:
+        ref, rest = F.regexp_extract(part, r"(?s)^(x[0-9A-Fa-f]{1,6}|[0-9]{1,7});(.*)$", 1), F.regexp_extract(part, r"(?s)^[^;]*;(.*)$", 1)
+        code = F.when(ref.startswith("x"), F.lpad(F.substr(ref, F.lit(2)), 8, "0")).otherwise(F.lpad(F.hex(ref.cast("bigint")), 8, "0"))
+        char = F.decode(F.unhex(code), "UTF-32")
+        return F.when(ref == "", F.concat(F.lit("&#"), part)).otherwise(
+            F.concat(F.when(char == "&", F.lit("&amp;")).otherwise(char), rest))
+
+    parts = F.split(text, "&#")
+    text = F.when(F.contains(text, F.lit("&#")), F.array_join(
+        F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(number(x))), "")).otherwise(text)
     for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
         text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
     return text
 
 
+def plain_xml(content: Column) -> Column:
+    """The same elements and texts without comments, CDATA sections and the root element's prefix.
+
+    Texts of CDATA sections are escaped as ordinary text.  Elements with another prefix than the root's
+    belong to another namespace and keep it.
+    """
+    # comments go; a comment's marks inside a CDATA section are text
+    c = F.regexp_replace(content, r"(?s)<!--.*?-->|(<!\[CDATA\[.*?\]\]>)", "$1")
+
+    def escaped(part: Column) -> Column:
+        said = F.substring_index(part, "]]>", 1)
+        rest = F.substr(part, F.length(said) + 4)
+        for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            said = F.replace(said, F.lit(char), F.lit(name))
+        return F.concat(said, rest)
+
+    sections = F.split(c, r"<!\[CDATA\[")
+    c = F.when(F.contains(c, F.lit("<![CDATA[")), F.array_join(
+        F.transform(sections, lambda x, i: F.when(i == 0, x).otherwise(escaped(x))), "")).otherwise(c)
+    prefix = F.regexp_extract(c, r"(?s)^(?:\s|<\?.*?\?>|<!DOCTYPE[^>]*>)*<([A-Za-z_][\w.\-]*):", 1)
+    bare = F.replace(F.replace(c, F.concat(F.lit("<"), prefix, F.lit(":")), F.lit("<")), F.concat(F.lit("</"), prefix, F.lit(":")), F.lit("</"))
+    return F.when(prefix == "", c).otherwise(bare)
+
+
 def pom_deps(manifests: DataFrame) -> DataFrame:
     """Every ``<dependency>`` at any depth; ``${p}`` from the first ``<properties>``.
 
-    XML comments are removed first, as an XML parser never sees commented-out elements;
-    texts that are not well-formed give no rows (``parse_manifests`` quarantines them).
+    Comments, CDATA sections and a prefix of the root's namespace are resolved first (``plain_xml``), as an
+    XML parser does; texts that are not well-formed give no rows (``parse_manifests`` quarantines them).
     """
     manifests = manifests.where(~malformed_xml(F.col("content")))
-    c = F.regexp_replace(F.col("content"), r"(?s)<!--.*?-->", "")
+    manifests = manifests.withColumn("content", plain_xml(F.col("content")))
+    c = F.col("content")
     props_block = F.regexp_extract(c, r"(?s)<properties\s*>(.*?)</properties\s*>", 1)
     prop_re = r"(?s)<([A-Za-z_][\w.\-]*)\s*>([^<]*)</\1\s*>"
     props = F.arrays_zip(
@@ -239,7 +274,7 @@ def pom_deps(manifests: DataFrame) -> DataFrame:
         ref = F.regexp_extract(v, MAVEN_PROPERTY_REF, 1)
         hit = F.filter(props, lambda p: py_strip(p["k"]) == ref)
         value = F.try_element_at(hit, F.lit(-1))["v"]
-        return F.when((ref != "") & (F.size(hit) > 0), py_strip(value)).otherwise(v)
+        return F.when((ref != "") & (F.size(hit) > 0), py_strip(_decoded(value))).otherwise(v)
 
     def to_dep(raw: Column) -> Column:
         b = F.regexp_replace(raw, rf"(?s)<exclusions{ATTRIBUTES}>.*?</exclusions\s*>", "")

@@ -215,3 +215,25 @@ def test_malformed_manifests_are_quarantined(spark):
     assert rows(bad, "project_id", "reason") == [
         (2, "malformed XML"), (3, "malformed XML"), (4, "malformed JSON"), (6, "unsupported path"),
         (7, "malformed XML"), (8, "malformed JSON")]
+
+
+def test_pom_forms_that_only_an_xml_parser_sees(spark):
+    """CDATA, character references, prefixes and comments, against xml.etree."""
+    import xml.etree.ElementTree as ET
+
+    body = (
+        "<m:dependency><m:groupId><![CDATA[a<b&c]]></m:groupId><m:artifactId>x&#45;y&#x1F600;</m:artifactId><m:version>1&#46;2</m:version></m:dependency>"
+        "<m:dependency><m:groupId>g&amp;#46;</m:groupId><m:artifactId>&#38;lt;</m:artifactId><m:version>${v}</m:version><m:scope>test</m:scope></m:dependency>"
+        "<x:dependency><x:groupId>other</x:groupId><x:artifactId>ns</x:artifactId></x:dependency>"
+        "<!-- <m:dependency><![CDATA[ --><m:dependency><m:groupId><![CDATA[<!-- no comment -->]]></m:groupId><m:artifactId>z</m:artifactId></m:dependency>"
+    )
+    pom = ('<?xml version="1.0"?>\n<m:project xmlns:m="urn:m" xmlns:x="urn:x"><m:properties><m:v>3<![CDATA[.]]>1&#48;</m:v></m:properties>'
+           f"<m:dependencies>{body}</m:dependencies></m:project>")
+    root, ns = ET.fromstring(pom), "{urn:m}"
+    want = []
+    for d in root.iter(ns + "dependency"):
+        v = d.findtext(ns + "version", "latest")
+        want.append(((d.findtext(ns + "groupId") + ":" + d.findtext(ns + "artifactId")).lower(), root.findtext(f".//{ns}v") if v == "${v}" else v))
+    df = spark.createDataFrame([(1, "pom.xml", "maven", pom)], "project_id long, path string, ecosystem string, content string")
+    got = [(r.name, r.version) for r in M.pom_deps(df).orderBy("pos").collect()]
+    assert got == want and len(got) == 3
