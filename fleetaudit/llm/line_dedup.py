@@ -171,4 +171,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_recurring_lines(docs).select(*docs.columns)
+    """Columns travel in one struct, so that none clashes with a helper column."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    out = drop_recurring_lines(packed)
+    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -332,7 +332,8 @@ def encoded(docs: DataFrame, model: str = MODEL, text: str = "text", keep: list[
     with open(model, "rb") as f:  # on the driver; the bytes go along with the tasks
         data = f.read()
     docs = replaced(docs, *NAMES)
-    rows = docs.select(F.col(text).alias("_text"), *(docs.columns if keep is None else keep))
+    own = "_text" + "_" * max(map(len, docs.columns))  # longer than any column's name
+    rows = docs.select(F.col(text).alias(own), *(docs.columns if keep is None else keep))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
     return map_batches(rows, _encode(data), f"{kind}, {RESULT}" if kind else RESULT)
 

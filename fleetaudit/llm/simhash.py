@@ -247,4 +247,6 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_per_group(docs).select(*docs.columns)
+    """Columns travel in one struct, so that none clashes with a helper column."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    return one_per_group(packed).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

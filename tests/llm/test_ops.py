@@ -734,6 +734,18 @@ def test_stages_return_the_columns_of_documents(spark, sf_dir, corpus):
         assert {(r["tk"], r["found"]) for r in out.collect()} <= {(1, "x")}
 
 
+HELPERS = ["_tk", "_host", "_id", "_dropped", "_lines", "_cuts", "_text", "row", "tk", "host", "cut", "record", "id", "root", "pos", "line"]
+
+
+def test_columns_named_like_helpers_pass_through_every_stage(spark, sf_dir, corpus):
+    docs = frame(spark, corpus[:40], COLUMNS).withColumns({h: F.concat(F.lit(f"{h}-"), F.col("doc_id").cast("string")) for h in HELPERS})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert [c for c in docs.columns if c not in out.columns] == [], name
+        rows = out.select("doc_id", *HELPERS).collect()
+        assert rows and all(r[h] == f"{h}-{r['doc_id']}" for r in rows for h in HELPERS), name
+
+
 def test_batches_are_bounded_in_bytes_unless_the_session_says_so(spark):
     def sizes(batches):
         for b in batches:
