@@ -130,36 +130,38 @@ def gemfile_deps(manifests: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ S2
 def package_json_deps(manifests: DataFrame) -> DataFrame:
-    """The four npm sections in fixed order; one row per (section, name)."""
-    schema = "struct<" + ",".join(f"`{s}`:map<string,string>" for s in NPM_SECTIONS) + ">"
-    doc = F.from_json(F.col("content"), schema)
-
-    def unique_entries(m: Column) -> Column:
-        """JSON object semantics: a repeated key keeps its first position and its last value.
-
-        Entries sorted by (key, position) have equal keys side by side; the
-        first of each run gives the position, the last the value.
-        """
-        entries = F.map_entries(F.coalesce(m, F.create_map().cast("map<string,string>")))
-        runs = F.array_sort(F.transform(entries, lambda x, i: F.struct(
-            x["key"].alias("key"), i.alias("pos"), x["value"].alias("value"))))
-        return F.transform(F.array(runs), lambda s: F.array_sort(F.zip_with(
-            F.filter(s, lambda x, i: (i == 0) | (x["key"] != F.get(s, i - 1)["key"])),
-            F.filter(s, lambda x, i: (i == F.size(s) - 1) | (x["key"] != F.get(s, i + 1)["key"])),
-            lambda first, last: F.struct(first["pos"].alias("pos"), first["key"].alias("key"), last["value"].alias("value")),
-        )))[0]
-
-    def section_rows(s: str) -> Column:
-        return F.transform(
-            unique_entries(doc[s]),
-            lambda e: _dep(
-                F.lower(e["key"]), e["value"], dep_type=s,
-                is_dev=F.lit(s == "devDependencies"), is_optional=F.lit(s == "optionalDependencies"),
-            ),
+    """The four npm sections in fixed order; one row per (section, name).
+
+    JSON object semantics: a repeated key keeps its first position and its last value.  The text is read
+    once (``d``); only a section that repeats a key is sorted: by (key, position), where the first of a
+    run of equal keys gives the position and the last the value.
+    """
+    schema = ", ".join(f"{s}: map<string, string>" for s in NPM_SECTIONS)
+
+    def section(s: str) -> str:
+        m = f"coalesce(d.{s}, CAST(map() AS map<string, string>))"
+        by_key = f"array_sort(transform(map_entries({m}), (x, i) -> struct(x.key AS key, i AS pos, x.value AS value)))"
+        runs = (
+            f"transform(array({by_key}), r -> array_sort(zip_with("
+            "filter(r, (x, i) -> i = 0 OR x.key <> get(r, i - 1).key), "
+            "filter(r, (x, i) -> i = size(r) - 1 OR x.key <> get(r, i + 1).key), "
+            "(f, l) -> struct(f.pos AS pos, f.key AS key, l.value AS value))))[0]"
+        )
+        dep = (
+            "struct(lower(e.key) AS name, e.value AS version, "
+            f"'{s}' AS dep_type, CAST(NULL AS STRING) AS scope, {str(s == 'devDependencies').lower()} AS is_dev, "
+            f"{str(s == 'optionalDependencies').lower()} AS is_optional)"
+        )
+        return (
+            f"if(size(array_distinct(map_keys({m}))) = size(map_keys({m})), "
+            f"transform(map_entries({m}), e -> {dep}), transform({runs}, e -> {dep}))"
         )
 
-    per_section = [section_rows(s) for s in NPM_SECTIONS]
-    deps = F.when(doc.isNotNull(), F.concat(*per_section)).otherwise(F.array().cast(f"array<{_DEP_STRUCT}>"))
+    found = f"concat({', '.join(map(section, NPM_SECTIONS))})"
+    deps = F.expr(
+        f"transform(array(from_json(content, 'struct<{schema}>')), "
+        f"d -> if(d IS NULL, CAST(array() AS array<{_DEP_STRUCT}>), {found}))[0]"
+    )
     return _explode_deps(manifests, deps)
 
 
