@@ -17,7 +17,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from fleetaudit.plans.catalog import QUERIES  # noqa: E402
-from fleetaudit.session import local_session  # noqa: E402
+from fleetaudit.session import clear_written, local_session  # noqa: E402
 
 HEADLINE = [
     "parse_requirements",
@@ -58,7 +58,8 @@ def main() -> None:
         t0 = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
-        spark.catalog.clearCache()  # each query's caches are its own
+        spark.catalog.clearCache()  # each query's caches and intermediate tables are its own
+        clear_written(spark)
         print(f"# {name}: {times[name]}s", file=sys.stderr, flush=True)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
