@@ -311,16 +311,10 @@ def _strong(e: DataFrame) -> list[DataFrame]:
         color = _colored(e)
         src = color.select(F.col("id").alias("src"), F.col("color").alias("c"))
         dst = color.select(F.col("id").alias("dst"), F.col("color").alias("c"))
-        inside = written(e.join(src, "src").join(dst, ["dst", "c"]).select("src", "dst", "c"), "inside")
-        heads = inside.filter(F.col("src") == F.col("c")).select(F.col("src").alias("id"), F.col("c").alias("color")).distinct()
-        met = written(heads, "met")
-        frontier = met
-        while not frontier.isEmpty():
-            back = inside.join(frontier.select(F.col("id").alias("dst")), "dst", "left_semi")
-            step = back.select(F.col("src").alias("id"), F.col("c").alias("color")).distinct()
-            frontier = written(step.join(met, "id", "left_anti"), "frontier")
-            met = met.unionByName(frontier)
-        met = written(met, "component")
+        inside = written(e.join(src, "src").join(dst, ["dst", "c"]).select("src", "dst"), "inside")
+        # a color's own package has the greatest number in its color: who takes it backwards reaches it
+        back = _colored(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        met = written(back.join(color, ["id", "color"]), "component")
         # a head alone in its component is on no cycle
         several = met.groupBy("color").agg(F.count("*").alias("n")).filter("n > 1")
         found.append(met.join(several, "color", "left_semi"))
@@ -329,8 +323,7 @@ def _strong(e: DataFrame) -> list[DataFrame]:
             inside.join(gone.withColumnRenamed("id", "src"), "src", "left_anti")
             .join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
         )
-        # heads without an edge inside their color have no row in ``inside``: they fall out by trimming
-        e = _trimmed(rest.select("src", "dst"))
+        e = _trimmed(rest)
     return found
 
 
@@ -348,20 +341,23 @@ def _trimmed(e: DataFrame) -> DataFrame:
 
 
 def _colored(e: DataFrame) -> DataFrame:
-    """(id, color): the greatest id among a package and all that reach it; only changed colors travel."""
+    """(id, color): the greatest id among a package and all that reach it.
+
+    A round hands changed colors along the edges, then each package takes the color of its color (what
+    reaches that reaches it, too), so long paths take few rounds.
+    """
     ends = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
-    color = written(ends.select("id", F.col("id").alias("color")), "colors")
-    changed = color
+    color = written(ends.select("id", F.col("id").alias("color"), F.lit(-1).cast("long").alias("old")), "colors")
     while True:
-        sent = e.join(changed.select(F.col("id").alias("src"), "color"), "src")
-        best = sent.groupBy(F.col("dst").alias("id")).agg(F.max("color").alias("best"))
-        changed = written(
-            color.join(best, "id").filter(F.col("best") > F.col("color")).select("id", F.col("best").alias("color")), "changed"
-        )
+        changed = color.filter("color > old").select(F.col("id").alias("src"), "color")
         if changed.isEmpty():
-            return color
-        newer = changed.withColumnRenamed("color", "newer")
-        color = written(color.join(newer, "id", "left").select("id", F.coalesce("newer", "color").alias("color")), "colors")
+            return color.select("id", "color")
+        best = e.join(changed, "src").groupBy(F.col("dst").alias("id")).agg(F.max("color").alias("best"))
+        handed = written(
+            color.join(best, "id", "left").select("id", F.greatest("color", "best").alias("color"), F.col("color").alias("old")), "handed"
+        )
+        heads = handed.select(F.col("id").alias("color"), F.col("color").alias("head"))
+        color = written(handed.join(heads, "color").select("id", F.greatest("color", "head").alias("color"), "old"), "colors")
 
 
 def _inner_edges(edges: DataFrame) -> DataFrame:
