@@ -142,7 +142,8 @@ def drop_recurring_lines(
         .agg(F.sort_array(F.collect_list("pos")).alias("_dropped")),
         "drops",
     )
-    joined = docs.withColumn("_tk", text_key(text)).join(drops, "_tk", "left").drop("_tk")
+    # the drops grow with the documents: merged at every size, never broadcast
+    joined = docs.withColumn("_tk", text_key(text)).join(drops.hint("merge"), "_tk", "left").drop("_tk")
     lines = F.split(F.col(text), "\n")
     # kept runs lie between neighbouring dropped lines; -1 and the line count close both ends
     cuts = F.concat(F.array(F.lit(-1)), F.col("_dropped"), F.array(F.size("_lines")))
@@ -171,7 +172,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Columns travel in one struct, so that none clashes with a helper column."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    """The other columns travel in one struct, so that none clashes with a helper column."""
+    packed = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
     out = drop_recurring_lines(packed)
     return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
