@@ -2,8 +2,8 @@
 
 Landed feeds written from the tables and read back (S9–S12, S14), built-in lookups (S13), popular
 groups (S8, U3), scoped names (P4), repeated declarations (W1), rare version ranges (F9, J1), neighbours
-and added edges (G3, G4), user patterns (X1), a plugged scanner with scans switched off (X2, P9) and the
-report's secret rows (P7).
+and added edges (G3, G4), user patterns (X1), a plugged scanner with scans switched off (X2, P9), the
+report's secret rows (P7) and alert streams with late and repeated rows, stopped and resumed (T3, T4).
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from fleetaudit.plans import graph, oracle as O, scan
 from fleetaudit.session import scratch_dir
 from fleetaudit.sources import feeds, manifests
 from fleetaudit.sources.testdata import TestData
+from fleetaudit.streaming import arrivals
 
 
 def _landed(df: DataFrame, name: str) -> str:
@@ -372,6 +373,83 @@ def pom_forms(spark, sf_dir):
         "project_id", "ecosystem", "pos", "name", "version", "dep_type", "scope", "is_dev", "is_optional")
 
 
+# ------------------------------------------------------------------ streams
+def _arrivals(spark, sf_dir) -> list[DataFrame]:
+    """``events`` in five arrivals: eight days each, one event in 11 an arrival late, one in 13 again an arrival later."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    turn = F.least(F.lit(3), F.floor((F.dayofmonth("ts") - 1) / 8))
+    first = events.withColumn("arrival", turn + (F.col("event_id") % 11 == 3).cast("int"))
+    again = events.where("event_id % 13 = 5").withColumn("arrival", turn + 1)
+    every = first.unionByName(again)
+    return [every.where(F.col("arrival") == k).drop("arrival") for k in range(5)]
+
+
+def _streamed(spark, sf_dir, job) -> DataFrame:
+    """``job`` over three arrivals, stopped, and resumed after the other two."""
+    landing, out = arrivals.scratch_dir(spark, "arrivals"), arrivals.scratch_dir(spark, "resumed")
+    for k, arrival in enumerate(_arrivals(spark, sf_dir)):
+        arrivals.land_events(spark, arrival, landing)
+        if k == 2:
+            job(spark, landing, out)
+    return job(spark, landing, out)
+
+
+def stream_late_windows(spark, sf_dir):
+    """Sliding windows, late events apart."""
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    out = _streamed(spark, sf_dir, arrivals.sliding_alert_counts)
+    return out.select(text("window_start"), text("window_end"), "category", "n_alerts", "n_late")
+
+
+def stream_idle_projects(spark, sf_dir):
+    """T4: closed episodes of projects."""
+    out = _streamed(spark, sf_dir, arrivals.project_episodes)
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return out.select("project_id", text("first_ts"), text("last_ts"), *arrivals.COUNTS, "security_score", "band")
+
+
+_ARRIVED = """
+WITH ev AS (
+  SELECT event_id, ts, user_id AS project_id, CAST(floor((day(ts) - 1) / 8) AS INTEGER) AS eighth,
+    CASE event_type WHEN 'error' THEN 'vulnerabilities' WHEN 'signup' THEN 'dep_confusion'
+      WHEN 'click' THEN 'typosquatting' WHEN 'view' THEN 'pipeline' WHEN 'purchase' THEN 'versions' END AS category,
+    CASE event_type WHEN 'error' THEN 'HIGH' WHEN 'signup' THEN 'CRITICAL' WHEN 'purchase' THEN 'LOW' ELSE 'MEDIUM' END AS severity
+  FROM events),
+arr AS (
+  SELECT *, least(3, eighth) + CASE WHEN event_id % 11 = 3 THEN 1 ELSE 0 END AS arrival FROM ev
+  UNION ALL SELECT *, least(3, eighth) + 1 FROM ev WHERE event_id % 13 = 5),
+seen AS (SELECT k.arrival, max(a.ts) AS newest FROM (SELECT DISTINCT arrival FROM arr) k JOIN arr a ON a.arrival < k.arrival GROUP BY 1),
+judged AS (
+  SELECT a.event_id, a.ts, a.project_id, a.category, a.severity, coalesce(a.ts < s.newest - INTERVAL 1 HOUR, false) AS late
+  FROM arr a LEFT JOIN seen s ON s.arrival = a.arrival),
+once AS (SELECT event_id, ts, project_id, category, severity, bool_and(late) AS late FROM judged GROUP BY ALL)"""
+
+STREAM_LATE_WINDOWS = _ARRIVED + """,
+slid AS (
+  SELECT *, time_bucket(INTERVAL 30 MINUTE, ts) AS w FROM once
+  UNION ALL SELECT *, time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE FROM once)
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(w + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, category,
+  CAST(count_if(NOT late) AS BIGINT) AS n_alerts, CAST(count_if(late) AS BIGINT) AS n_late
+FROM slid GROUP BY ALL"""
+
+STREAM_IDLE_PROJECTS = _ARRIVED + """,
+gaps AS (
+  SELECT *, CASE WHEN ts - lag(ts) OVER p < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS opens
+  FROM once WHERE NOT late WINDOW p AS (PARTITION BY project_id ORDER BY ts, event_id)),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY project_id ORDER BY ts, event_id) AS episode FROM gaps),
+closed AS (
+  SELECT project_id, min(ts) AS first_ts, max(ts) AS last_ts, CAST(count_if(severity = 'CRITICAL') AS BIGINT) AS n_critical,
+    CAST(count_if(severity = 'HIGH') AS BIGINT) AS n_high, CAST(count_if(severity = 'MEDIUM') AS BIGINT) AS n_medium,
+    CAST(count_if(severity = 'LOW') AS BIGINT) AS n_low
+  FROM numbered GROUP BY project_id, episode
+  HAVING max(ts) + INTERVAL 12 HOUR < (SELECT max(ts) - INTERVAL 1 HOUR FROM judged WHERE NOT late)),
+scored AS (SELECT *, CAST(greatest(0, 100 - 15 * n_critical - 8 * n_high - 3 * n_medium - n_low) AS INTEGER) AS security_score FROM closed)
+SELECT project_id, strftime(first_ts, '%Y-%m-%d %H:%M:%S.%f') AS first_ts, strftime(last_ts, '%Y-%m-%d %H:%M:%S.%f') AS last_ts,
+  n_critical, n_high, n_medium, n_low, security_score,
+  CASE WHEN security_score >= 80 THEN 'SECURE' WHEN security_score >= 50 THEN 'WARNING' ELSE 'VULNERABLE' END AS band
+FROM scored"""
+
+
 QUERIES = {
     "pom_forms": pom_forms,
     "feed_advisories": feed_advisories,
@@ -388,6 +466,8 @@ QUERIES = {
     "user_patterns": user_patterns,
     "plugged_scanner": plugged_scanner,
     "secret_report": secret_report,
+    "stream_late_windows": stream_late_windows,
+    "stream_idle_projects": stream_idle_projects,
 }
 
 
@@ -406,6 +486,8 @@ def sql() -> dict[str, str]:
         "redeclared": REDECLARED,
         "rare_ranges": _rare_sql(),
         "neighbours": NEIGHBOURS,
+        "stream_late_windows": STREAM_LATE_WINDOWS,
+        "stream_idle_projects": STREAM_IDLE_PROJECTS,
         "user_patterns": f"""
 SELECT pattern_name, severity, count(*) AS n FROM ({O.pipeline_sql()}) GROUP BY ALL
 UNION ALL
