@@ -1,20 +1,29 @@
 """Secret scans: fixed patterns and a randomness test battery.
 
 The base kinds (assign, access, hex) are regular expressions.  Other tokens of
-20 and more characters with at least two classes of characters are candidates:
-the encoding is inferred from the characters (upper-case hex, base32, base36,
-base62, base64, base64url), and three tests ask whether the symbols look drawn
-at random from its alphabet: chi-squared uniformity, the runs test above and
-below the alphabet's middle, and the lag-1 serial correlation.  A token's p-value
-is the Bonferroni combination of the three.
-
-Per class (encoding and length class) over the whole corpus, the
-Benjamini-Hochberg procedure at level ``q`` rejects the randomness of tokens.
-Candidates whose randomness is not rejected are secrets.  The level is the same
-for all lengths: about ``q`` of the truly random tokens are missed at most, and
-short tokens, whose tests have little power, rather stay secrets.  The procedure
-runs on counts per class and binned p-value, which are few however large the
-corpus is.
+``LEAST`` and more characters with at least two classes of characters (lower case,
+upper case, digits) are candidates; shorter tokens leave the tests no power.  The
+encoding is inferred from the characters (upper-case hex, base32, base36, base62,
+base64, base64url), and four tests ask whether the symbols look drawn at random
+from its alphabet: chi-squared uniformity over the symbols, and over the classes of
+characters, which sees short identifiers; the runs test above and below the
+alphabet's middle; and the lag-1 serial correlation.  A token's p-value is the
+Bonferroni combination of the four.
+
+Per class (encoding and length class) over the whole corpus, two limits on p hold, and
+a candidate above both is a secret.
+
+* Missed keys: randomness is rejected at level ``q`` for a token by itself, so at most
+  ``q`` of the truly random ones are lost here.
+* False secrets: of the tokens above the limit, the share that is not random must be
+  ``q`` or less as estimated.  Random tokens have p = 1 with a known frequency, so the
+  tokens with p = 1 tell how many random ones lie above any limit; what lies there
+  beyond them is not random.  Short classes, whose tests are weak, so get a higher limit.
+
+Both run on counts of distinct tokens per class and binned p-value, which are few
+however large the corpus is.  A token counts once however often it occurs, so copies of a
+document that holds a key do not make the key look ordinary; an identifier that passes
+the tests is reported wherever it stands.
 
 A token with slashes may be a path, so its long segments are candidates too; a
 segment is left out where the whole token is a secret.
@@ -33,6 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,8 +54,9 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{16,}")  # maximal runs, as [0-9a-f]+ finds them, of 16 or more
 KINDS = ["assign", "access", "hex", "random"]
 
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
-SEGMENT = re.compile(r"[A-Za-z0-9+_-]{20,}={0,2}")  # of a path
+LEAST = 20
+TOKEN = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}")
+SEGMENT = re.compile(rf"[A-Za-z0-9+_-]{{{LEAST},}}={{0,2}}")  # of a path
 LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Encodings from the smallest alphabet up; the first that holds all characters is taken.
 ALPHABETS = {
@@ -58,19 +69,28 @@ ALPHABETS = {
     "base64url": UPPER + LOWER + DIGIT + "-_",
 }
 P_BINS = 10_000
+TESTS = 4
 
 
 def _tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def p_random(values: list[int], k: int) -> float:
-    """p-value of the hypothesis that ``values`` are independent and uniform over 0..k-1."""
-    x, n = np.array(values), len(values)
-    # chi-squared by the Wilson-Hilferty approximation
-    chi = float(((np.bincount(x, minlength=k) - n / k) ** 2).sum() * k / n)
-    d = k - 1
-    p_chi = _tail(((chi / d) ** (1 / 3) - (1 - 2 / (9 * d))) / math.sqrt(2 / (9 * d)))
+def _p_chi(chi: float, d: int) -> float:
+    """Upper tail of chi-squared with ``d`` degrees of freedom, by the Wilson-Hilferty approximation."""
+    return _tail(((chi / d) ** (1 / 3) - (1 - 2 / (9 * d))) / math.sqrt(2 / (9 * d)))
+
+
+def p_random(token: str, alphabet: str) -> float:
+    """p-value of the hypothesis that the characters of ``token`` are independent and uniform over ``alphabet``."""
+    k, n = len(alphabet), len(token)
+    x = np.array([alphabet.index(c) for c in token])
+    p_chi = _p_chi(float(((np.bincount(x, minlength=k) - n / k) ** 2).sum() * k / n), k - 1)
+    sizes = np.array([sum(c in part for c in alphabet) for part in (LOWER, UPPER, DIGIT)])
+    seen = np.array([sum(c in part for c in token) for part in (LOWER, UPPER, DIGIT)])
+    sizes, seen = np.append(sizes, k - sizes.sum()), np.append(seen, n - seen.sum())
+    seen, expected = seen[sizes > 0], sizes[sizes > 0] * n / k
+    p_class = _p_chi(float(((seen - expected) ** 2 / expected).sum()), len(seen) - 1) if len(seen) > 1 else 1.0
     # runs above and below the middle of the alphabet
     high = x >= k / 2
     a, b = int(high.sum()), int((~high).sum())
@@ -85,13 +105,13 @@ def p_random(values: list[int], k: int) -> float:
     dev = x - x.mean()
     power = float((dev * dev).sum())
     p_serial = 2 * _tail(abs(float((dev[1:] * dev[:-1]).sum()) / power + 1 / n) * math.sqrt(n)) if power else 0.0
-    return min(1.0, 3 * min(p_chi, p_runs, p_serial))
+    return min(1.0, TESTS * min(p_chi, p_class, p_runs, p_serial))
 
 
 def encoding(token: str) -> str | None:
     """The smallest alphabet that holds the token; None if only one class of characters occurs."""
     chars = set(token)
-    if sum(bool(chars & set(c)) for c in (LOWER, UPPER, DIGIT)) < 2 or not chars & set(DIGIT):
+    if sum(bool(chars & set(c)) for c in (LOWER, UPPER, DIGIT)) < 2:
         return None
     return next((name for name, a in ALPHABETS.items() if chars <= set(a)), None)
 
@@ -117,18 +137,17 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
             name = encoding(token)
             if name is None or any(s < end and start < e for s, _, e in base):
                 continue
-            alphabet = ALPHABETS[name]
-            p = p_random([alphabet.index(c) for c in token], len(alphabet))
-            size = min(4, int(math.log2(len(token) / 20)))
-            out.append({"start": start, "end": end, "encoding": name, "size": size, "p": int(p * P_BINS)})
+            p = p_random(token, ALPHABETS[name])
+            size = min(4, max(0, int(math.log2(len(token) / LEAST))))
+            out.append({"start": start, "end": end, "encoding": name, "size": size, "p": int(p * P_BINS), "token": xxhash.xxh3_64_intdigest(token) - (1 << 63)})
     return out
 
 
 SPAN = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-TRIED = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("size", pa.int32()), ("p", pa.int32())]))
+TRIED = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("size", pa.int32()), ("p", pa.int32()), ("token", pa.int64())]))
 COLUMNS = (
     "base array<struct<start: long, kind: int, end: long>>, base_sha256 string, "
-    "tried array<struct<start: long, end: long, encoding: string, size: int, p: int>>"
+    "tried array<struct<start: long, end: long, encoding: string, size: int, p: int, token: long>>"
 )
 
 
@@ -147,17 +166,33 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def thresholds(tried: DataFrame, q: float = 0.05) -> DataFrame:
-    """(encoding, size, limit): p-value bins up to ``limit`` are rejected as random.  At most 35 rows."""
-    bins = tried.groupBy("encoding", "size", "p").agg(F.count(F.lit(1)).alias("n"))
+def thresholds(tokens: DataFrame, q: float = 0.05) -> DataFrame:
+    """(encoding, size, limit): p-value bins up to ``limit`` are not random.  At most 35 rows.
+
+    With R random tokens in a class, about ``R * (1 - p / TESTS) ** TESTS`` of them lie above p < 1,
+    and ``R * (1 - 1 / TESTS) ** TESTS`` at p = 1.  A class without a token at p = 1 is too small to
+    tell, or holds none that is random; it keeps the limit of level ``q``.
+    """
+    lost = int(q * P_BINS) - 1
+    bins = tokens.groupBy("encoding", "size", F.greatest(F.col("p"), F.lit(lost)).alias("p")).agg(F.count(F.lit(1)).alias("n"))
     of = Window.partitionBy("encoding", "size")
     ranked = bins.select(
         "encoding", "size", "p",
-        F.sum("n").over(of.orderBy("p")).alias("rank"), F.sum("n").over(of).alias("m"),
+        F.sum("n").over(of.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)).alias("above"),
+        F.sum(F.when(F.col("p") >= P_BINS, F.col("n"))).over(of).alias("certain"),
+        F.sum("n").over(of).alias("m"), F.min("p").over(of).alias("least"),
     )
+    share = lambda p: F.pow(1 - p / TESTS, F.lit(TESTS))
+    scale = F.col("certain") / share(F.lit(1.0))
+    clean = F.col("above") - scale * share((F.col("p") + 1) / P_BINS) <= q * F.col("above")
+    whole = F.col("m") - scale * share(F.lit(q)) <= q * F.col("m")  # all that level q leaves
     return (
-        ranked.where((F.col("p") + 1) / P_BINS <= q * F.col("rank") / F.col("m"))
-        .groupBy("encoding", "size").agg(F.max("p").alias("limit"))
+        ranked.groupBy("encoding", "size")
+        .agg(
+            F.min(F.when(clean, F.col("p"))).alias("limit"),
+            F.max((F.col("certain").isNull()) | ((F.col("least") > lost) & whole)).alias("open"),
+        )
+        .select("encoding", "size", F.when(F.col("open"), F.lit(lost)).otherwise(F.col("limit")).cast("int").alias("limit"))
     )
 
 
@@ -166,7 +201,8 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", q: float = 0.05)
     rows = docs.select(F.col(text), *keep)
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
     scanned = written(map_batches(rows, _scan, f"{kind}, {COLUMNS}"), "scanned")
-    limits = thresholds(scanned.select(F.inline("tried")), q).collect()  # a number per class
+    tokens = scanned.select(F.inline("tried")).select("encoding", "size", "p", "token").distinct()
+    limits = thresholds(tokens, q).collect()  # a number per class
     table_of = {f"{r['encoding']}/{r['size']}": r["limit"] for r in limits}
     limit = F.create_map(*[F.lit(x) for kv in (table_of or {"": -1}).items() for x in kv])
     passed = F.filter("tried", lambda t: t["p"] > F.coalesce(

@@ -572,21 +572,35 @@ def test_secret_query_equals_brute_force(spark, tmp_path):
 def test_randomness_tests_separate_keys_from_words():
     rng = random.Random(10)
     alphabet = secrets.ALPHABETS["base62"]
-    keys = [[rng.randrange(62) for _ in range(40)] for _ in range(200)]
-    assert sum(secrets.p_random(k, 62) < 0.05 for k in keys) < 25
-    named = ["getUserName2FromRequestHeaderValueList1", "aaaaaaaaaaBBBBBBBBBB1111111111aaaaaaaaaa", "".join(alphabet[:40])]
-    assert all(secrets.p_random([alphabet.index(c) for c in n], 62) < 0.05 for n in named)
+    keys = ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(200)]
+    assert sum(secrets.p_random(k, alphabet) < 0.05 for k in keys) < 25
+    named = ["getUserName2FromRequestHeaderValueList1", "aaaaaaaaaaBBBBBBBBBB1111111111aaaaaaaaaa", alphabet[:40], "base64EncodedStringLength"]
+    assert all(secrets.p_random(n, alphabet) < 0.05 for n in named)
     assert secrets.encoding("thisisonlylowercase") is None and secrets.encoding("ABC123") == "HEX"
+    assert secrets.encoding("noDigitsButTwoCases") == "base62"
 
 
 def test_false_discovery_thresholds_equal_the_procedure(spark):
+    """The least bin from level q on above which the tokens beyond those that p = 1 promises are q of all, at most."""
     rng = random.Random(12)
-    p = [min(rng.randrange(10_000), rng.randrange(10_000)) // (1 + rng.randrange(30)) for _ in range(300)]
-    df = spark.createDataFrame([("base62", 4, x) for x in p], "encoding string, size int, p int")
-    ranked = sorted(p)
-    want = max((x for i, x in enumerate(ranked) if (x + 1) / 10_000 <= 0.05 * sum(y <= x for y in p) / len(p)), default=None)
-    got = secrets.thresholds(df, 0.05).collect()
-    assert [r["limit"] for r in got] == ([want] if want is not None else [])
+    classes, rows = {}, []
+    for size, (n, other) in enumerate([(400, 300), (400, 0), (40, 400), (3, 0), (0, 30)]):
+        p = [min(10_000, int(40_000 * min(rng.random() for _ in range(4)))) for _ in range(n)]
+        classes[size] = p + [rng.randrange(4_000) for _ in range(other)]
+        rows += [("base62", size, x) for x in classes[size]]
+    got = {r["size"]: r["limit"] for r in secrets.thresholds(
+        spark.createDataFrame(rows, "encoding string, size int, p int"), 0.05).collect()}
+    for size, p in classes.items():
+        certain = sum(x == 10_000 for x in p)
+
+        def clean(limit):
+            above = sum(x > limit for x in p)
+            return above - certain / 0.75**4 * (1 - (limit + 1) / 40_000) ** 4 <= 0.05 * above
+
+        bins = sorted({499, *p}) if certain else [499]
+        want = next((x for x in bins if x >= 499 and x < 10_000 and (not certain or clean(x))), 9_999)
+        assert got[size] == want, size
+    assert got[1] == 499 < got[0] and got[2] > 3_000
 
 
 def test_keys_are_found_among_many_ordinary_tokens(spark):
@@ -604,6 +618,34 @@ def test_keys_are_found_among_many_ordinary_tokens(spark):
     assert hidden in [rows[-1][1][x["start"] : x["end"]] for x in out[5000]]
 
 
+IDENTIFIERS = """base64EncodedStringLength md5ChecksumOfTheContent sha256DigestOfTheMessage http2ConnectionPoolSize
+utf8DecodedCharacterCount user_account_id_2024_backup ipv4AddressOfTheServer getUserName2FromRequest x509CertificateChainPath
+oauth2RefreshInterval_seconds handleOnClickEvent2Wrapper test_case_number_12_of_the_suite vector3DotProductResult
+matrix4x4InverseTranspose isEnabledForVersion12OrLater log4jConfigurationFileName parseIso8601TimestampValue""".split()
+
+
+def test_ordinary_identifiers_are_not_secrets(spark):
+    rng = random.Random(21)
+    keys = ["".join(rng.choice(secrets.ALPHABETS["base62"]) for _ in range(rng.choice((20, 24, 32, 40)))) for _ in range(300)]
+    rows = [(i, " ".join(IDENTIFIERS)) for i in range(50)] + [(1000 + i, f"see {k}") for i, k in enumerate(keys)]
+    rows += [(2000 + i, f"copied {keys[0]}") for i in range(400)]  # copies of a key change nothing
+    out = secrets.scan(frame(spark, rows, "doc_id long, text string"), ["doc_id"]).collect()
+    found = {r["doc_id"] for r in out for x in r["spans"] if x["kind"] == 3}
+    assert sum(1000 <= i < 2000 for i in found) >= 270 and sum(i < 50 for i in found) == 0
+    assert {i >= 2000 for i in found} == {1000 in found, False}
+
+
+def test_limit_rises_where_ordinary_tokens_mix_with_keys(spark):
+    """Tokens that are not random at p up to 0.5: the limit lies where few enough of them are left."""
+    rng = random.Random(22)
+    drawn = [min(1.0, 4 * min(rng.random() for _ in range(4))) for _ in range(3000)]
+    ordinary = [0.5 * rng.random() for _ in range(3000)]
+    df = spark.createDataFrame([("base62", 0, int(p * 10_000)) for p in drawn + ordinary], "encoding string, size int, p int")
+    limit = secrets.thresholds(df, 0.05).collect()[0]["limit"] / 10_000
+    kept = [sum(p > limit for p in part) for part in (drawn, ordinary)]
+    assert 0.35 < limit < 0.55 and kept[1] <= 0.1 * sum(kept) and kept[0] > 1000
+
+
 # --- op9 -------------------------------------------------------------------------------------
 
 
