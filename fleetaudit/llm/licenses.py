@@ -1,24 +1,29 @@
 """License scans by conditional compression.
 
-A candidate block is a line that names a licence cue with the lines around it, up
+Each template has anchors: its longest words (as a rule the rarest; then those in the fewest templates),
+just so many that a text that lacks all of them lacks more than ``MAX_MISSING`` of the
+template.  A candidate block is a line that holds an anchor with the lines around it, up
 to a blank line or as many words as the longest template's window on either side.
-Blocks that meet are judged together, and each counts.  For each template a window of the
-template's number of words (and a quarter more) slides over the block; a window
-that holds enough of the template's words, in any order, is compressed with
-zstandard twice: alone, and with the template as a raw dictionary.  The
-reduction in size, as a share of the size alone, must reach ``MIN_REDUCTION``.
-Windows are confirmed by their exact wording: the words of window and template
-are aligned, and the template is confirmed if at most ``MAX_MISSING`` of its
-words are missing or changed.  The differing words are part of the result.  All
-confirmed spans of a block that do not overlap are returned.
+Blocks that meet are judged together, and each line with an anchor counts.
+
+Every place of an anchor in a block sets a window for the anchor's template: where the
+template would lie, with an eighth of its words more on either side.  The window is
+compressed with zstandard twice: alone, and with the template as a raw dictionary.  The
+reduction in size, as a share of the size alone, must reach ``MIN_REDUCTION``.  The
+windows of all templates are ranked by the bytes saved and, in that order, confirmed by
+their exact wording: the words of window and template are aligned, and at most
+``MAX_MISSING`` of the template's words may be missing or changed.  The differing
+words are part of the result.  A confirmed span stays if it overlaps none that saved
+more.
 
 Templates are a parameter; the default lists short notices and headers of
-common licences.  The scan is one pass without a shuffle; templates are a fixed
+common licences and two short licences whole.  The scan is one pass without a shuffle; templates are a fixed
 small list in the task's code.
 
-Defined cases: null and empty texts have no blocks; of overlapping spans the
-longest stays, then the one with the fewest differences, the higher reduction, the
-first template name; blocks whose templates are not confirmed count as
+Defined cases: null and empty texts have no blocks; of overlapping spans that saved
+equally the one with the fewest differences stays, then the earlier, the first template
+name; a template without a word, or of one so short that the dictionary saves too
+little, is never found; blocks whose templates are not confirmed count as
 candidates only; repeated rows give repeated rows; extra columns are not read.
 """
 
@@ -55,6 +60,28 @@ TEMPLATES = {
         "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
         "copies of the Software, and to permit persons to whom the Software is furnished to do so"
     ),
+    "MIT-text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+        'associated documentation files (the "Software"), to deal in the Software without restriction, including '
+        "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+        "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+        "following conditions: The above copyright notice and this permission notice shall be included in all "
+        "copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO "
+        "EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER "
+        "IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR "
+        "THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "ISC-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE '
+        "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE "
+        "FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS "
+        "OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING "
+        "OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-header": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
@@ -73,7 +100,6 @@ TEMPLATES = {
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related rights to this work.",
     "all-rights-reserved": "All rights reserved.",
 }
-CUES = (b"licen", b"copyright", b"rights reserved", b"permission is hereby", b"redistribution and use")
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 LEVEL = 3
 MIN_REDUCTION = 0.25
@@ -94,22 +120,45 @@ def apart(spans: list[dict]) -> list[dict]:
     return out
 
 
+def anchors(said: list[str], shared: Counter) -> dict[str, list[int]]:
+    """The longest words with their places in the template, one place more than may be missing."""
+    places: dict[str, list[int]] = {}
+    for i, w in enumerate(said):
+        places.setdefault(w, []).append(i)
+    out: dict[str, list[int]] = {}
+    left = int(MAX_MISSING * len(said)) + 1
+    for w in sorted(places, key=lambda w: (-len(w), shared[w], w)):
+        if left <= 0:
+            break
+        out[w] = places[w]
+        left -= len(places[w])
+    return out
+
+
 class Scanner:
-    """Templates with their compressors and words."""
+    """Templates with their compressors, words and anchors."""
 
     def __init__(self, templates: dict[str, str]):
         self.alone = zstandard.ZstdCompressor(level=LEVEL)
+        told = [(name, said.lower(), WORD.findall(said.lower())) for name, said in sorted(templates.items())]
+        shared = Counter(w for _, _, said in told for w in set(said))
         self.known = []
-        for name, said in sorted(templates.items()):
-            raw = zstandard.ZstdCompressionDict(said.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.known.append((name, zstandard.ZstdCompressor(level=LEVEL, dict_data=raw), WORD.findall(said.lower())))
-        self.longest = max((len(w) for _, _, w in self.known), default=0)
+        for name, text, said in told:
+            if said:
+                raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                self.known.append((name, zstandard.ZstdCompressor(level=LEVEL, dict_data=raw), said, anchors(said, shared)))
+        self.longest = max((len(w) for _, _, w, _ in self.known), default=0)
+        every = {w for *_, marks in self.known for w in marks}
+        self.cues = sorted(w for w in every if not any(v != w and v in w for v in every))  # those inside others tell enough
+
+    def told(self, text: str) -> bool:
+        return any(w in text for w in self.cues)
 
     def blocks(self, text: str) -> tuple[int, list[tuple[int, int]]]:
-        """(number of lines with a cue, (start, end) of the blocks around them, merged where they meet)."""
+        """(number of lines with an anchor, (start, end) of the blocks around them, merged where they meet)."""
         lines = text.split("\n")
         at = [0, *accumulate(len(x) + 1 for x in lines)]
-        cues = [i for i, x in enumerate(lines) if any(c in x.lower().encode() for c in CUES)]
+        cues = [i for i, x in enumerate(lines) if self.told(x.lower())]
         reach = self.longest * 5 // 4 + 2
 
         def beyond(i: int, step: int) -> int:
@@ -128,66 +177,53 @@ class Scanner:
                 out.append((first, last))
         return len(cues), out
 
-    def starts(self, said: list[str], here: list[str]) -> list[int]:
-        """Word numbers where a window holds enough of the template's words to be confirmed, and begins with one."""
-        need = Counter(said)
-        least = len(said) - int(MAX_MISSING * len(said))
-        width = len(said) * 5 // 4 + 2
-        have: Counter = Counter()
-        hits, out = 0, []
-        for i in range(-width + 1, len(here)):
-            if i > 0 and here[i - 1] in need:
-                w = here[i - 1]
-                hits -= have[w] <= need[w]
-                have[w] -= 1
-            if i + width - 1 < len(here) and here[i + width - 1] in need:
-                w = here[i + width - 1]
-                have[w] += 1
-                hits += have[w] <= need[w]
-            if i >= 0 and hits >= least and here[i] in need:
-                out.append(i)
-        return out
+    def windows(self, here: list[str], said: list[str], marks: dict[str, list[int]], places: dict[str, list[int]]) -> set[tuple[int, int]]:
+        """(first, end) word numbers of the windows where the template would lie by one of its anchors."""
+        slack = len(said) // 8 + 1
+        starts = {j - i for w, own in marks.items() for j in places.get(w, ()) for i in own}
+        return {(max(0, x - slack), min(len(here), x + len(said) + slack)) for x in starts}
 
     def judge(self, block: str) -> list[dict]:
         """Confirmed templates of one block in order, with offsets in the block."""
         words = list(WORD.finditer(block))
         here = [m[0].lower() for m in words]
+        places: dict[str, list[int]] = {}
+        for j, w in enumerate(here):
+            places.setdefault(w, []).append(j)
+        ranked, alone = [], {}
+        for name, packer, said, marks in self.known:
+            for first, end in self.windows(here, said, marks, places):
+                if (first, end) not in alone:
+                    part = block[words[first].start() : words[end - 1].end()].lower().encode()
+                    alone[first, end] = (part, len(self.alone.compress(part)))
+                part, size = alone[first, end]
+                saved = size - len(packer.compress(part))
+                if saved >= MIN_REDUCTION * size:
+                    ranked.append((-saved, first, end, name, said, saved / size))
         confirmed = []
-        for name, packer, said in self.known:
-            mine = []
-            for at in self.starts(said, here) if said else ():
-                cut = words[at : at + len(said) * 5 // 4 + 2]
-                part = block[cut[0].start() : cut[-1].end()].lower().encode()
-                size = len(self.alone.compress(part))
-                gain = (size - len(packer.compress(part))) / size
-                if gain < MIN_REDUCTION:
-                    continue
-                seen_words = here[at : at + len(cut)]
-                same = [m for m in SequenceMatcher(None, said, seen_words, autojunk=False).get_matching_blocks() if m.size]
-                missing = len(said) - sum(m.size for m in same)
-                if not same or missing > MAX_MISSING * len(said):
-                    continue
-                first, last = same[0].b, same[-1].b + same[-1].size - 1
-                kept = {i for m in same for i in range(m.a, m.a + m.size)}
-                seen = {i for m in same for i in range(m.b, m.b + m.size)}
-                mine.append({
-                    "template": name, "start": cut[first].start(), "end": cut[last].end(), "reduction": round(gain, 6),
-                    "missing": [w for i, w in enumerate(said) if i not in kept],
-                    "added": [seen_words[i] for i in range(first, last + 1) if i not in seen],
-                })
-            # of windows on one place the one with the fullest wording
-            mine.sort(key=lambda r: (len(r["missing"]), len(r["added"]), -r["reduction"], r["start"]))
-            confirmed += apart(mine)
-        confirmed.sort(key=lambda r: (
-            r["start"] - r["end"], len(r["missing"]) + len(r["added"]), -r["reduction"], r["template"]
+        for saved, first, end, name, said, gain in sorted(ranked):
+            cut, seen_words = words[first:end], here[first:end]
+            same = [m for m in SequenceMatcher(None, said, seen_words, autojunk=False).get_matching_blocks() if m.size]
+            missing = len(said) - sum(m.size for m in same)
+            if not same or missing > MAX_MISSING * len(said):
+                continue
+            low, high = same[0].b, same[-1].b + same[-1].size - 1
+            kept = {i for m in same for i in range(m.a, m.a + m.size)}
+            seen = {i for m in same for i in range(m.b, m.b + m.size)}
+            confirmed.append((saved, {
+                "template": name, "start": cut[low].start(), "end": cut[high].end(), "reduction": round(gain, 6),
+                "missing": [w for i, w in enumerate(said) if i not in kept],
+                "added": [seen_words[i] for i in range(low, high + 1) if i not in seen],
+            }))
+        confirmed.sort(key=lambda x: (
+            x[0], len(x[1]["missing"]) + len(x[1]["added"]), x[1]["start"], x[1]["end"], x[1]["template"]
         ))
-        return sorted(apart(confirmed), key=lambda r: r["start"])
+        return sorted(apart([r for _, r in confirmed]), key=lambda r: r["start"])
 
     def scan(self, text: str | None) -> tuple[int, list[dict]]:
         """(number of candidate blocks, confirmed licences with offsets in the text)."""
         text = text or ""
-        low = text.encode().lower()
-        if not any(c in low for c in CUES):
+        if not self.told(text.lower()):
             return 0, []
         n, blocks = self.blocks(text)
         found = [

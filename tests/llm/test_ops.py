@@ -91,7 +91,7 @@ def words_of(text):
 def test_license_scan_finds_wording_and_differences(spark):
     said = "Intro words.\nThis work is licensed under the GNU General Public License, version 3.\nMore."
     changed = "this work was licensed under the GNU General Public Licence, version 3."
-    rows = [(1, said), (2, changed), (3, "My driving licence got lost in the sea."), (4, None), (5, ""),
+    rows = [(1, said), (2, changed), (3, "My driving license got lost in the sea."), (4, None), (5, ""),
             (6, licenses.TEMPLATES["MIT-permission"].replace(" of ", " of\n")), (7, "Released under the MIT License.\n" * 3), (1, said)]
     out = licenses.scan(frame(spark, rows, "doc_id long, text string"), ["doc_id"]).collect()
     by = {r["doc_id"]: r for r in out}
@@ -139,10 +139,56 @@ def test_wrapped_license_header_is_found_from_its_first_line():
     said = licenses.TEMPLATES["GPL-header"].replace("modify it", "modify\nit").replace("Free Software Foundation, ", "Free Software\nFoundation, ")
     text = f"Some words before.\n\n{said}\n\nAnd after."
     n, found = licenses.Scanner(licenses.TEMPLATES).scan(text)
-    assert n == 2 and [r["template"] for r in found] == ["GPL-header"]
+    assert n == 3 and [r["template"] for r in found] == ["GPL-header"]
     assert text[found[0]["start"] : found[0]["end"]] + "." == said and not found[0]["missing"] and not found[0]["added"]
 
 
+def test_license_ranks_by_bytes_saved_not_by_length():
+    """The text is nine words of ``exact`` in a longer passage that ``loose`` holds with a fifth of it changed."""
+    text = "an extraordinarily old barn stood behind incomprehensible quiet hills of northern ox"
+    templates = {
+        "loose": "an very old barn stood behind many quiet hills of northern ox",
+        "exact": "extraordinarily old barn stood behind incomprehensible quiet hills of northern",
+    }
+    for told in (templates, {"a": templates["exact"], "b": templates["loose"]}):
+        found = licenses.Scanner(told).scan(text)[1]
+        assert [told[r["template"]] for r in found] == [templates["exact"]] and not found[0]["missing"]
+    assert licenses.Scanner({"loose": templates["loose"]}).scan(text)[1][0]["missing"] == ["very", "many"]
+
+
+def test_license_templates_bring_their_own_anchors():
+    told = {"own": "Zorp quux flim dran", "none": "...", "empty": ""}
+    assert [r["template"] for r in licenses.Scanner(told).scan("It says zorp quux flim dran.")[1]] == ["own"]
+    assert licenses.Scanner({}).scan("Released under the MIT License.") == (0, [])
+    whole = licenses.TEMPLATES["MIT-text"]
+    found = licenses.Scanner(licenses.TEMPLATES).scan(f"My tool.\n\n{whole}\n\nThe end.")[1]
+    assert [(r["template"], r["missing"], r["added"]) for r in found] == [("MIT-text", [], [])]
+
+
+@pytest.mark.parametrize("name", ["GPL-3.0", "BSD-redistribution", "GPL-header", "CC-BY-SA-4.0"])
+def test_license_anchors_lose_no_window(name):
+    """Notices with words dropped, changed and added, against windows at every place of the text."""
+    rng, said = random.Random(name), licenses.TEMPLATES[name]
+    scanner, tokens = licenses.Scanner({name: said}), licenses.WORD.findall(said.lower())
+    pack = licenses.zstandard.ZstdCompressionDict(said.lower().encode(), dict_type=licenses.zstandard.DICT_TYPE_RAWCONTENT)
+    size = lambda x, **more: len(licenses.zstandard.ZstdCompressor(level=3, **more).compress(x))
+    slack, seen = len(tokens) // 8 + 1, Counter()
+    for _ in range(40):
+        share = rng.choice((0.1, 0.2, 0.3))
+        words = [rng.choice(SYLLABLES) if rng.random() < share else w for w in said.split()]
+        text = f"{rng.choice(SYLLABLES)} {' '.join(words)} {' '.join(rng.choice(SYLLABLES) for _ in range(9))}"
+        here, found = licenses.WORD.findall(text.lower()), False
+        for at in range(-len(tokens) - slack, len(here)):
+            part = here[max(0, at - slack) : max(0, at + len(tokens) + slack)]
+            same = sum(m.size for m in licenses.SequenceMatcher(None, tokens, part, autojunk=False).get_matching_blocks())
+            raw = " ".join(part).encode()
+            if part and 5 * (len(tokens) - same) <= len(tokens) and size(raw, dict_data=pack) <= 0.75 * size(raw):
+                found = True
+        assert bool(scanner.scan(text)[1]) == found
+        seen[found] += 1
+    assert len(seen) == 2
+
+
 # --- op2 -------------------------------------------------------------------------------------
 
 
