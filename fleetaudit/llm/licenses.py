@@ -13,8 +13,9 @@ reduction in size, as a share of the size alone, must reach ``MIN_REDUCTION``.
 windows of all templates are ranked by the bytes saved and, in that order, confirmed by
 their exact wording: the words of window and template are aligned, and at most
 ``MAX_MISSING`` of the template's words may be missing or changed.  The differing
-words are part of the result.  A confirmed span stays if it overlaps none that saved
-more.
+words are part of the result.  Of a template's windows on one place the one with the
+fullest wording stands, and a confirmed span stays if it overlaps none of another
+template that saved more.
 
 Templates are a parameter; the default lists short notices and headers of
 common licences and two short licences whole.  The scan is one pass without a shuffle; templates are a fixed
@@ -215,10 +216,16 @@ class Scanner:
                 "missing": [w for i, w in enumerate(said) if i not in kept],
                 "added": [seen_words[i] for i in range(low, high + 1) if i not in seen],
             }))
-        confirmed.sort(key=lambda x: (
+        # of one template's windows on one place the one with the fullest wording
+        confirmed.sort(key=lambda x: (len(x[1]["missing"]), len(x[1]["added"]), x[0], x[1]["start"], x[1]["end"]))
+        best = []
+        for name, *_ in self.known:
+            saved_by = {id(r): saved for saved, r in confirmed if r["template"] == name}
+            best += [(saved_by[id(r)], r) for r in apart([r for _, r in confirmed if r["template"] == name])]
+        best.sort(key=lambda x: (
             x[0], len(x[1]["missing"]) + len(x[1]["added"]), x[1]["start"], x[1]["end"], x[1]["template"]
         ))
-        return sorted(apart([r for _, r in confirmed]), key=lambda r: r["start"])
+        return sorted(apart([r for _, r in best]), key=lambda r: r["start"])
 
     def scan(self, text: str | None) -> tuple[int, list[dict]]:
         """(number of candidate blocks, confirmed licences with offsets in the text)."""
