@@ -9,18 +9,19 @@ are copies.  Neighbouring copies of a text form a span, and spans of
 ``min_words`` or more words are removed, with their offsets in the original
 text kept.
 
-``repeats`` (the query) does so for all three units in one pass: every copied line
-and paragraph goes, however short, and sentence runs of ``min_words`` or more
+``repeats`` does so for all three units in one pass: every copied line and
+paragraph goes, however short, and sentence runs of ``min_words`` or more
 words go from inside lines; spans that meet are one.  Lines and paragraphs are
-whole sentences, so spans are counted in sentences.
+whole sentences, so spans are counted in sentences.  ``deduplicated`` cuts the spans out.
 
 Digests of one occurrence leave after a count; the rest is joined to its group's
 first occurrence.  The units are a written table, so row numbers are stable.
 
 Defined cases: null and empty texts have no units; repeated rows are copies of
 the first of them; units without a word character are not hashed and do not
-break a span; an empty table gives no rows; extra columns pass through
-``without_spans``.
+break a span; an empty table gives no rows; ids may be null or repeat, as spans
+belong to numbered rows; other columns pass through ``deduplicated``, which
+adds ``removed`` (in the place of a column of that name).
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, replaced, sliced, table, written
+from .common import map_batches, sliced, table, written
 
 MIN_WORDS = 50
 CAPITAL = "A-ZÀ-ÖØ-ÞΑ-ΩА-Я"
@@ -61,63 +62,6 @@ def units_of(text: str | None, unit: str) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _unit_rows(unit: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
-            texts = b.column(0).to_pylist()
-            for at in range(0, len(texts), 500):
-                rows, cols = [], ([], [], [], [], [])
-                for i, t in enumerate(texts[at : at + 500], at):
-                    found = units_of(t, unit)
-                    rows += [i] * len(found)
-                    cols[0].extend(range(len(found)))
-                    for c, x in zip(cols[1:], zip(*found)):
-                        c.extend(x)
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.take(pa.array(rows, pa.int32())) for c in b.columns[1:]),
-                     *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())))],
-                    names=[*b.schema.names[1:], "ord", "start", "end", "words", "digest"],
-                )
-
-    return run
-
-
-def copied_spans(
-    docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text",
-) -> DataFrame:
-    """(row, id, start, end, n_words, n_units, first_id) of the spans to remove, in code points of the original text."""
-    rows = docs.select(F.col(text), F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    units = written(
-        map_batches(
-            rows, _unit_rows(unit), f"row long, id {kind}, ord int, start long, end long, words int, digest long"
-        ),
-        "units",
-    )
-    key = ["digest", "words"]
-    # written, so that the joins deal out both sides and a hot digest can be split
-    often = written(units.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key), "often")
-    shared = written(units.join(often, key, "left_semi"), "shared-units")
-    firsts = shared.groupBy(*key).agg(
-        F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row", "ord")).alias("first")
-    )
-    copies = shared.join(written(firsts, "firsts"), key).where("row <> first.row or ord <> first.ord").select(
-        "row", "id", "ord", "start", "end", "words", F.col("first.id").alias("first_id")
-    )
-    # neighbouring copies: the difference between unit number and rank is constant along a span
-    island = F.col("ord") - F.row_number().over(Window.partitionBy("row").orderBy("ord"))
-    return (
-        copies.withColumn("island", island)
-        .groupBy("row", "id", "island")
-        .agg(
-            F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"),
-            F.count(F.lit(1)).alias("n_units"), F.min_by("first_id", "ord").alias("first_id"),
-        )
-        .where(F.col("n_words") >= min_words)
-        .drop("island")
-    )
-
-
 def nested_units(text: str | None) -> list[tuple[int, int, int, int, int, int, int, int]]:
     """(level, first sentence, last sentence, start, end, words before, words, digest) of all units that hold a word.
 
@@ -155,9 +99,16 @@ def _nested_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """As ``copied_spans``: every copied line and paragraph, and runs of copied sentences of ``min_words`` or more words."""
-    rows = docs.select(F.col(text), F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"))
+def repeats(
+    docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text", row_col: str | None = None,
+) -> DataFrame:
+    """(row, id, start, end, n_words, n_units, first_id) of the spans to remove, in code points of the original text.
+
+    ``row`` is ``row_col``, a unique long of a written table; without it rows are numbered in the order
+    in which they are read, so that rows with one id differ.
+    """
+    number = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    rows = docs.select(F.col(text), number.alias("row"), F.col(id_col).alias("id"))
     kind = docs.schema[id_col].dataType.simpleString()
     units = written(
         map_batches(
@@ -203,18 +154,27 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
     )
 
 
-def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` (unique ids) with the spans cut out of ``text``; ``removed`` lists their offsets in the original."""
-    cut = spans.groupBy(F.col("id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    joined = replaced(docs, "removed").join(cut, F.col(id_col) == F.col("_id"), "left").drop("_id")
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the spans cut out of ``text``, row by row, and ``removed``: (start, end) pairs in the original.
+
+    Rows are numbered in a written table, so ids may repeat; the other columns travel in one struct.
+    """
+    others = F.struct(F.col(id_col), *[F.col(c) for c in docs.columns if c not in (text, id_col)])
+    rows = written(
+        docs.select(F.monotonically_increasing_id().alias("row"), others.alias("doc"), F.col(text).alias("text")), "numbered",
+    )
+    spans = repeats(rows.select("row", F.col(f"doc.`{id_col}`").alias("id"), "text"), min_words, "id", "text", "row")
+    cut = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
     ends = F.concat(F.array(F.lit(0).cast("long")), F.col("removed.end"))
-    starts = F.concat(F.col("removed.start"), F.array(F.length(text).cast("long")))
-    pieces = F.zip_with(ends, starts, lambda s, e: F.substring(F.col(text), (s + 1).cast("int"), (e - s).cast("int")))
-    return joined.withColumn(text, F.when(F.col("removed").isNull(), F.col(text)).otherwise(F.array_join(pieces, "")))
+    starts = F.concat(F.col("removed.start"), F.array(F.length("text").cast("long")))
+    pieces = F.zip_with(ends, starts, lambda s, e: F.substring(F.col("text"), (s + 1).cast("int"), (e - s).cast("int")))
+    kept = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))
+    back = [kept.alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c.lower() != "removed"]
+    return rows.join(cut, "row", "left").select(*back, "removed")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats(table(spark, sf_dir, "documents"))
     return out.select(
-        F.col("id").alias("doc_id"), "start", "end", "n_words", "n_units", F.col("first_id").alias("first_doc_id")
+        F.col("id").alias("doc_id"), "row", "start", "end", "n_words", "n_units", F.col("first_id").alias("first_doc_id")
     )

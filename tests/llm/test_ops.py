@@ -340,33 +340,63 @@ def test_copied_spans_keep_the_first_and_original_offsets(spark):
     middle = b[:150] + " " + PASSAGE + " " + b[150:]
     rows = [(1, first), (2, middle), (3, c), (4, None), (5, ""), (6, c), (6, c), (None, c)]
     df = frame(spark, rows, "doc_id long, text string")
-    got = unit_dedup.copied_spans(df).collect()
+    got = unit_dedup.repeats(df).collect()
     said = [(r["id"], r["first_id"], {1: first, 2: middle}.get(r["id"], c)[r["start"] : r["end"]]) for r in got]
     assert sorted(said, key=repr) == sorted([(2, 1, PASSAGE), (6, 3, c), (6, 3, c), (None, 3, c)], key=repr)
-    two = df.where("doc_id in (1, 2)")
-    cut = {r["doc_id"]: r["text"] for r in unit_dedup.without_spans(two, unit_dedup.copied_spans(two)).collect()}
+    assert len({r["row"] for r in got}) == 4
+    cut = {r["doc_id"]: r["text"] for r in unit_dedup.deduplicated(df.where("doc_id in (1, 2)")).collect()}
     assert cut == {1: first, 2: middle.replace(PASSAGE, "")}
-    assert unit_dedup.copied_spans(frame(spark, [])).collect() == []
-
-
-@pytest.mark.parametrize("unit", ["line", "paragraph", "sentence"])
-def test_copied_units_equal_brute_force(spark, unit):
-    rng = random.Random(4)
-    pool = [prose(rng, 9, 9) for _ in range(12)]
-    texts = ["\n\n".join(rng.choice(pool) for _ in range(6)) for _ in range(15)]
-    rows = [(i, t) for i, t in enumerate(texts)]
-    got = {(r["id"], r["start"], r["end"]) for r in unit_dedup.copied_spans(frame(spark, rows, "doc_id long, text string"), unit, 1).collect()}
-    seen, copied = set(), defaultdict(set)
-    for i, t in rows:
-        for s, e, _, _ in unit_dedup.units_of(t, unit):
-            key = re.sub(r"[\W_]+", " ", t[s:e].lower()).strip()
-            if key in seen:
-                copied[i] |= set(range(s, e))
-            seen.add(key)
+    assert unit_dedup.repeats(frame(spark, [])).collect() == [] == unit_dedup.deduplicated(frame(spark, [])).collect()
+
+
+def test_dedup_cuts_by_row_where_ids_repeat(spark):
+    rng = random.Random(23)
+    a, b = prose(rng, 80), prose(rng, 80)
+    rows = [(2, a, "x", 7), (2, a, "x", 7), (1, b, "y", 8), (1, b + "\n" + a, "y", 9), (None, None, "z", 1), (5, "", "z", 2)]
+    df = frame(spark, rows, "doc_id long, text string, row string, removed int")
+    out = unit_dedup.deduplicated(df)
+    assert out.columns == ["doc_id", "text", "row", "removed"]
+    got = sorted(((r["doc_id"], r["text"], r["row"]) for r in out.collect()), key=repr)
+    # id 1 ranks first: b stays once, a stays once behind it, and the rows with id 2 lose theirs
+    assert sum(t is not None and b in t for _, t, _ in got) == 1 and sum(t is not None and a in t for _, t, _ in got) == 1
+    assert [t for i, t, _ in got if i == 2] == ["", ""] and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("min_words", [8, 20])
+def test_repeats_equal_brute_force(spark, min_words):
+    """Copied letters by going through all units in rank order, line and paragraph copies whole, sentence runs by length."""
+    rng = random.Random(min_words)
+    pool = [prose(rng, 9, 9) for _ in range(10)] + ["One two. Three four five", "Six seven", "--- ..."]
+    texts = [rng.choice(["\n\n", "\n", " "]).join(rng.choice(pool) for _ in range(rng.randrange(1, 7))) for _ in range(30)]
+    rows = [(i // 2, t) for i, t in enumerate(texts)] + [(None, texts[0]), (40, None), (41, "")]
+    numbered = [(i, *r) for i, r in enumerate(rows)]
+    df = frame(spark, numbered, "row long, doc_id long, text string")
     mine = defaultdict(set)
-    for i, s, e in got:
-        mine[i] |= set(range(s, e))
-    letters = lambda i, c: {x for x in c if rows[i][1][x].strip()}
+    for r in unit_dedup.repeats(df, min_words, row_col="row").collect():
+        assert r["id"] == rows[r["row"]][0]
+        mine[r["row"]] |= set(range(r["start"], r["end"]))
+    seen, copied = set(), defaultdict(set)
+    for i, (doc_id, t) in sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0, x[0])):
+        for units in (["sentence"], ["line", "paragraph"]):
+            places = sorted({(s, e, n) for u in units for s, e, n, _ in unit_dedup.units_of(t, u)}, key=lambda x: (x[0], x[1]))
+            run: list = []
+            told = set()
+            for s, e, n in [*places, (None, None, 0)]:
+                key = s is not None and (units[0], re.sub(r"[\W_]+", " ", t[s:e].lower()).strip())
+                again = s is not None and key in seen and (s, key) not in told
+                told.add((s, key))
+                if units[0] == "line" and again:
+                    copied[i] |= set(range(s, e))
+                if units[0] == "sentence":
+                    if again:
+                        run.append((s, e, n))
+                    else:
+                        if sum(x[2] for x in run) >= min_words:
+                            copied[i] |= set(range(run[0][0], run[-1][1]))
+                        run = []
+                if s is not None:
+                    seen.add(key)
+    letters = lambda i, c: {x for x in c if rows[i][1][x].isalnum()}
     assert {i: letters(i, c) for i, c in mine.items()} == {i: letters(i, c) for i, c in copied.items()}
 
 
