@@ -5,8 +5,9 @@ import tempfile
 
 import pytest
 
-from fleetaudit.plans import graph
-from fleetaudit.sources.testdata import TestData
+from fleetaudit.operators import report
+from fleetaudit.plans import graph, scan
+from fleetaudit.sources import testdata
 from tests.conftest import rows
 
 
@@ -43,7 +44,7 @@ def sf_dir(spark):
 
 def test_declared_packages_travel_to_their_project_once(spark, sf_dir):
     with merged_only(spark):
-        nodes = graph.declared_nodes(TestData(spark, sf_dir).declared)
+        nodes = graph.declared_nodes(testdata.TestData(spark, sf_dir).declared)
         # both sides of the join with the packages, then the rows by project
         assert plan(nodes).count("Exchange ") == 3
         assert nodes.count() == 160
@@ -66,10 +67,36 @@ def test_only_transitive_packages_travel_to_their_paths(spark):
 
 def test_declared_rows_stay_while_the_closure_is_added(spark, sf_dir):
     with merged_only(spark):
-        td = TestData(spark, sf_dir)
+        td = testdata.TestData(spark, sf_dir)
         resolved, closure = graph.resolve_roots(td.declared, td.edges)
         p = plan(resolved)
         assert "Union" in p
         top = p[: p.index("Union")]  # between the union and the grouping nothing travels
         assert "Exchange" not in top
         assert rows(resolved.filter("is_direct"), "project_id", "name") == rows(graph.declared_nodes(td.declared), "project_id", "name")
+
+
+def test_alerts_of_resolved_packages_bring_their_path(spark):
+    deps = spark.createDataFrame(
+        [(p, "requirements.txt", "python", 1, "App", "1.0", None, None, None, None, "declared") for p in (1, 2, None)],
+        "project_id long, path string, ecosystem string, pos int, name string, version string, dep_type string, "
+        "scope string, is_dev boolean, is_optional boolean, source string")
+    edges = spark.createDataFrame([("python", "app", "lib"), ("python", "lib", "core")], "ecosystem string, parent string, child string")
+    advisories = spark.createDataFrame(
+        [("python", name, f"CVE-{name}-{k}", "HIGH", "*", None, None) for name in ("app", "core") for k in range(3)],
+        "ecosystem string, package string, cve string, severity string, affected_versions string, summary string, description string")
+    names = spark.createDataFrame([], "ecosystem string, name string")
+    packages = names.withColumnRenamed("name", "package")
+    t = scan.ScanInputs(
+        dependencies=deps, edges=edges, popular=names, advisories=advisories, licenses=packages.selectExpr("*", "package AS license"),
+        releases=packages.selectExpr("*", "package AS version"), registry_names=spark.createDataFrame([("python", "app")], packages.schema))
+    raw = scan.raw_alerts(t, ["vulnerabilities"])
+    looked_up = report.enrich(raw, t.resolved_paths)
+    alerts, _ = scan.scan_projects(t, ["vulnerabilities"])
+    assert alerts.columns == looked_up.columns
+    assert sorted(map(str, alerts.collect())) == sorted(map(str, looked_up.collect()))
+    brought = alerts.filter("package = 'core' AND category = 'vulnerabilities' AND project_id = 1")
+    assert {r.dependency_path for r in brought.collect()} == {"app -> lib -> core"}
+    with merged_only(spark):  # a package's many alerts do not travel to its path
+        alone = scan.enriched(t, [("vulnerabilities", scan.SCANNERS["vulnerabilities"][1](t))])
+        assert "hashpartitioning(project_id" not in plan(alone)
