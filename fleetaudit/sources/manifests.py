@@ -8,6 +8,8 @@ computed without any shuffle.  The output columns are those of ``_explode_deps``
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,11 @@ def _dep(name: Column, version: Column, dep_type=None, scope=None, is_dev=None,
     )
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it (lambda bodies share nothing)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _explode_deps(manifests: DataFrame, deps: Column, source: str = "declared") -> DataFrame:
     out = manifests.select(
         "project_id", "path", "ecosystem", F.posexplode(deps).alias("pos0", "d")
@@ -230,9 +237,6 @@ def plain_xml(content: Column) -> Column:
     Texts of CDATA sections are escaped as ordinary text.  Elements with another prefix than the root's
     belong to another namespace and keep it.
     """
-    # comments go; a comment's marks inside a CDATA section are text
-    c = F.regexp_replace(content, r"(?s)<!--.*?-->|(<!\[CDATA\[.*?\]\]>)", "$1")
-
     def escaped(part: Column) -> Column:
         said = F.substring_index(part, "]]>", 1)
         rest = F.substr(part, F.length(said) + 4)
@@ -240,12 +244,19 @@ def plain_xml(content: Column) -> Column:
             said = F.replace(said, F.lit(char), F.lit(name))
         return F.concat(said, rest)
 
-    sections = F.split(c, r"<!\[CDATA\[")
-    c = F.when(F.contains(c, F.lit("<![CDATA[")), F.array_join(
-        F.transform(sections, lambda x, i: F.when(i == 0, x).otherwise(escaped(x))), "")).otherwise(c)
-    prefix = F.regexp_extract(c, r"(?s)^(?:\s|<\?.*?\?>|<!DOCTYPE[^>]*>)*<([A-Za-z_][\w.\-]*):", 1)
-    bare = F.replace(F.replace(c, F.concat(F.lit("<"), prefix, F.lit(":")), F.lit("<")), F.concat(F.lit("</"), prefix, F.lit(":")), F.lit("</"))
-    return F.when(prefix == "", c).otherwise(bare)
+    def unwrapped(c: Column) -> Column:
+        sections = F.split(c, r"<!\[CDATA\[")
+        return F.when(F.contains(c, F.lit("<![CDATA[")), F.array_join(
+            F.transform(sections, lambda x, i: F.when(i == 0, x).otherwise(escaped(x))), "")).otherwise(c)
+
+    def bare(c: Column) -> Column:
+        prefix = F.regexp_extract(c, r"(?s)^(?:\s|<\?.*?\?>|<!DOCTYPE[^>]*>)*<([A-Za-z_][\w.\-]*):", 1)
+        return _bound(prefix, lambda p: F.when(p == "", c).otherwise(
+            F.replace(F.replace(c, F.concat(F.lit("<"), p, F.lit(":")), F.lit("<")), F.concat(F.lit("</"), p, F.lit(":")), F.lit("</"))))
+
+    # comments go; a comment's marks inside a CDATA section are text
+    c = F.regexp_replace(content, r"(?s)<!--.*?-->|(<!\[CDATA\[.*?\]\]>)", "$1")
+    return _bound(_bound(c, unwrapped), bare)
 
 
 def pom_deps(manifests: DataFrame) -> DataFrame:
@@ -253,45 +264,56 @@ def pom_deps(manifests: DataFrame) -> DataFrame:
 
     Comments, CDATA sections and a prefix of the root's namespace are resolved first (``plain_xml``), as an
     XML parser does; texts that are not well-formed give no rows (``parse_manifests`` quarantines them).
+
+    A text is read once: each step is bound (``_bound``) before the next one uses it several times, and the
+    properties are found per text, not per dependency.
     """
-    manifests = manifests.where(~malformed_xml(F.col("content")))
-    manifests = manifests.withColumn("content", plain_xml(F.col("content")))
-    c = F.col("content")
-    props_block = F.regexp_extract(c, r"(?s)<properties\s*>(.*?)</properties\s*>", 1)
     prop_re = r"(?s)<([A-Za-z_][\w.\-]*)\s*>([^<]*)</\1\s*>"
-    props = F.arrays_zip(
-        F.regexp_extract_all(props_block, F.lit(prop_re), 1).alias("k"),
-        F.regexp_extract_all(props_block, F.lit(prop_re), 2).alias("v"),
-    )
-    blocks = F.regexp_extract_all(c, F.lit(rf"(?s)<dependency{ATTRIBUTES}>(.*?)</dependency\s*>"), 1)
 
     def child(block: Column, tag: str) -> Column:
         # direct child only: nested exclusions are removed first
-        return _decoded(F.regexp_extract(block, rf"(?s)<{tag}{ATTRIBUTES}>(.*?)</{tag}\s*>", 1))
+        return F.regexp_extract(block, rf"(?s)<{tag}{ATTRIBUTES}>(.*?)</{tag}\s*>", 1)
 
     def has_child(block: Column, tag: str) -> Column:
         return block.rlike(rf"<{tag}{ATTRIBUTES}>") | block.rlike(rf"<{tag}(?:\s[^<>]*)?/>")
 
-    def resolve(v: Column) -> Column:
-        ref = F.regexp_extract(v, MAVEN_PROPERTY_REF, 1)
-        hit = F.filter(props, lambda p: py_strip(p["k"]) == ref)
-        value = F.try_element_at(hit, F.lit(-1))["v"]
-        return F.when((ref != "") & (F.size(hit) > 0), py_strip(_decoded(value))).otherwise(v)
-
-    def to_dep(raw: Column) -> Column:
-        b = F.regexp_replace(raw, rf"(?s)<exclusions{ATTRIBUTES}>.*?</exclusions\s*>", "")
-        g, a = py_strip(child(b, "groupId")), py_strip(child(b, "artifactId"))
-        ver_txt = py_strip(child(b, "version"))
-        version = F.when(~has_child(b, "version") | (ver_txt == ""), F.lit("latest")).otherwise(resolve(ver_txt))
-        sc_txt = child(b, "scope")
-        scope = F.when(~has_child(b, "scope") | (sc_txt == ""), F.lit("compile")).otherwise(py_strip(sc_txt))
+    def said(b: Column) -> Column:
+        tags = ("groupId", "artifactId", "version", "scope")
+        return F.struct(*[child(b, t).alias(t) for t in tags], *[has_child(b, t).alias(f"has_{t}") for t in tags])
+
+    def texts(x: Column) -> Column:
+        version = py_strip(_decoded(x["version"]))
         return F.struct(
-            (has_child(b, "groupId") & has_child(b, "artifactId")).alias("ok"),
-            _dep(F.lower(F.concat(g, F.lit(":"), a)), version, dep_type="dependencies", scope=scope,
-                 is_dev=scope.isin("test", "provided")).alias("d"),
+            (x["has_groupId"] & x["has_artifactId"]).alias("ok"),
+            F.lower(F.concat(py_strip(_decoded(x["groupId"])), F.lit(":"), py_strip(_decoded(x["artifactId"])))).alias("name"),
+            F.when(x["has_version"], version).otherwise("").alias("version"),
+            F.when(x["has_scope"], _decoded(x["scope"])).otherwise("").alias("scope"),
         )
 
-    deps = F.transform(F.filter(F.transform(blocks, to_dep), lambda x: x["ok"]), lambda x: x["d"])
+    def resolved(x: Column, props: Column) -> Column:
+        ref = F.regexp_extract(x["version"], MAVEN_PROPERTY_REF, 1)
+
+        def looked_up(r: Column) -> Column:
+            hit = F.filter(props, lambda p: p["k"] == r)
+            return _bound(hit, lambda h: F.when((r != "") & (F.size(h) > 0), py_strip(_decoded(F.try_element_at(h, F.lit(-1))["v"])))
+                          .otherwise(x["version"]))
+
+        version = F.when(x["version"] == "", F.lit("latest")).otherwise(_bound(ref, looked_up))
+        scope = F.when(x["scope"] == "", F.lit("compile")).otherwise(py_strip(x["scope"]))
+        return _dep(x["name"], version, dep_type="dependencies", scope=scope, is_dev=scope.isin("test", "provided"))
+
+    def read(c: Column) -> Column:
+        block = F.regexp_extract(c, r"(?s)<properties\s*>(.*?)</properties\s*>", 1)
+        props = _bound(block, lambda t: F.zip_with(
+            F.regexp_extract_all(t, F.lit(prop_re), 1), F.regexp_extract_all(t, F.lit(prop_re), 2),
+            lambda k, v: F.struct(py_strip(k).alias("k"), v.alias("v"))))
+        blocks = F.regexp_extract_all(c, F.lit(rf"(?s)<dependency{ATTRIBUTES}>(.*?)</dependency\s*>"), 1)
+        bare = F.transform(blocks, lambda b: F.regexp_replace(b, rf"(?s)<exclusions{ATTRIBUTES}>.*?</exclusions\s*>", ""))
+        found = F.filter(F.transform(F.transform(bare, said), texts), lambda x: x["ok"])
+        return _bound(F.struct(props.alias("props"), found.alias("found")),
+                      lambda t: F.transform(t["found"], lambda x: resolved(x, t["props"])))
+
+    deps = _bound(F.col("content"), lambda c: F.when(~malformed_xml(c), _bound(plain_xml(c), read)))
     return _explode_deps(manifests, deps)
 
 

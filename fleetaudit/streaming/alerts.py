@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetaudit.operators import outdated, report
-from fleetaudit.session import ensure_checkpoint_dir
+from fleetaudit.session import ensure_checkpoint_dir, written
 from fleetaudit.sources import manifests as M
 
 # How the demo alert stream (``events``) maps to alert category and severity.
@@ -178,18 +178,20 @@ def land_manifests(spark: SparkSession, manifests: DataFrame, landing: str) -> N
 def stream_outdated(spark: SparkSession, landing: str, releases: DataFrame, out: str | None = None) -> DataFrame:
     """Manifests landing as files in ``landing`` -> parsed rows -> staleness alerts, per micro-batch.
 
-    Each micro-batch is parsed and joined to the static latest-release lookup; its alerts go to the
+    The latest-release lookup is computed once; each micro-batch is parsed once and joined to it; its alerts go to the
     batch's own folder.  With the same ``out`` again, the query resumes: only files that have arrived
     since are read.  Returns all alerts so far.
     """
     out = out or scratch_dir(spark, "outdated")
+    latest = written(outdated.latest_release(releases), "latest")  # once, not again in each micro-batch
     schema = spark.read.parquet(landing).schema
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(landing)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         deps, _ = M.parse_manifests(batch.drop("ecosystem", "content_hash"))
-        alerts = outdated.outdated_alerts(deps, releases)
-        _write_batch(alerts, out + "/alerts", batch_id)
+        deps = deps.persist()  # the lookup of the batch's packages and its alerts read it
+        _write_batch(outdated.alerts_behind(deps, latest), out + "/alerts", batch_id)
+        deps.unpersist()
 
     q = (
         src.writeStream.foreachBatch(per_batch).option("checkpointLocation", out + "/ckpt")
