@@ -319,6 +319,42 @@ def test_remembered_chunks_give_the_same_results(monkeypatch):
     assert codec.held < 200  # only what the last portion brought
 
 
+def test_every_text_and_the_marker_alone_are_compared_with_the_library():
+    with open(pieces.MODEL, "rb") as f:
+        codec = pieces.Codec(f.read())
+    peer, asked = codec.peer, []
+
+    class Peer:
+        def encode(self, x, **more):
+            asked.extend(x if isinstance(x, list) else [x])
+            return peer.encode(x, **more)
+
+        def decode(self, x, **more):
+            return peer.decode(x, **more)
+
+    codec.peer = Peer()
+    texts = [f"a rose is rose {i}" for i in range(40)] + ["a rose "]
+    ids, sizes, back, parity = codec.run(texts)
+    assert all(parity) and set(texts) <= set(asked) and back == texts
+    codec.store = codec.store + 1  # the remembered ids are wrong: the library's are taken, and no text's parity holds
+    ids, sizes, back, parity = codec.run(texts)
+    assert not any(parity) and back == texts
+    assert ids.tolist() == [i for t in texts for i in peer.encode(t)] and sizes.tolist() == [len(peer.encode(t)) for t in texts]
+    own = pieces.Codec.__new__(pieces.Codec)
+    own.peer, own.tokenizer = peer, codec.tokenizer
+    assert [*own._alone(["\u2581"])] == [(peer.encode("a ")[1:], True, True)]
+
+    class Wrong:
+        def encode_batch(self, chunks, **more):
+            return [type("E", (), {"ids": [5]}) for _ in chunks]
+
+        def decode(self, ids, **more):
+            return codec.tokenizer.decode(ids, **more)
+
+    own.tokenizer = Wrong()
+    assert [*own._alone(["\u2581"])] == [(peer.encode("a ")[1:], False, True)]
+
+
 def test_unigram_scores_and_byte_fallback_are_rebuilt():
     extra = [("▁", -3.0), ("▁ka", -2.0), ("ka", -2.5), ("k", -6.0), ("a", -5.0), ("▁k", -5.5), ("lo", -2.2), ("l", -6.5), ("o", -6.1), ("kalo", -4.0)]
     data = unigram_model(extra)
