@@ -38,6 +38,9 @@ EVENT_CATEGORY = {
     "view": ("pipeline", "MEDIUM"),
     "purchase": ("versions", "LOW"),
 }
+# A micro-batch of manifests takes files up to this size (one at least): each costs its own planning and
+# job starts, and a handful of files leaves most cores idle.
+BATCH_BYTES = 1 << 30
 WATERMARK = "1 hour"
 WINDOW = "1 hour"
 
@@ -179,13 +182,13 @@ def stream_outdated(spark: SparkSession, landing: str, releases: DataFrame, out:
     """Manifests landing as files in ``landing`` -> parsed rows -> staleness alerts, per micro-batch.
 
     The latest-release lookup is computed once; each micro-batch is parsed once and joined to it; its alerts go to the
-    batch's own folder.  With the same ``out`` again, the query resumes: only files that have arrived
+    batch's own folder.  Batches are bounded by bytes (``BATCH_BYTES``).  With the same ``out`` again, the query resumes: only files that have arrived
     since are read.  Returns all alerts so far.
     """
     out = out or scratch_dir(spark, "outdated")
     latest = written(outdated.latest_release(releases), "latest")  # once, not again in each micro-batch
     schema = spark.read.parquet(landing).schema
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(landing)
+    src = spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(landing)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         deps, _ = M.parse_manifests(batch.drop("ecosystem", "content_hash"))

@@ -1,5 +1,7 @@
 """Steps that are done once: per text, per stream, per project."""
 
+import glob
+
 from fleetaudit.operators import outdated
 from fleetaudit.plans import graph, scan
 from fleetaudit.sources import manifests as M
@@ -31,6 +33,22 @@ def test_releases_are_looked_up_once_for_all_batches(spark, tmp_path, monkeypatc
     assert len(calls) == 1
 
 
+def test_micro_batches_are_bounded_by_bytes_not_by_a_few_files(spark, tmp_path, monkeypatch):
+    m = spark.createDataFrame(
+        [(k, "requirements.txt", "python", "app==1.0\n") for k in range(9)],
+        "project_id long, path string, ecosystem string, content string").repartition(9, "project_id")
+    for k in range(9):  # one file each
+        m.filter(f"project_id = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    releases = spark.createDataFrame([("python", "app", "2.0")], "ecosystem string, package string, version string")
+    found = {}
+    for size in (stream.BATCH_BYTES, 1):
+        monkeypatch.setattr(stream, "BATCH_BYTES", size)
+        out = stream.stream_outdated(spark, f"{tmp_path}/in", releases, f"{tmp_path}/out-{size}")
+        found[len(glob.glob(f"{tmp_path}/out-{size}/alerts/batch_id=*"))] = sorted(map(str, out.collect()))
+    # small files share one micro-batch (before: four a batch); a bound below a file's size takes them one by one
+    assert set(found) == {1, 9} and found[1] == found[9] and len(found[1]) == 9
+
+
 def _resolved(spark):
     rows = [(p, "npm", n, d, i, r) for p in (1, 2, None) for n, d, i, r in (("a", True, 0, "a"), ("b", False, 1, "a"), ("c", False, 2, "a"))]
     resolved = spark.createDataFrame(
